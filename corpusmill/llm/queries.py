@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import distinctive, frequency
+from corpusmill.llm import clusters, distinctive, frequency
 
-MODULES = (distinctive, frequency)
+MODULES = (distinctive, clusters, frequency)
 
 
 def queries() -> dict:
