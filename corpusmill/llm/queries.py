@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import clusters, distinctive, frequency
+from corpusmill.llm import clusters, distinctive, frequency, neighbours
 
-MODULES = (distinctive, clusters, frequency)
+MODULES = (distinctive, clusters, neighbours, frequency)
 
 
 def queries() -> dict:
