@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import clusters, distinctive, frequency, neighbours
+from corpusmill.llm import clusters, distinctive, frequency, mixture, neighbours, tokens
 
-MODULES = (distinctive, clusters, neighbours, frequency)
+MODULES = (distinctive, clusters, neighbours, frequency, tokens, mixture)
 
 
 def queries() -> dict:
