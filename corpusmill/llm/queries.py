@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import clusters, distinctive, frequency, mixture, neighbours, tokens
+from corpusmill.llm import clusters, distinctive, frequency, lookalikes, mixture, neighbours, tokens
 
-MODULES = (distinctive, clusters, neighbours, frequency, tokens, mixture)
+MODULES = (distinctive, clusters, neighbours, lookalikes, frequency, tokens, mixture)
 
 
 def queries() -> dict:
