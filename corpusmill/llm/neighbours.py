@@ -1,10 +1,11 @@
 """The k most similar vectors of every vector.
 
 A tree of spherical k-means centres, fitted on a bounded sample, divides all vectors among its
-leaves. A query visits leaves best bin first: of the open nodes the one whose centre is nearest is
-taken next, an inner node opening its children, a leaf being visited. How many leaves are visited is
-calibrated: the neighbours of sampled queries are found by comparing them with all vectors, and the
-number of visits is raised until the leaves of the asked share of those neighbours are reached.
+leaves. A vector visits leaves best bin first: a priority queue holds the open nodes, leaves by the
+similarity of their centre, inner nodes by the most that any leaf below can have; the best is taken
+next, an inner node opening its children, a leaf being visited. The number of visits is calibrated:
+the neighbours of sampled queries are found by comparing them with all vectors, and visits are
+widened until the asked share of those neighbours is met in a visited leaf.
 """
 
 from __future__ import annotations
@@ -20,28 +21,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.llm.clusters import USABLE_SQL
-from corpusmill.llm.vectors import lloyd, matrix, representatives, sample, stacked, to_members, usable
+from corpusmill.llm.vectors import copies, lloyd, matrix, representatives, sample, stacked, to_members, usable
 from corpusmill.plans.lineage import written
-from corpusmill.plans.skew import salted_join
 
 DIM = 64
 #: Vectors the tree is fitted on, at most; every vector is put into a leaf.
 FIT_ROWS = 65536
 #: Children of a node, and sampled vectors below which a node stays a leaf.
-BRANCH, LEAF_SAMPLE = 8, 192
+BRANCH, LEAF_SAMPLE = 16, 128
 #: Queries the visits are calibrated with.
-PROBES = 512
+PROBES = 1024
 #: Rows of a leaf, or queries at a leaf, compared at once.
 BLOCK = 8192
 
 
 @dataclass
 class Tree:
-    """centre: a unit vector a node; child: node -> first child and number of children; leaf: node -> leaf number or -1."""
+    """Unit centre of each node; first child and number of children, or None; leaf number, or -1; and the
+    angle within which the centres of all leaves below lie."""
 
     centre: np.ndarray
     child: list
     leaf: np.ndarray
+    radius: np.ndarray
 
     @property
     def leaves(self) -> int:
@@ -66,33 +68,27 @@ def fit_tree(x: np.ndarray, branch: int = BRANCH, least: int = LEAF_SAMPLE) -> T
             todo.append((len(centre), rows[at == u]))
             centre.append(c[u])
             child.append(None)
-    leaf = np.array([-1 if c else 0 for c in child])
+    c = np.array(centre)
+    leaf = np.array([-1 if k else 0 for k in child])
     leaf[leaf == 0] = np.arange((leaf == 0).sum())
-    return Tree(np.array(centre), child, leaf)
-
-
-def home_leaf(tree: Tree, x: np.ndarray) -> np.ndarray:
-    """The leaf each row belongs to: down the tree, at each node to the nearest child."""
-    at = np.zeros(len(x), int)
-    score = x.astype(np.float32) @ tree.centre.T.astype(np.float32)
-    while True:
-        inner = np.flatnonzero(tree.leaf[at] < 0)
-        if not len(inner):
-            return tree.leaf[at]
-        for node in np.unique(at[inner]):
-            rows = inner[at[inner] == node]
-            s, n = tree.child[node]
-            at[rows] = s + score[rows, s : s + n].argmax(1)
+    radius, below = np.zeros(len(c)), [[] for _ in child]
+    for n in range(len(c) - 1, -1, -1):  # children follow their parents
+        below[n] = [n] if child[n] is None else [m for k in range(child[n][0], sum(child[n])) for m in below[k]]
+        radius[n] = np.arccos(np.clip(c[below[n]] @ c[n], -1, 1).min())
+    return Tree(c, child, leaf, radius)
 
 
 def best_bins(tree: Tree, x: np.ndarray, visits: int) -> np.ndarray:
     """The first `visits` leaves of each row, best bin first; -1 where the tree has no more.
 
     The priority queues of all rows are one matrix with a column for each node, minus infinity while
-    a node isn't open; each step takes the best open node of every row that still has visits left."""
+    a node isn't open; each step takes the best open node of every row that still has visits left.
+    As an inner node stands in the queue with a bound, leaves come out by falling similarity."""
     score = x.astype(np.float32) @ tree.centre.T.astype(np.float32)
+    inner = np.flatnonzero(tree.leaf < 0)
+    score[:, inner] = np.cos(np.maximum(np.arccos(np.clip(score[:, inner], -1, 1)) - tree.radius[inner] - 1e-4, 0))
     queue = np.full(score.shape, -np.inf, np.float32)
-    queue[:, 0] = 0
+    queue[:, 0] = 2
     out = np.full((len(x), visits), -1, np.int32)
     done = np.zeros(len(x), int)
     rows = np.arange(len(x))
@@ -116,10 +112,12 @@ def nearest(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, least: float
     """(row of q, id, similarity) of the k best rows of v (with ids ascending) for each row of q: the highest
     similarity, rounded to 6 decimals, first; at equal similarity the smaller id."""
     s = q.astype(np.float32) @ v.astype(np.float32).T
-    floor = np.full(len(q), -2.0) if least is None else np.full(len(q), least - 2e-6)
-    if s.shape[1] > k:
-        floor = np.maximum(floor, np.partition(s, s.shape[1] - k, axis=1)[:, -k] - 4e-6)
-    i, j = np.nonzero(s >= floor[:, None])
+    floor = -2.0 if least is None else least - 2e-6
+    i, j = np.nonzero(s >= floor)
+    if s.shape[1] > k and len(i) > 4 * k * len(q):
+        best = np.partition(s, s.shape[1] - k, axis=1)[:, -k] - 4e-6
+        keep = s[i, j] >= best[i]
+        i, j = i[keep], j[keep]
     sim = np.round(np.einsum("ij,ij->i", q[i], v[j]), 6)
     if least is not None:
         ok = sim >= least
@@ -131,104 +129,144 @@ def nearest(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, least: float
     return i[rank < k], ids[j[rank < k]], sim[rank < k]
 
 
-def calibrate(reps: DataFrame, probes: np.ndarray, tree: Tree, k: int, least: float | None, recall: float) -> int:
+def calibrate(reps: DataFrame, probes: np.ndarray, tree: Tree, k: int, least: float | None, recall: float, mutual: bool) -> int:
     """The least number of visits at which `recall` of the probes' k nearest others (of at least `least`
-    similarity) lie in a visited leaf. Each task keeps the best k + 1 of its rows for each probe."""
+    similarity) are met: in the neighbour's first leaf, or, if `mutual`, in any leaf that both visit.
+    Each task keeps the best k + 1 of its rows for each probe."""
 
     def best(batches):
         for b in batches:
             v, ids = matrix(b.column("vec"), DIM), np.asarray(b.column("rep"))
             o = np.argsort(ids)
-            i, n, s = nearest(probes, v[o], ids[o], k + 1, least)
-            leaf = dict(zip(ids[o].tolist(), home_leaf(tree, v[o]).tolist()))
-            yield pa.RecordBatch.from_pydict({"q": pa.array(i, pa.int32()), "id": pa.array(n, pa.int64()), "sim": pa.array(s, pa.float64()), "leaf": pa.array([leaf[x] for x in n.tolist()], pa.int32())})
+            v, ids = v[o], ids[o]
+            i, n, s = nearest(probes, v, ids, k + 1, least)
+            at, back = np.unique(np.searchsorted(ids, n), return_inverse=True)
+            bins = best_bins(tree, v[at], tree.leaves if mutual else 1)
+            yield pa.RecordBatch.from_pydict({"q": pa.array(i, pa.int32()), "id": pa.array(n, pa.int64()), "sim": pa.array(s, pa.float64()), "bins": pa.array(list(bins[back]), pa.list_(pa.int32()))})
 
-    found = reps.select("rep", "vec").mapInArrow(best, "q int, id long, sim double, leaf int")
+    found = reps.select("rep", "vec").mapInArrow(best, "q int, id long, sim double, bins array<int>")
     top = found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "id"))).where((F.col("r") > 1) & (F.col("r") <= k + 1))
-    top = top.select("q", "leaf").toPandas()  # at most PROBES * k rows
+    top = top.select("q", "bins").toPandas()  # at most PROBES * k rows
     if not len(top):
         return 1
     order = best_bins(tree, probes, tree.leaves)
-    place = np.full((len(probes), tree.leaves), tree.leaves)
-    r, c = np.nonzero(order >= 0)
-    place[r, order[r, c]] = c
-    need = np.sort(place[top["q"], top["leaf"]])
+    place = np.argsort(order, axis=1)  # place of each leaf in the probe's order
+    need = []
+    for q, bins in zip(top["q"], top["bins"]):
+        other = np.arange(len(bins)) if mutual else np.zeros(len(bins), int)
+        need.append(np.maximum(place[q, bins], other).min())
+    need = np.sort(need)
     return int(need[min(len(need) - 1, math.ceil(recall * len(need)))]) + 1
 
 
-def search(reps: DataFrame, queries: DataFrame, k: int, least: float | None, recall: float) -> DataFrame:
-    """(rep_a, rep_b, sim): the k best of `reps` for each row of `queries` (rep, vec), itself included.
-
-    Rows of one leaf meet the queries that visit it. A leaf or a visit list of more than BLOCK rows is
-    divided, and every part of the rows meets every part of the queries, so no task holds more."""
+def _fit(reps: DataFrame) -> tuple[Tree, np.ndarray]:
     x = sample(reps, FIT_ROWS, DIM)
-    tree = fit_tree(x) if len(x) else Tree(np.zeros((1, DIM)), [None], np.array([0]))
-    visits = calibrate(reps, x[:PROBES], tree, k, least, recall) if len(x) else 1
+    return (fit_tree(x), x[:PROBES]) if len(x) else (Tree(np.zeros((1, DIM)), [None], np.array([0]), np.zeros(1)), x)
 
-    def place(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("vec"), pa.array(home_leaf(tree, matrix(b.column("vec"), DIM)), pa.int32())], ["rep", "vec", "leaf"])
 
-    def visit(batches):
+def _visiting(df: DataFrame, tree: Tree, visits: int) -> DataFrame:
+    """(rep, vec, bins) of each row."""
+
+    def run(batches):
         for b in batches:
             for s in range(0, b.num_rows, 2048):
                 p = b.slice(s, 2048)
                 bins = best_bins(tree, matrix(p.column("vec"), DIM), visits)
-                yield pa.RecordBatch.from_arrays([p.column("rep"), p.column("vec"), pa.array([x[x >= 0] for x in bins], pa.list_(pa.int32()))], ["rep", "vec", "leaf"])
+                yield pa.RecordBatch.from_arrays([p.column("rep"), p.column("vec"), pa.array([x[x >= 0] for x in bins], pa.list_(pa.int32()))], ["rep", "vec", "bins"])
+
+    return df.select("rep", "vec").mapInArrow(run, "rep long, vec array<float>, bins array<int>")
 
-    rows = written(reps.select("rep", "vec").mapInArrow(place, "rep long, vec array<float>, leaf int"), "rows")
-    asks = queries.select("rep", "vec").mapInArrow(visit, "rep long, vec array<float>, leaf array<int>").select("rep", "vec", F.explode("leaf").alias("leaf"))
 
-    def parts(df: DataFrame) -> dict:
-        return {r["leaf"]: math.ceil(r["count"] / BLOCK) for r in df.groupBy("leaf").count().where(F.col("count") > BLOCK).collect()}  # a row a leaf at most
+def _parts(leaf: DataFrame):
+    """Column: how many parts of at most BLOCK rows the rows of a leaf make."""
+    large = {r["leaf"]: math.ceil(r["count"] / BLOCK) for r in leaf.groupBy("leaf").count().where(F.col("count") > BLOCK).collect()}  # a row a leaf at most
+    return F.coalesce(F.create_map(*[F.lit(y) for kv in large.items() for y in kv])[F.col("leaf")], F.lit(1)) if large else F.lit(1)
 
-    pr = parts(rows)
-    pq = parts(queries.select("rep", "vec").mapInArrow(visit, "rep long, vec array<float>, leaf array<int>").select(F.explode("leaf").alias("leaf")))
 
-    def of(p: dict):
-        return F.coalesce(F.create_map(*[F.lit(y) for kv in p.items() for y in kv])[F.col("leaf")], F.lit(1)) if p else F.lit(1)
+def _all(n):
+    return F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
 
-    own = F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int")
-    all_of = lambda p: F.explode(F.sequence(F.lit(0), of(p).cast("int") - 1))
-    a = rows.withColumn("_n", of(pr)).withColumn("i", own).drop("_n").withColumn("j", all_of(pq))
-    b = asks.withColumn("_n", of(pq)).withColumn("j", own).drop("_n").withColumn("i", all_of(pr))
 
-    def compare(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(v) or not len(q):
-            return pd.DataFrame({"rep_a": pd.Series(dtype="int64"), "rep_b": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
-        v = v.sort_values("rep")
-        vm, ids, out = stacked(v["vec"], DIM), v["rep"].to_numpy(), []
-        for s in range(0, len(q), 2048):
-            p = q.iloc[s : s + 2048]
-            i, n, sim = nearest(stacked(p["vec"], DIM), vm, ids, k, least)
-            out.append(pd.DataFrame({"rep_a": p["rep"].to_numpy()[i], "rep_b": n, "sim": sim}))
-        return pd.concat(out)
+def _own(n):
+    return F.pmod(F.xxhash64("rep"), n).cast("int")
 
-    met = a.groupBy("leaf", "i", "j").cogroup(b.groupBy("leaf", "i", "j")).applyInPandas(compare, "rep_a long, rep_b long, sim double")
-    return met.withColumn("r", F.row_number().over(W.partitionBy("rep_a").orderBy(F.desc("sim"), "rep_b"))).where(F.col("r") <= k).drop("r")
+
+def _compare(q: pd.DataFrame, v: pd.DataFrame, k: int, least: float | None) -> pd.DataFrame:
+    v = v.sort_values("rep")
+    vm, ids, out = stacked(v["vec"], DIM), v["rep"].to_numpy(), [pd.DataFrame({"rep_a": np.zeros(0, np.int64), "rep_b": np.zeros(0, np.int64), "sim": np.zeros(0)})]
+    for s in range(0, len(q) if len(v) else 0, 2048):
+        p = q.iloc[s : s + 2048]
+        i, n, sim = nearest(stacked(p["vec"], DIM), vm, ids, k, least)
+        out.append(pd.DataFrame({"rep_a": p["rep"].to_numpy()[i], "rep_b": n, "sim": sim}))
+    return pd.concat(out)
+
+
+_PAIRS = "rep_a long, rep_b long, sim double"
+
+
+def _best(pairs: DataFrame, k: int) -> DataFrame:
+    return pairs.distinct().withColumn("r", F.row_number().over(W.partitionBy("rep_a").orderBy(F.desc("sim"), "rep_b"))).where(F.col("r") <= k).drop("r")
+
+
+def search(reps: DataFrame, queries: DataFrame, k: int, least: float | None, recall: float) -> DataFrame:
+    """(rep_a, rep_b, sim): the k best of `reps` for each row of `queries`, itself included. Every row of
+    `reps` lies in its first leaf, the queries go to all leaves they visit. A leaf or a list of queries
+    of more than BLOCK rows is divided, and every part of the rows meets every part of the queries."""
+    tree, probes = _fit(reps)
+    visits = calibrate(reps, probes, tree, k, least, recall, False) if len(probes) else 1
+    rows = written(_visiting(reps, tree, 1), "rows").select("rep", "vec", F.explode("bins").alias("leaf"))
+    asks = written(_visiting(queries, tree, visits), "asks").select("rep", "vec", F.explode("bins").alias("leaf"))
+    pr, pq = _parts(rows), _parts(asks)
+    a = rows.withColumn("i", _own(pr)).withColumn("j", _all(pq))
+    b = asks.withColumn("j", _own(pq)).withColumn("i", _all(pr))
+    met = a.groupBy("leaf", "i", "j").cogroup(b.groupBy("leaf", "i", "j")).applyInPandas(lambda v, q: _compare(q, v, k, least), _PAIRS)
+    return _best(met, k)
+
+
+def search_all(reps: DataFrame, k: int, least: float | None, recall: float) -> DataFrame:
+    """The same with every row of `reps` as a query. A row is sent once to each leaf it visits, where it
+    is both searched for and found; parts of a large leaf meet two by two."""
+    tree, probes = _fit(reps)
+    visits = calibrate(reps, probes, tree, k, least, recall, True) if len(probes) else 1
+    rows = written(_visiting(reps, tree, visits), "rows").select("rep", "vec", F.explode("bins").alias("leaf"))
+    n = _parts(rows)
+    rows = rows.withColumn("own", _own(n)).withColumn("o", _all(n)).select("leaf", "rep", "vec", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+
+    def meet(p: pd.DataFrame) -> pd.DataFrame:
+        i, j = p["i"].iat[0], p["j"].iat[0]
+        if i == j:
+            return _compare(p, p, k, least)
+        x, y = p[p["own"] == i], p[p["own"] == j]
+        return pd.concat([_compare(x, y, k, least), _compare(y, x, k, least)])
+
+    return _best(rows.groupBy("leaf", "i", "j").applyInPandas(meet, _PAIRS), k)
 
 
 def neighbours(rec: DataFrame, k: int = 10, least: float | None = None, recall: float = 0.97, every: int | None = None) -> DataFrame:
     """(id, best): for each record that counts (with `every`: whose id is divisible by it) the list of its
     up to k most similar other records as (sim, id), best first, at equal similarity the smaller id first;
-    with `least`, of those at that similarity or more.
+    with `least`, of those at that similarity or more. `recall` is the share of them that must be met.
 
     Exact copies are searched for once. A group of copies stands in the lists with its k + 1 smallest
     ids, which is all a list of k can hold of it. An empty table gives no rows."""
     vecs = written(usable(rec, DIM), "vectors")
-    reps = written(representatives(vecs), "reps")
+    copy = copies(vecs)
+    reps = representatives(vecs, copy)
     asked = vecs if every is None else vecs.where(F.pmod("id", F.lit(every)) == 0)
-    query = reps if every is None else reps.join(asked.select("key").distinct(), "key", "left_semi")
-    found = written(search(reps, query, k + 1, least, recall), "found")
+    if every is None:
+        found = written(search_all(reps, k + 1, least, recall), "found")
+    else:
+        found = written(search(reps, reps.join(asked.select("key").distinct(), "key", "left_semi"), k + 1, least, recall), "found")
     # the smallest ids of each group of copies; window limits are applied before the shuffle
-    small = vecs.select("key", "id").withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("id"))).where(F.col("r") <= k + 1)
-    small = small.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).join(reps.select("key", "rep"), "key").select(F.col("rep").alias("rep_b"), "ids")
-    few = salted_join(found, small, "rep_b", []).select("rep_a", "sim", F.explode("ids").alias("id"))
+    small = to_members(vecs.select("key", "id"), copy.select("key", "rep"), copy)
+    small = small.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("id"))).where(F.col("r") <= k + 1).groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    few = found.join(small.withColumnRenamed("rep", "rep_b"), "rep_b", "left").select("rep_a", "sim", F.explode(F.coalesce("ids", F.array("rep_b"))).alias("id"))
     few = few.withColumn("r", F.row_number().over(W.partitionBy("rep_a").orderBy(F.desc("sim"), "id"))).where(F.col("r") <= k + 1)
     lists = few.groupBy("rep_a").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "sim", "id"))), lambda x: F.struct(x["sim"].alias("sim"), x["id"].alias("id"))).alias("best"))
-    lists = lists.join(reps.select("key", F.col("rep").alias("rep_a")), "rep_a").select("key", "best")
-    out = to_members(asked.select("key", "id"), lists, reps)
-    return out.select("id", F.slice(F.filter("best", lambda x: x["id"] != F.col("id")), 1, k).alias("best"))
+    # copies take the list of their representative, any other record its own
+    of_copies = to_members(asked.select("key", "id"), copy.select("key", "rep"), copy).join(lists, F.col("rep") == F.col("rep_a")).select("id", "best")
+    alone = lists.join(copy.select("rep"), F.col("rep") == F.col("rep_a"), "left_anti").select(F.col("rep_a").alias("id"), "best")
+    return of_copies.union(alone).select("id", F.slice(F.filter("best", lambda x: x["id"] != F.col("id")), 1, k).alias("best"))
 
 
 def p4_neighbours(spark, d):
@@ -239,7 +277,7 @@ def p4_neighbours(spark, d):
 
 
 def p4_found(spark, d):
-    n = neighbours(spark.read.parquet(f"{d}/cluster_rec.parquet"), 5, least=0.8, recall=0.9995)
+    n = neighbours(spark.read.parquet(f"{d}/cluster_rec.parquet"), 5, least=0.8, recall=0.998)
     n = n.where(F.size("best") >= 5).select("id", F.explode("best.id").alias("o"))
     return n.select(F.least("id", "o").alias("cluster_id_a"), F.greatest("id", "o").alias("cluster_id_b")).distinct()
 

@@ -18,24 +18,33 @@ def usable(rec: DataFrame, dim: int = 64) -> DataFrame:
     the larger num_vectors, then the larger vector; nulls first); of those only a mean_vec of `dim`
     finite numbers, not all zero, and a cluster_id that isn't null. `key` is equal for exact copies.
     """
-    last = rec.groupBy("cluster_id").agg(F.max(F.struct("loaded_at", "num_vectors", "mean_vec")).alias("m"))
+    rec = rec.where("cluster_id IS NOT NULL")
+    # only ids with several rows are shuffled with their vectors
+    again = written(rec.groupBy("cluster_id").count().where("count > 1").select("cluster_id"), "again")
+    last = rec.join(again, "cluster_id", "left_semi").groupBy("cluster_id").agg(F.max(F.struct("loaded_at", "num_vectors", "mean_vec")).alias("m"))
+    rows = rec.join(again, "cluster_id", "left_anti").select("cluster_id", "num_vectors", "mean_vec").union(last.select("cluster_id", "m.num_vectors", "m.mean_vec"))
     v = F.col("vec")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     return (
-        last.select(F.col("cluster_id").alias("id"), F.col("m.num_vectors").alias("num_vectors"), F.col("m.mean_vec").cast("array<float>").alias("vec"))
-        .where(F.col("id").isNotNull() & (F.size("vec") == dim) & good)
+        rows.select(F.col("cluster_id").alias("id"), "num_vectors", F.col("mean_vec").cast("array<float>").alias("vec"))
+        .where((F.size("vec") == dim) & good)
         .withColumn("key", F.concat_ws(":", F.xxhash64("vec"), F.hash("vec")))
     )
 
 
-def representatives(vecs: DataFrame) -> DataFrame:
-    """(key, rep, n, vec): one row per group of exact copies; rep is the smallest id of the group."""
-    return vecs.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec"))
+def copies(vecs: DataFrame) -> DataFrame:
+    """(key, rep, n) of the groups of more than one exact copy; rep is the smallest id of the group."""
+    return written(vecs.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies")
 
 
-def to_members(vecs: DataFrame, per_key: DataFrame, reps: DataFrame) -> DataFrame:
+def representatives(vecs: DataFrame, copy: DataFrame) -> DataFrame:
+    """(key, rep, vec): the record of the smallest id of each group of exact copies, rep its id."""
+    return vecs.join(copy.select("key", F.col("rep").alias("_r")), "key", "left").where("_r IS NULL OR _r = id").select("key", F.col("id").alias("rep"), "vec")
+
+
+def to_members(vecs: DataFrame, per_key: DataFrame, copy: DataFrame, how: str = "inner") -> DataFrame:
     """The columns of `per_key` (unique key) beside each record of `vecs`; large groups of copies are salted."""
-    return salted_join(vecs, per_key, "key", hot_keys(reps, "key", "n"))
+    return salted_join(vecs, per_key, "key", hot_keys(copy, "key", "n"), how=how)
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
