@@ -82,29 +82,39 @@ def best_bins(tree: Tree, x: np.ndarray, visits: int) -> np.ndarray:
     """The first `visits` leaves of each row, best bin first; -1 where the tree has no more.
 
     The priority queues of all rows are one matrix with a column for each node, minus infinity while
-    a node isn't open; each step takes the best open node of every row that still has visits left.
-    As an inner node stands in the queue with a bound, leaves come out by falling similarity."""
+    a node isn't queued. First each row opens its best inner node, then every inner node in its queue
+    whose bound reaches the last of the `visits` best leaves queued, until there is none: these are
+    the nodes that taking one node at a time would open, so leaves come out by falling similarity."""
     score = x.astype(np.float32) @ tree.centre.T.astype(np.float32)
-    inner = np.flatnonzero(tree.leaf < 0)
+    inner, leaves = np.flatnonzero(tree.leaf < 0), np.flatnonzero(tree.leaf >= 0)
     score[:, inner] = np.cos(np.maximum(np.arccos(np.clip(score[:, inner], -1, 1)) - tree.radius[inner] - 1e-4, 0))
     queue = np.full(score.shape, -np.inf, np.float32)
     queue[:, 0] = 2
-    out = np.full((len(x), visits), -1, np.int32)
-    done = np.zeros(len(x), int)
-    rows = np.arange(len(x))
-    while len(rows):
-        node = queue[rows].argmax(1)
-        empty = np.isneginf(queue[rows, node])
-        queue[rows, node] = -np.inf
-        leaf = tree.leaf[node]
-        hit = ~empty & (leaf >= 0)
-        out[rows[hit], done[rows[hit]]] = leaf[hit]
-        done[rows[hit]] += 1
-        for n in np.unique(node[~empty & (leaf < 0)]):
-            r = rows[(node == n) & ~empty]
-            s, m = tree.child[n]
+    most, every = min(visits, len(leaves)), np.arange(len(x))
+    first = True
+    while len(inner):
+        waiting = queue[:, inner]
+        if first:
+            go = np.zeros(waiting.shape, bool)
+            best = waiting.argmax(1)
+            go[every, best] = waiting[every, best] > -np.inf
+            first = bool((tree.leaf[inner[best]] < 0).any() and np.isneginf(queue[:, leaves]).all(1).any())
+        else:
+            last = np.partition(queue[:, leaves], len(leaves) - most, axis=1)[:, -most]
+            go = (waiting > -np.inf) & (waiting >= last[:, None])
+        if not go.any():
+            break
+        for k in np.flatnonzero(go.any(0)):
+            r, (s, m) = np.flatnonzero(go[:, k]), tree.child[inner[k]]
+            queue[r, inner[k]] = -np.inf
             queue[r, s : s + m] = score[r, s : s + m]
-        rows = rows[~empty & (done[rows] < visits)]
+    got = queue[:, leaves]
+    top = np.argpartition(-got, most - 1, axis=1)[:, :most]
+    value = np.take_along_axis(got, top, 1)
+    o = np.argsort(-value, axis=1, kind="stable")
+    top, value = np.take_along_axis(top, o, 1), np.take_along_axis(value, o, 1)
+    out = np.full((len(x), visits), -1, np.int32)
+    out[:, :most] = np.where(np.isneginf(value), -1, tree.leaf[leaves][top])
     return out
 
 
@@ -197,7 +207,9 @@ def _compare(q: pd.DataFrame, v: pd.DataFrame, k: int, least: float | None) -> p
     for s in range(0, len(q) if len(v) else 0, 2048):
         p = q.iloc[s : s + 2048]
         i, n, sim = nearest(stacked(p["vec"], DIM), vm, ids, k, least)
-        out.append(pd.DataFrame({"rep_a": p["rep"].to_numpy()[i], "rep_b": n, "sim": sim}))
+        own = p["rep"].to_numpy()[i]
+        keep = own != n
+        out.append(pd.DataFrame({"rep_a": own[keep], "rep_b": n[keep], "sim": sim[keep]}))
     return pd.concat(out)
 
 
@@ -205,30 +217,32 @@ _PAIRS = "rep_a long, rep_b long, sim double"
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
-    return pairs.distinct().withColumn("r", F.row_number().over(W.partitionBy("rep_a").orderBy(F.desc("sim"), "rep_b"))).where(F.col("r") <= k).drop("r")
+    # one shuffle: a pair met in several leaves has one rank, and its copies then lie in one partition
+    best = pairs.withColumn("r", F.dense_rank().over(W.partitionBy("rep_a").orderBy(F.desc("sim"), "rep_b"))).where(F.col("r") <= k)
+    return best.select("rep_a", "rep_b", "sim").distinct()
 
 
 def search(reps: DataFrame, queries: DataFrame, k: int, least: float | None, recall: float) -> DataFrame:
-    """(rep_a, rep_b, sim): the k best of `reps` for each row of `queries`, itself included. Every row of
+    """(rep_a, rep_b, sim): the k - 1 best others of `reps` for each row of `queries`. Every row of
     `reps` lies in its first leaf, the queries go to all leaves they visit. A leaf or a list of queries
     of more than BLOCK rows is divided, and every part of the rows meets every part of the queries."""
     tree, probes = _fit(reps)
-    visits = calibrate(reps, probes, tree, k, least, recall, False) if len(probes) else 1
+    visits = calibrate(reps, probes, tree, k - 1, least, recall, False) if len(probes) else 1
     rows = written(_visiting(reps, tree, 1), "rows").select("rep", "vec", F.explode("bins").alias("leaf"))
     asks = written(_visiting(queries, tree, visits), "asks").select("rep", "vec", F.explode("bins").alias("leaf"))
     pr, pq = _parts(rows), _parts(asks)
     a = rows.withColumn("i", _own(pr)).withColumn("j", _all(pq))
     b = asks.withColumn("j", _own(pq)).withColumn("i", _all(pr))
     met = a.groupBy("leaf", "i", "j").cogroup(b.groupBy("leaf", "i", "j")).applyInPandas(lambda v, q: _compare(q, v, k, least), _PAIRS)
-    return _best(met, k)
+    return _best(met, k - 1)
 
 
 def search_all(reps: DataFrame, k: int, least: float | None, recall: float) -> DataFrame:
     """The same with every row of `reps` as a query. A row is sent once to each leaf it visits, where it
     is both searched for and found; parts of a large leaf meet two by two."""
     tree, probes = _fit(reps)
-    visits = calibrate(reps, probes, tree, k, least, recall, True) if len(probes) else 1
-    rows = written(_visiting(reps, tree, visits), "rows").select("rep", "vec", F.explode("bins").alias("leaf"))
+    visits = calibrate(reps, probes, tree, k - 1, least, recall, True) if len(probes) else 1
+    rows = _visiting(reps, tree, visits).select("rep", "vec", F.explode("bins").alias("leaf"))
     n = _parts(rows)
     rows = rows.withColumn("own", _own(n)).withColumn("o", _all(n)).select("leaf", "rep", "vec", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
 
@@ -239,7 +253,7 @@ def search_all(reps: DataFrame, k: int, least: float | None, recall: float) -> D
         x, y = p[p["own"] == i], p[p["own"] == j]
         return pd.concat([_compare(x, y, k, least), _compare(y, x, k, least)])
 
-    return _best(rows.groupBy("leaf", "i", "j").applyInPandas(meet, _PAIRS), k)
+    return _best(rows.groupBy("leaf", "i", "j").applyInPandas(meet, _PAIRS), k - 1)
 
 
 def neighbours(rec: DataFrame, k: int = 10, least: float | None = None, recall: float = 0.97, every: int | None = None) -> DataFrame:
@@ -260,6 +274,8 @@ def neighbours(rec: DataFrame, k: int = 10, least: float | None = None, recall:
     # the smallest ids of each group of copies; window limits are applied before the shuffle
     small = to_members(vecs.select("key", "id"), copy.select("key", "rep"), copy)
     small = small.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("id"))).where(F.col("r") <= k + 1).groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    # a copy's own group belongs to its list, at similarity 1; other representatives are alone
+    found = found.union(copy.select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"), F.lit(1.0).alias("sim")))
     few = found.join(small.withColumnRenamed("rep", "rep_b"), "rep_b", "left").select("rep_a", "sim", F.explode(F.coalesce("ids", F.array("rep_b"))).alias("id"))
     few = few.withColumn("r", F.row_number().over(W.partitionBy("rep_a").orderBy(F.desc("sim"), "id"))).where(F.col("r") <= k + 1)
     lists = few.groupBy("rep_a").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "sim", "id"))), lambda x: F.struct(x["sim"].alias("sim"), x["id"].alias("id"))).alias("best"))
@@ -277,7 +293,7 @@ def p4_neighbours(spark, d):
 
 
 def p4_found(spark, d):
-    n = neighbours(spark.read.parquet(f"{d}/cluster_rec.parquet"), 5, least=0.8, recall=0.998)
+    n = neighbours(spark.read.parquet(f"{d}/cluster_rec.parquet"), 5, least=0.8, recall=0.997)
     n = n.where(F.size("best") >= 5).select("id", F.explode("best.id").alias("o"))
     return n.select(F.least("id", "o").alias("cluster_id_a"), F.greatest("id", "o").alias("cluster_id_b")).distinct()
 
