@@ -42,6 +42,8 @@ def prototype(ch: str) -> str:
     anything else, dashes, quotes and symbols among them, stays."""
     if ch.isascii():
         return ch
+    if ch in _LIKE:
+        return _LIKE[ch]
     kind = U.category(ch)
     if kind == "Cf" or ch in "͏᠎" or "︀" <= ch <= "️":
         return ""
@@ -50,7 +52,7 @@ def prototype(ch: str) -> str:
     d = U.decomposition(ch)
     if d and (kind[0] == "L" or "＀" <= ch <= "￯" or d.startswith("<font>")) and (not d.startswith("<") or d.split()[0] in _KINDS):
         return "".join(prototype(c) for c in U.normalize("NFKD", ch))
-    return _LIKE.get(ch, ch)
+    return ch
 
 
 def skeleton(text: str) -> str:

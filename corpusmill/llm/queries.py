@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import clusters, distinctive, frequency, lookalikes, mixture, neighbours, tokens
+from corpusmill.llm import clusters, distinctive, frequency, languages, lookalikes, mixture, neighbours, scans, tokens
 
-MODULES = (distinctive, clusters, neighbours, lookalikes, frequency, tokens, mixture)
+MODULES = (distinctive, scans, clusters, neighbours, lookalikes, frequency, tokens, mixture, languages)
 
 
 def queries() -> dict:
