@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.lookalikes import _LATIN_LIKE, _LIKE, prototype, script
+from corpusmill.llm.scans import _wrapped, furniture
 
 LANGS = ("en", "de", "fr", "es", "it", "pt", "ru")
 #: Labelled documents the network is trained on, at most, chosen by a hash of doc_id; the counts of
@@ -25,6 +26,8 @@ LANGS = ("en", "de", "fr", "es", "it", "pt", "ru")
 TRAIN_DOCS = 6000
 #: Distinct words used, those of most documents first, and the documents a word must be in.
 TRAIN_WORDS, LEAST_DOCS = 8000, 4
+#: Words of fewer documents, mostly names, that are trained to speak for no language, at most.
+TRAIN_NAMES = 3000
 HIDDEN, EMBED, EPOCHS, BATCH = 24, 12, 50, 64
 #: Log-odds by which a sentence must speak for another language than its document's, and the least
 #: number of words of such a sentence.
@@ -169,9 +172,13 @@ _WRAP = re.compile(r"(\w)(?:-|¬|­)[ \t]*\r?\n(?=\w)")
 #: an empty line, a heading or the start of an item.
 _END = regex.compile(r"(?<=[.!?…][\"»”’')\]]*)\s+(?=[\"«“‘¿¡(\[*=]*[\p{Lu}\d])|\n\s*\n|\n(?=\s*(?:==|\*|#))|(?<===)\s*\n")
 _WORD = regex.compile(r"[^\W\d_]+")
+_BEGIN = regex.compile(r"[^\p{L}\n]*[\p{Lu}\p{N}]")
 _FULL = regex.compile(r"[.!?…][\"»”’')\]\s]*$")
 
 
+_PAGED = regex.compile(r"\f|^[^\p{L}\n]{0,6}\d+[^\p{L}\n]{0,6}$|^\p{L}+\.? \d+ \p{L}+ \d+\s*$", regex.M)
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of the sentences of a cleaned text."""
     out, at = [], 0
@@ -185,10 +192,17 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def cleaned(text: str) -> str:
-    """Without invisible characters; compatibility forms, separate accents and line wraps undone where there are any."""
+    """Without invisible characters and page furniture; compatibility forms, separate accents and line wraps undone."""
     if not text.isascii() and _ODD.search(text):
         text = unicodedata.normalize("NFKC", _HIDDEN_CHARS.sub("", text))
-    return _WRAP.sub(r"\1", text) if "\n" in text else text
+    if "\n" not in text:
+        return text
+    if _PAGED.search(text):
+        lines = text.split("\n")
+        if _wrapped(lines):
+            drop = furniture(lines)
+            text = "\n".join(x for i, x in enumerate(lines) if not drop[i] and (x.strip() or not (i and drop[i - 1])))
+    return _WRAP.sub(r"\1", text)
 
 
 class Labeller:
@@ -225,7 +239,7 @@ class Labeller:
                 w = _WORD.findall(low, s, e)
                 if w:
                     words += w
-                    spans.append((s, e, len(w), bool(_FULL.search(t, max(s, e - 6), e)), sum(map(len, w))))
+                    spans.append((s, e, len(w), bool(_FULL.search(t, max(s, e - 6), e)) and bool(_BEGIN.match(t, s, e)), sum(map(len, w))))
                     doc.append(d)
         out: list[list[tuple]] = [[] for _ in texts]
         if not words:
@@ -282,7 +296,9 @@ def train(docs: DataFrame, labels: dict[str, str]) -> ByteGru:
     words = d.where(F.col("h") <= last).select("l", F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0)))).alias("w"))
     got = words.where(F.length("w") <= 30).groupBy("w", "l").count()
     # words of a few documents are mostly names, which say nothing of a language
-    keep = got.groupBy("w").agg(F.sum("count").alias("n")).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "w").limit(TRAIN_WORDS)
+    each = got.groupBy("w").agg(F.sum("count").alias("n"))
+    keep = each.where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "w").limit(TRAIN_WORDS)
+    names = [r[0] for r in each.where((F.col("n") < LEAST_DOCS) & F.col("w").rlike("^[a-z]{3,10}$")).orderBy(F.xxhash64("w")).limit(TRAIN_NAMES).select("w").collect()]
     pdf = got.join(keep.select("w"), "w").toPandas()
     if not len(pdf):
         return net
@@ -290,7 +306,9 @@ def train(docs: DataFrame, labels: dict[str, str]) -> ByteGru:
     c = t.to_numpy(float)
     rel = (c + 1e-3) / (c.sum(0) + 1.0)
     rel = (rel / rel.sum(1, keepdims=True)) ** 2
-    net.train(list(t.index), (rel / rel.sum(1, keepdims=True)).astype(np.float32), np.sqrt(c.sum(1)).astype(np.float32))
+    target = np.concatenate([rel / rel.sum(1, keepdims=True), np.full((len(names), len(LANGS)), 1 / len(LANGS))])
+    weight = np.concatenate([np.sqrt(c.sum(1)), np.full(len(names), 3.0)])
+    net.train(list(t.index) + names, target.astype(np.float32), weight.astype(np.float32))
     return net
 
 
