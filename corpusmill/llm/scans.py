@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+import uuid
 from collections import Counter
 from functools import lru_cache
 
@@ -504,10 +505,10 @@ def vocabulary(docs: DataFrame) -> tuple[dict[str, int], int]:
 def _runner(docs: DataFrame, schema: pa.Schema, ddl: str, rows_of):
     words, n = vocabulary(docs)
     sc = docs.sparkSession.sparkContext
-    box = sc.broadcast((words, n))
+    box, name = sc.broadcast((words, n)), uuid.uuid4().hex
 
     def run(batches):
-        reader = _reader(box)
+        reader = _reader(box, name)
         for b in batches:
             for s in range(0, b.num_rows, 400):
                 p = b.slice(s, 400)
@@ -521,12 +522,12 @@ def _runner(docs: DataFrame, schema: pa.Schema, ddl: str, rows_of):
 _READERS: dict = {}
 
 
-def _reader(box) -> Reader:
+def _reader(box, name: str) -> Reader:
     """One reader a worker and vocabulary."""
-    if box.id not in _READERS:
+    if name not in _READERS:
         _READERS.clear()
-        _READERS[box.id] = Reader(*box.value)
-    return _READERS[box.id]
+        _READERS[name] = Reader(*box.value)
+    return _READERS[name]
 
 
 def line_findings(docs: DataFrame) -> DataFrame:
