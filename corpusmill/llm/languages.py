@@ -170,7 +170,7 @@ _ODD = regex.compile(r"[\p{Cf}̀-ͯ＀-￯ﬀ-ﬆ]")
 _WRAP = re.compile(r"(\w)(?:-|¬|­)[ \t]*\r?\n(?=\w)")
 #: A sentence ends at its mark and the quotes after it if a capital, a number or an opening sign follows, or at
 #: an empty line, a heading or the start of an item.
-_END = regex.compile(r"(?<=[.!?…][\"»”’')\]]*)\s+(?=[\"«“‘¿¡(\[*=]*[\p{Lu}\d])|\n\s*\n|\n(?=\s*(?:==|\*|#))|(?<===)\s*\n")
+_END = regex.compile(r"[.!?…][\"»”’')\]]*(\s+)(?=[\"«“‘¿¡(\[*=]*[\p{Lu}\d])|(\n\s*\n)|(\n)(?=\s*(?:==|\*|#))|==(\s*\n)")
 _WORD = regex.compile(r"[^\W\d_]+")
 _BEGIN = regex.compile(r"[^\p{L}\n]*[\p{Lu}\p{N}]")
 _FULL = regex.compile(r"[.!?…][\"»”’')\]\s]*$")
@@ -183,8 +183,9 @@ def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of the sentences of a cleaned text."""
     out, at = [], 0
     for m in _END.finditer(text):
-        if m.start() > at:
-            out.append((at, m.start()))
+        stop = m.start(m.lastindex)
+        if stop > at:
+            out.append((at, stop))
         at = m.end()
     if at < len(text):
         out.append((at, len(text)))

@@ -129,21 +129,13 @@ def likeness(a: str, b: str) -> bool:
         return True
     if abs(len(a) - len(b)) > 3 or len(a) < 5:
         return False
-    a, b = fold(a), fold(b)
-    if a == b:
-        return True
-    x, y = a.split(), b.split()
-    if len(x) == len(y) and len(x) > 1 and 2 * sum(map(str.__eq__, x, y)) < len(x) - 1:
+    x, y = fold(a).split(), fold(b).split()
+    if len(x) != len(y):
+        return False
+    differ = [(p, q) for p, q in zip(x, y) if p != q]
+    if len(differ) > max(1, len(x) // 2) or any(abs(len(p) - len(q)) > 3 for p, q in differ):
         return False
-    row, most = list(range(len(b) + 1)), max(1, len(a) // 6)
-    for i, x in enumerate(a):
-        new = [i + 1]
-        for j, y in enumerate(b):
-            new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
-        row = new
-        if min(row) > most:
-            return False
-    return row[-1] <= most
+    return all(min(misread_cost(p, q), misread_cost(q, p)) <= 3.0 for p, q in differ)
 
 
 def _other_form(strip: list[str], i: int, others: list[int]) -> bool:
@@ -381,7 +373,9 @@ def repair(reader: Reader, texts: list[str | None], titles: list[str | None]) ->
             continue
         p.folded = [[fold(x[2]) for x in parts] for parts in p.parts]
         p.local = Counter(w for f in p.folded for w in f)
-        ask |= {w for w in p.local if len(w) > 1 and not reader.common(w)}
+        # a capitalised word that recurs and isn't the corpus's is a name, which stands anyway
+        named = {w for f, parts in zip(p.folded, p.parts) for w, x in zip(f, parts) if x[2][:1].isupper() and p.local[w] > 1 and w.isalpha() and reader.df.get(w, 0) < reader.floor}
+        ask |= {w for w in p.local if len(w) > 1 and not reader.common(w) and w not in named}
         p.join, p.edge = [], set()
         for i, k in p.breaks():
             a, b = _LEFT.search(p.lines[i].rstrip(" \t\r\f")[:-1]), _RIGHT.match(p.lines[k].lstrip(" \t\r\f"))
