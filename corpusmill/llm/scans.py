@@ -8,13 +8,12 @@ their frequency and by the words next to them. Page furniture is then removed an
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 import uuid
 from collections import Counter
 from functools import lru_cache
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.automata import Trie
 from corpusmill.llm.lookalikes import _LATIN_LIKE, _LIKE, prototype, script
+from corpusmill.plans.lineage import written
 
 #: A word belongs to the vocabulary if it is in at least this share of the documents, and in LEAST_DOCS.
 #: With at most D distinct words a document on average, it has at most D / VOCABULARY_SHARE words.
@@ -47,8 +47,6 @@ _TITLED = regex.compile(rf"^(?:(?P<a>{_N})(?:\s{{2,}}|\s*[|·•]\s*)(?P<ta>\p{{
 _FOLD_DIGITS = str.maketrans("lI|OoS", "111005")
 _ENDS = regex.compile(r"[.!?…:;,][\"»”’')\]]*$")
 _STOPS = regex.compile(r"[.!?…][\"»”’')\]]*$")
-_TOKEN = regex.compile(r"[^\s]+")
-_EDGE = regex.compile(r"^[^\p{L}\p{N}@\\/|$€]+|(?<![\\])[^\p{L}\p{N}@$€\p{M}]+$")
 _MARKS = "-¬‐­"
 
 
@@ -82,45 +80,24 @@ def fold(word: str) -> str:
     return "".join(_TO_CYRILLIC.get(c, c) for c in unicodedata.normalize("NFKC", word)).lower()
 
 
-def misread_cost(seen: str, meant: str) -> float:
-    """Least cost of `meant` having been read as `seen`: 1 for a known misreading, 3 for any other edit.
-    Letters alike at either end are set aside, so few different middles are ever worked out."""
+def misread_cost(seen: str, meant: str, most: int = 2) -> int:
+    """How many known misreadings make `seen` of `meant`; 99 if more than `most`, or other edits, are needed."""
     a, n = 0, min(len(seen), len(meant))
     while a < n and seen[a] == meant[a]:
         a += 1
-    b = 0
-    while b < n - a and seen[-1 - b] == meant[-1 - b]:
-        b += 1
-    return _middle_cost(seen[a : len(seen) - b], meant[a : len(meant) - b])
+    if a == len(seen) == len(meant):
+        return 0
+    best = 99
+    if most and a < len(seen):
+        for s, m in _BY_FIRST.get(seen[a], ()):
+            if meant.startswith(m, a) and seen.startswith(s, a):
+                best = min(best, 1 + misread_cost(seen[a + len(s) :], meant[a + len(m) :], most - 1))
+    return best
 
 
-@lru_cache(maxsize=1 << 17)
-def _middle_cost(seen: str, meant: str) -> float:
-    big = 99.0
-    cost = [[big] * (len(meant) + 1) for _ in range(len(seen) + 1)]
-    cost[0][0] = 0.0
-    for i in range(len(seen) + 1):
-        for j in range(len(meant) + 1):
-            c = cost[i][j]
-            if c >= big:
-                continue
-            if i < len(seen) and j < len(meant):
-                d = 0.0 if seen[i] == meant[j] else 3.0
-                cost[i + 1][j + 1] = min(cost[i + 1][j + 1], c + d)
-            if i < len(seen):
-                cost[i + 1][j] = min(cost[i + 1][j], c + 3.0)
-            if j < len(meant):
-                cost[i][j + 1] = min(cost[i][j + 1], c + 3.0)
-            for k in (1, 2, 3):
-                for m in _BY_SEEN.get(seen[i : i + k], ()) if i + k <= len(seen) else ():
-                    if meant.startswith(m, j):
-                        cost[i + k][j + len(m)] = min(cost[i + k][j + len(m)], c + 1.0)
-    return cost[-1][-1]
-
-
-_BY_SEEN: dict[str, list[str]] = {}
+_BY_FIRST: dict[str, list[tuple[str, str]]] = {}
 for _s, _m in _MISREAD:
-    _BY_SEEN.setdefault(_s, []).append(_m)
+    _BY_FIRST.setdefault(_s[0], []).append((_s, _m))
 
 
 def likeness(a: str, b: str) -> bool:
@@ -135,7 +112,7 @@ def likeness(a: str, b: str) -> bool:
     differ = [(p, q) for p, q in zip(x, y) if p != q]
     if len(differ) > max(1, len(x) // 2) or any(abs(len(p) - len(q)) > 3 for p, q in differ):
         return False
-    return all(min(misread_cost(p, q), misread_cost(q, p)) <= 3.0 for p, q in differ)
+    return all(min(misread_cost(p, q), misread_cost(q, p)) <= 2 for p, q in differ)
 
 
 def _other_form(strip: list[str], i: int, others: list[int]) -> bool:
@@ -256,69 +233,65 @@ class Reader:
         self.floor = max(LEAST_DOCS, VOCABULARY_SHARE * documents)
         plain = [w for w in vocabulary if regex.fullmatch(r"[\p{L}\p{M}]{2,60}", w)]
         self.trie = Trie(plain)
-        self.known: dict[str, list[tuple[str, float]]] = {}
+        self.known: dict[str, list[str]] = {}
+        self.fine: set[str] = set()
 
     def common(self, word: str) -> bool:
         """Whether a word is in too many documents for any other to be TIMES as common."""
         return self.df.get(word, 0) * TIMES > self.docs
 
     def candidates(self, words: set[str]) -> None:
-        """Looks up all words within two edits of each of `words` and ranks them."""
+        """Looks up all words within two edits of each of `words`, keeps those of which it may be a misreading,
+        and ranks them by misreadings, then by documents. Words of the corpus without any are `fine`."""
         if len(self.known) > 300_000:
-            self.known = {}
+            self.known, self.fine = {}, set()
         new = [w for w in words if w not in self.known]
         for w, near in zip(new, self.trie.within(new, 2)):
-            own = self.df.get(w, self.floor / 3)
-            rank = []
+            own = self.df.get(w, 0)
+            least = TIMES * (own or self.floor / 3)
+            odd, rank = not w.isalpha(), []
             for v, _ in near:
-                if v != w and self.df[v] >= TIMES * own:
+                if v != w and self.df[v] >= least:
                     c = misread_cost(w, v)
-                    if c <= 3.0 or c <= 4.0 and len(v) >= 7:
-                        rank.append((c - 0.35 * math.log10(self.df[v]), v, c))
-            self.known[w] = [(v, c) for _, v, c in sorted(rank)[:4]]
-
-    def meant(self, part: str, seen: str, times: int, local: Counter) -> str | None:
-        """The word that `seen` (folded) was misread from, or None if it stands."""
-        own = self.df.get(seen, 0)
-        odd = any(not c.isalpha() for c in seen)
-        best = None
-        name = part[:1].isupper() and not odd
-        for v, c in self.known.get(seen, ()):
-            if c > 2.0 and own >= self.floor:
-                continue  # a word of the corpus in its own right
-            if c <= 1.0 or c <= 2.0 and (odd or len(v) >= 5) or c <= 3.0 and len(v) >= 6 and not name or c <= 4.0 and len(v) >= 8 and not name:
-                best = v
-                break
-        if best is None or name and times >= 2 and own < self.floor:
-            # a name of the document misread
-            if own < self.floor and times == 1 and len(seen) >= 4:
-                for v, k in local.items():
-                    if k >= 2 and v != seen and abs(len(v) - len(seen)) <= 2 and v[:1].isalpha() and misread_cost(seen, v) == 1.0:
-                        return v
-            return None
-        return best
-
-
-_WORDISH = regex.compile(r"[\p{L}\p{M}\p{N}@\\/|$€!]+")
+                    if c == 1 or c == 2 and (odd or len(v) >= 5):
+                        rank.append((c - 0.35 * math.log10(self.df[v]), v))
+            self.known[w] = [v for _, v in sorted(rank)[:4]]
+            if not rank and own >= self.floor:
+                self.fine.add(w)
+
+    def meant(self, part: str, seen: str, times: int, names: list[str]) -> str | None:
+        """The word that `seen` (folded) was misread from, or None if it stands. A capitalised word that recurs in
+        its document is a name; one that doesn't may be a misreading of such a name."""
+        near, own = self.known.get(seen, ()), self.df.get(seen, 0)
+        name = part[:1].isupper() and seen.isalpha() and own < self.floor
+        if near and not (name and times > 1):
+            return near[0]
+        if times == 1 and own < self.floor and len(seen) >= 4:
+            return next((v for v in names if abs(len(v) - len(seen)) <= 2 and v != seen and misread_cost(seen, v, 1) == 1), None)
+        return None
+
+
+_PART = re.compile(r"[\w@\\|$€][\w@\\/|$€!]*")
+_LETTER = re.compile(r"[^\W\d_]|@")
 
 
 def _parts(line: str) -> list[tuple[int, int, str]]:
-    """(start, end, text) of the parts of a line's words that hold a letter: tokens without signs at
-    their ends, divided at hyphens and apostrophes. Web addresses and the like are left out."""
+    """(start, end, text) of the parts of a line's words that hold a letter: runs of letters, digits and signs read
+    for letters, without signs at their end. Web and mail addresses are left out."""
     out = []
-    for m in _TOKEN.finditer(line):
+    address = "://" in line or "www." in line
+    for m in _PART.finditer(line):
         t = m.group()
-        if "://" in t or t.count("/") > 1 and "\\/" not in t or "@" in t and "." in t:
-            continue
-        for p in _WORDISH.finditer(t):
-            s = p.group()
-            a, b = 0, len(s)
-            while b > a and s[b - 1] in "!/|":
-                b -= 1
-            while a < b and s[a] in "!/":
-                a += 1
-            if any(c.isalpha() for c in s[a:b]) or "@" in s[a:b]:
-                out.append((m.start() + p.start() + a, m.start() + p.start() + b, s[a:b]))
+        if not t.isalpha():
+            t = t.rstrip("!/|")
+            if not _LETTER.search(t):
+                continue
+            if address or "@" in t and "." in line:
+                a, b = line.rfind(" ", 0, m.start()) + 1, line.find(" ", m.end())
+                token = line[a : b if b >= 0 else len(line)]
+                if "://" in token or token.startswith("www.") or "@" in token and "." in token.strip(".,;:!?)"):
+                    continue
+        out.append((m.start(), m.start() + len(t), t))
     return out
 
 
@@ -332,6 +305,7 @@ def _wrapped(lines: list[str]) -> bool:
 
 
 _INVISIBLE = regex.compile(r"\p{Cf}(?<!\xad(?=\s*$))")
+_UNSEEN = regex.compile(r"\p{Cf}|[\p{Zs}--\ ]", regex.V1)
 _SPACES = regex.compile(r"[\p{Zs}--\ ]", regex.V1)
 
 
@@ -340,7 +314,11 @@ class Page:
 
     def __init__(self, text: str, title: str | None):
         # invisible characters and other spaces are no concern here, but for a soft hyphen at a line's end
-        self.lines = [_INVISIBLE.sub("", _SPACES.sub(" ", x)) if not x.isascii() else x for x in text.split("\n")]
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+            if _UNSEEN.search(text):
+                text = "\n".join(_INVISIBLE.sub("", _SPACES.sub(" ", x)) for x in text.split("\n"))
+        self.lines = text.split("\n")
         self.scan = _wrapped(self.lines)
         self.drop = furniture(self.lines, title) if len(self.lines) > 2 and (self.scan or "\f" in text) else [False] * len(self.lines)
         self.scan = self.scan or any(self.drop)
@@ -371,11 +349,12 @@ def repair(reader: Reader, texts: list[str | None], titles: list[str | None]) ->
     for p in pages:
         if p is None or not p.scan:
             continue
-        p.folded = [[fold(x[2]) for x in parts] for parts in p.parts]
+        p.folded = [[x[2].lower() if x[2].isascii() else fold(x[2]) for x in parts] for parts in p.parts]
         p.local = Counter(w for f in p.folded for w in f)
         # a capitalised word that recurs and isn't the corpus's is a name, which stands anyway
         named = {w for f, parts in zip(p.folded, p.parts) for w, x in zip(f, parts) if x[2][:1].isupper() and p.local[w] > 1 and w.isalpha() and reader.df.get(w, 0) < reader.floor}
-        ask |= {w for w in p.local if len(w) > 1 and not reader.common(w) and w not in named}
+        p.names = [w for w in named if len(w) >= 4]
+        ask |= {w for w in p.local if len(w) > 1 and w not in reader.fine and not reader.common(w) and w not in named}
         p.join, p.edge = [], set()
         for i, k in p.breaks():
             a, b = _LEFT.search(p.lines[i].rstrip(" \t\r\f")[:-1]), _RIGHT.match(p.lines[k].lstrip(" \t\r\f"))
@@ -416,11 +395,11 @@ def repair(reader: Reader, texts: list[str | None], titles: list[str | None]) ->
         wrong: dict[int, list] = {}
         for i, (parts, folded) in enumerate(zip(p.parts, p.folded)):
             for j, ((s, e, part), w) in enumerate(zip(parts, folded)):
-                if (i, j) in p.edge and w.isalpha() or len(w) < 2 or reader.common(w):
+                if w in reader.fine or len(w) < 2 or reader.common(w) or (i, j) in p.edge and w.isalpha():
                     continue
                 if sum(c.isdigit() for c in w) * 2 > len(w) and len(w) > 2:
                     continue
-                if v := reader.meant(part, w, p.local[w], p.local):
+                if v := reader.meant(part, w, p.local[w], p.names):
                     wrong.setdefault(i, []).append((s, e, v))
         # a broken word is judged as a whole; a misreading counts on the line that holds it
         for i, k, a, b in p.join:
@@ -429,7 +408,7 @@ def repair(reader: Reader, texts: list[str | None], titles: list[str | None]) ->
                 w = last + first
                 if reader.common(w) or not p.parts[i] or not p.parts[k]:
                     continue
-                v = reader.meant(last, w, 1, p.local)
+                v = reader.meant(last, w, 1, p.names)
                 if v:
                     left = v.startswith(last)
                     s, e, _ = p.parts[k][0] if left else p.parts[i][-1]
@@ -479,21 +458,42 @@ def reflowed(page: Page, hyphen: list[int], wrong: dict[int, list[tuple[int, int
     return "\n\n".join(out + [now] if now else out)
 
 
-_SPLIT = r"[\p{L}\p{M}]+(?:-[\p{L}\p{M}]+)*"
+_BROKEN = re.compile(r"[\w-]+[-¬\xad][ \t\f]*\r?\n\s*\w+")
+_WORDS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+#: Words a task counts before it hands them on.
+COUNTED_WORDS = 500_000
+
+
+def _counts(batches):
+    df: Counter = Counter()
+    for b in batches:
+        for t in b.column("text").to_pylist():
+            low = t.lower() if t.isascii() else unicodedata.normalize("NFC", t.lower())
+            if "\n" in low:
+                low = _BROKEN.sub(" ", low)
+            words = set(_WORDS.findall(low))
+            for w in [w for w in words if "-" in w]:
+                words.update(w.split("-"))
+            df.update(words)
+            df[""] += 1
+        if len(df) > COUNTED_WORDS:
+            yield pa.RecordBatch.from_pydict({"w": list(df), "n": list(df.values())})
+            df = Counter()
+    if df:
+        yield pa.RecordBatch.from_pydict({"w": list(df), "n": list(df.values())})
 
 
 def vocabulary(docs: DataFrame) -> tuple[dict[str, int], int]:
     """Words, and words joined by hyphens, with the number of documents they are in; and the documents.
 
-    All documents are counted; only words in a set share of them reach the driver, which bounds their
-    number (see VOCABULARY_SHARE). Words broken at a line's end aren't counted."""
-    n = docs.where(F.col("text").isNotNull()).count()
-    low = F.lower(F.regexp_replace("text", r"[\p{L}\p{M}-]+[-¬\x{AD}][ \t\f]*\r?\n\s*[\p{L}\p{M}]+", " "))
-    words = F.regexp_extract_all(low, F.lit(_SPLIT), F.lit(0))
-    both = F.array_distinct(F.concat(words, F.flatten(F.transform(F.filter(words, lambda w: w.contains("-")), lambda w: F.split(w, "-")))))
-    count = docs.where(F.col("text").isNotNull()).select(F.explode(both).alias("w")).where(F.length("w") <= 60).groupBy("w").count()
-    kept = count.where(F.col("count") >= max(LEAST_DOCS, VOCABULARY_SHARE * n)).toArrow()
-    return dict(zip(kept.column("w").to_pylist(), kept.column("count").to_pylist())), n
+    All documents are counted, each task adding up its own before the shuffle; only words in a set share of
+    them reach the driver, which bounds their number (see VOCABULARY_SHARE). Words broken at a line's
+    end aren't counted."""
+    text = docs.where(F.col("text").isNotNull()).select("text")
+    count = written(text.mapInArrow(_counts, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
+    n = (count.where("w = ''").first() or (None, 0))[1]
+    kept = count.where((F.col("w") != "") & (F.length("w") <= 60) & (F.col("n") >= max(LEAST_DOCS, VOCABULARY_SHARE * n))).toArrow()
+    return dict(zip(kept.column("w").to_pylist(), kept.column("n").to_pylist())), n
 
 
 def _runner(docs: DataFrame, schema: pa.Schema, ddl: str, rows_of):
