@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from corpusmill.functions.vectors import dot, doubles, l2_normalize, mean_vector, similarity
 
 
-def _split(counts: list[float], start: int, least: int, level: int, path: str) -> dict:
-    """Node over positions start.. with its children: divided at the first largest count (not at 0)."""
-    root = {"level": level, "path": path, "start": start, "end": start + len(counts) - 1, "children": []}
+def _split(counts: list[float], least: int) -> dict:
+    """Node over positions 0.. with its children: divided at the first largest count (not at 0)."""
+    root = {"level": 0, "start": 0, "end": len(counts) - 1, "children": []}
     todo = [(root, counts)]
     while todo:
         node, c = todo.pop()
@@ -26,11 +26,10 @@ def _split(counts: list[float], start: int, least: int, level: int, path: str) -
         if at == 0:
             at = max(range(1, len(c)), key=lambda i: (c[i], -i))
         s = node["start"]
-        for side, a, b in (("L", 0, at), ("R", at, len(c))):
-            # the left side keeps the divider, the right side starts after it where that leaves enough
-            lo, hi = (s + a, s + b) if side == "L" else (s + a, s + b - 1)
-            if hi - lo + 1 >= least and b > a and (lo, hi) != (node["start"], node["end"]):
-                kid = {"level": node["level"] + 1, "path": f"{node['path']}-{side}", "start": lo, "end": hi, "children": []}
+        for a, b in ((0, at), (at, len(c))):
+            # the divider begins the right side
+            if b - a >= least:
+                kid = {"level": node["level"] + 1, "start": s + a, "end": s + b - 1, "children": []}
                 node["children"].append(kid)
                 todo.append((kid, c[a:b]))
     return root
@@ -65,7 +64,7 @@ def segment_tree(counts: DataFrame, key: str = "doc_id", pos: str = "sent_ind",
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(pos)
         first = int(pdf[pos].iat[0])
-        root = _simplified(_split(pdf["cnt"].astype(float).tolist(), 0, min_node_size, 0, ""), 0)
+        root = _simplified(_split(pdf["cnt"].astype(float).tolist(), min_node_size), 0)
         rows, todo, no = [], [(root, 0, "")], 0
         while todo:
             n, parent, path = todo.pop()

@@ -36,7 +36,7 @@ def candidates(docs: DataFrame, least: int = 1, most: int = 4) -> DataFrame:
     Built-in candidates for texts without tags; no shuffle. Null and empty texts have none."""
     w = F.transform(words(F.col("text")), lambda t: F.when(t.isin(*STOP_WORDS), F.lit("|")).otherwise(t))
     runs = F.split(F.array_join(w, " "), r"\|")
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.transform(runs, F.trim)).alias("term")).where((F.col("term") != "") & count_words(F.col("term")).between(least, most))
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.transform(runs, lambda x: F.trim(x))).alias("term")).where((F.col("term") != "") & count_words(F.col("term")).between(least, most))
 
 
 def term_counts(occurrences: DataFrame) -> DataFrame:

@@ -151,10 +151,10 @@ def davies_bouldin(v: DataFrame, dim: int) -> DataFrame:
 def calinski_harabasz(v: DataFrame, dim: int) -> DataFrame:
     """One row (calinski_harabasz): spread between label means over spread within, each by its degrees of freedom."""
     c = group_means(v, "label", dim, unit=False)
-    whole = v.agg(mean_vector(F.col("embedding"), dim).alias("g"), F.count("*").alias("N"))
-    between = c.crossJoin(F.broadcast(whole)).agg(F.sum(F.col("n") * F.pow(_distance(F.col("mean"), F.col("g")), 2)).alias("bss"), F.count("*").alias("k"), F.max("N").alias("N"))
+    whole = v.agg(mean_vector(F.col("embedding"), dim).alias("g"), F.count("*").alias("total"))
+    between = c.crossJoin(F.broadcast(whole)).agg(F.sum(F.col("n") * F.pow(_distance(F.col("mean"), F.col("g")), 2)).alias("bss"), F.count("*").alias("k"), F.max("total").alias("total"))
     within = v.join(c, "label").agg(F.sum(F.pow(_distance(F.col("embedding"), F.col("mean")), 2)).alias("wss"))
-    return between.crossJoin(F.broadcast(within)).select((F.col("bss") * (F.col("N") - F.col("k")) / (F.col("wss") * (F.col("k") - 1))).alias("calinski_harabasz"))
+    return between.crossJoin(F.broadcast(within)).select((F.col("bss") * (F.col("total") - F.col("k")) / (F.col("wss") * (F.col("k") - 1))).alias("calinski_harabasz"))
 
 
 def exemplars(members: DataFrame, clusters: DataFrame, dim: int) -> DataFrame:

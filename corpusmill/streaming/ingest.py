@@ -26,4 +26,4 @@ def _terms():
     from corpusmill.operators.terms import STOP_WORDS
 
     w = F.transform(words(F.col("text")), lambda t: F.when(t.isin(*STOP_WORDS), F.lit("|")).otherwise(t))
-    return F.filter(F.transform(F.split(F.array_join(w, " "), r"\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.array_join(w, " "), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
