@@ -137,8 +137,8 @@ def furniture(lines: list[str], title: str | None = None) -> list[bool]:
     cand: list[tuple[int, int, str]] = []  # line, number, kind
     for i in full:
         s = strip[i]
-        if len(s) > 120 or not any(c in "0123456789lIOo|Sivx" for c in s):
-            continue
+        if len(s) > 120 or len(s) > 28 and "  " not in s and "|" not in s and "·" not in s and "•" not in s:
+            continue  # no number alone and no title set apart from one
         if m := _NUMBER.match(s):
             kind = "plain" if m["plain"] else "sign" if m["sign"] else "word"
             digits = regex.findall(rf"(?<![^\W\d_]){_D}{{1,4}}(?![^\W\d_])", s) if kind == "word" else regex.findall(_N, s)
@@ -235,6 +235,8 @@ class Reader:
         self.trie = Trie(plain)
         self.known: dict[str, list[str]] = {}
         self.fine: set[str] = set()
+        self.okay: set[str] = set()
+        self.seen: set[str] = set()
 
     def common(self, word: str) -> bool:
         """Whether a word is in too many documents for any other to be TIMES as common."""
@@ -244,7 +246,7 @@ class Reader:
         """Looks up all words within two edits of each of `words`, keeps those of which it may be a misreading,
         and ranks them by misreadings, then by documents. Words of the corpus without any are `fine`."""
         if len(self.known) > 300_000:
-            self.known, self.fine = {}, set()
+            self.known, self.fine, self.okay, self.seen = {}, set(), set(), set()
         new = [w for w in words if w not in self.known]
         for w, near in zip(new, self.trie.within(new, 2)):
             own = self.df.get(w, 0)
@@ -259,6 +261,17 @@ class Reader:
             if not rank and own >= self.floor:
                 self.fine.add(w)
 
+    def learn(self, page: Page) -> None:
+        """Tokens of the page all of whose words are fine need no second look."""
+        if len(self.okay) > 300_000:
+            self.okay, self.seen = set(), set()
+        tokens = {t for i in page.parts for t in page.lines[i].split()} - self.okay - self.seen
+        for t in tokens:
+            if t[-1] not in _MARKS and all(len(w) < 2 or w in self.fine or self.common(w) for w in (fold(x[2]) for x in _parts(t))):
+                self.okay.add(t)
+            else:
+                self.seen.add(t)
+
     def meant(self, part: str, seen: str, times: int, names: list[str]) -> str | None:
         """The word that `seen` (folded) was misread from, or None if it stands. A capitalised word that recurs in
         its document is a name; one that doesn't may be a misreading of such a name."""
@@ -310,25 +323,21 @@ _SPACES = regex.compile(r"[\p{Zs}--\ ]", regex.V1)
 
 
 class Page:
-    """One text: its lines, which of them are furniture, broken and misread words."""
+    """One text: its lines, which of them are furniture, and whether it is a scan."""
 
     def __init__(self, text: str, title: str | None):
-        # invisible characters and other spaces are no concern here, but for a soft hyphen at a line's end
-        if not text.isascii():
+        self.lines = text.split("\n")
+        self.scan = len(self.lines) > 2 and ("\f" in text or _wrapped(self.lines))
+        if self.scan and not text.isascii():
             text = unicodedata.normalize("NFC", text)
             if _UNSEEN.search(text):
                 text = "\n".join(_INVISIBLE.sub("", _SPACES.sub(" ", x)) for x in text.split("\n"))
-        self.lines = text.split("\n")
-        self.scan = _wrapped(self.lines)
-        self.drop = furniture(self.lines, title) if len(self.lines) > 2 and (self.scan or "\f" in text) else [False] * len(self.lines)
-        self.scan = self.scan or any(self.drop)
-        self.parts = [_parts(x) if self.scan and not d else [] for x, d in zip(self.lines, self.drop)]
+            self.lines = text.split("\n")
+        self.drop = furniture(self.lines, title) if self.scan else [False] * len(self.lines)
 
     def breaks(self) -> list[tuple[int, int]]:
         """(line, next line of text) where a line ends in a letter and a mark."""
         out = []
-        if not self.scan:
-            return out
         kept = [i for i, x in enumerate(self.lines) if x.strip(" \t\r\f") and not self.drop[i]]
         for i, k in zip(kept, kept[1:]):
             e = self.lines[i].rstrip(" \t\r\f")
@@ -341,80 +350,87 @@ _LEFT = regex.compile(r"[\p{L}\p{M}\p{N}@\\/|]+(?:[-’'][\p{L}\p{M}\p{N}@\\/|]+
 _RIGHT = regex.compile(r"^[\p{L}\p{M}\p{N}@\\/|]+(?:-[\p{L}\p{M}\p{N}@\\/|]+)*")
 
 
+def _doubtful(reader: Reader, page: Page) -> None:
+    """Takes apart the lines of a page that hold more than words known to be fine, and what it says of them."""
+    p = page
+    p.join, p.edge, p.parts, p.folded = [], set(), {}, {}
+    beside = set()
+    breaks = p.breaks()
+    for i, k in breaks:
+        beside |= {i, k}
+    for i, x in enumerate(p.lines):
+        if not p.drop[i] and (i in beside or not reader.okay.issuperset(x.split())):
+            p.parts[i] = _parts(x)
+            p.folded[i] = [y[2].lower() if y[2].isascii() else fold(y[2]) for y in p.parts[i]]
+    p.local = Counter(w for f in p.folded.values() for w in f)
+    for i, k in breaks:
+        a, b = _LEFT.search(p.lines[i].rstrip(" \t\r\f")[:-1]), _RIGHT.match(p.lines[k].lstrip(" \t\r\f"))
+        if a and b:
+            p.join.append((i, k, fold(a.group()), fold(b.group())))
+            p.edge |= {(i, len(p.parts[i]) - 1), (k, 0)}
+    # a capitalised word that recurs and isn't the corpus's is a name, which stands anyway
+    p.named = {w for i, f in p.folded.items() for w, x in zip(f, p.parts[i]) if x[2][:1].isupper() and p.local[w] > 1 and w.isalpha() and reader.df.get(w, 0) < reader.floor}
+    p.names = [w for w in p.named if len(w) >= 4]
+
+
+def _last(word: str) -> str:
+    return re.split("[-’']", word)[-1]
+
+
+def _belongs(reader: Reader, page: Page, i: int, k: int, a: str, b: str) -> bool:
+    """Whether the mark at the end of line i is one of the word's own: of a compound the corpus has, or before a
+    capital; else the parts joined are a word of the corpus, near one, or of the document."""
+    last, first, df = _last(a), b.split("-")[0], reader.df
+    upper = page.lines[k].lstrip(" \t\r\f")[:1].isupper() and not page.lines[i].isupper()
+    if upper or page.lines[i].rstrip(" \t\r\f")[-1] != "-":
+        return upper
+    whole = df.get(last + first, 0)
+    compound = max(df.get(x, 0) for x in (a + "-" + b, last + "-" + first, a + "-" + first, last + "-" + b))
+    if whole or compound:
+        return compound >= whole
+    if reader.known.get(last + first) or page.local.get(last + first, 0):
+        return False
+    return min(df.get(last, 0), df.get(first, 0)) >= reader.floor and len(last) > 1 and len(first) > 1
+
+
 def repair(reader: Reader, texts: list[str | None], titles: list[str | None]) -> list[tuple[Page, list[int], dict[int, list[tuple[int, int, str]]], dict[int, int]] | None]:
     """For each text its Page, the lines broken within a word, the misread parts by line as (start, end,
     word meant), and for broken lines the line where the word goes on; None for null texts."""
     pages = [Page(t, ti) if t else None for t, ti in zip(texts, titles)]
     ask: set[str] = set()
     for p in pages:
-        if p is None or not p.scan:
-            continue
-        p.folded = [[x[2].lower() if x[2].isascii() else fold(x[2]) for x in parts] for parts in p.parts]
-        p.local = Counter(w for f in p.folded for w in f)
-        # a capitalised word that recurs and isn't the corpus's is a name, which stands anyway
-        named = {w for f, parts in zip(p.folded, p.parts) for w, x in zip(f, parts) if x[2][:1].isupper() and p.local[w] > 1 and w.isalpha() and reader.df.get(w, 0) < reader.floor}
-        p.names = [w for w in named if len(w) >= 4]
-        ask |= {w for w in p.local if len(w) > 1 and w not in reader.fine and not reader.common(w) and w not in named}
-        p.join, p.edge = [], set()
-        for i, k in p.breaks():
-            a, b = _LEFT.search(p.lines[i].rstrip(" \t\r\f")[:-1]), _RIGHT.match(p.lines[k].lstrip(" \t\r\f"))
-            if a and b:
-                p.join.append((i, k, fold(a.group()), fold(b.group())))
-                p.edge |= {(i, len(p.parts[i]) - 1), (k, 0)}
-                last = regex.split(r"[-’']", fold(a.group()))[-1]
-                ask.add(last + fold(b.group()).split("-")[0])
+        if p is not None and p.scan:
+            _doubtful(reader, p)
+            ask |= {w for w in p.local if len(w) > 1 and w not in reader.fine and w not in p.named and not reader.common(w)}
+            ask |= {_last(a) + b.split("-")[0] for _, _, a, b in p.join}
     reader.candidates(ask)
     out: list = []
     for p in pages:
         if p is None or not p.scan:
             out.append(None if p is None else (p, [], {}, {}))
             continue
-        hyphen, at = [], {}
-        df = reader.df
-        for i, k, a, b in p.join:
-            mark = p.lines[i].rstrip(" \t\r\f")[-1]
-            last, first = regex.split(r"[-’']", a)[-1], b.split("-")[0]
-            whole = df.get(last + first, 0)
-            compound = max(df.get(a + "-" + b, 0), df.get(last + "-" + first, 0), df.get(a + "-" + first, 0), df.get(last + "-" + b, 0))
-            near = bool(reader.known.get(last + first))
-            local = p.local.get(last + first, 0)
-            upper = p.lines[k].lstrip(" \t\r\f")[:1].isupper() and not p.lines[i].isupper()
-            if mark != "-":
-                belongs = upper
-            elif upper:
-                belongs = True
-            elif whole or compound:
-                belongs = compound >= whole
-            elif near or local:
-                belongs = False
-            else:
-                belongs = df.get(last, 0) >= reader.floor and df.get(first, 0) >= reader.floor and len(last) > 1 and len(first) > 1
-            if not belongs:
-                hyphen.append(i)
-                at[i] = k
+        at = {i: k for i, k, a, b in p.join if not _belongs(reader, p, i, k, a, b)}
         wrong: dict[int, list] = {}
-        for i, (parts, folded) in enumerate(zip(p.parts, p.folded)):
-            for j, ((s, e, part), w) in enumerate(zip(parts, folded)):
+        for i, parts in p.parts.items():
+            for j, ((s, e, part), w) in enumerate(zip(parts, p.folded[i])):
                 if w in reader.fine or len(w) < 2 or reader.common(w) or (i, j) in p.edge and w.isalpha():
                     continue
-                if sum(c.isdigit() for c in w) * 2 > len(w) and len(w) > 2:
+                if len(w) > 2 and not w.isalpha() and sum(c.isdigit() for c in w) * 2 > len(w):
                     continue
                 if v := reader.meant(part, w, p.local[w], p.names):
                     wrong.setdefault(i, []).append((s, e, v))
         # a broken word is judged as a whole; a misreading counts on the line that holds it
         for i, k, a, b in p.join:
-            if i in at:
-                last, first = regex.split(r"[-’']", a)[-1], b.split("-")[0]
-                w = last + first
-                if reader.common(w) or not p.parts[i] or not p.parts[k]:
-                    continue
-                v = reader.meant(last, w, 1, p.names)
-                if v:
-                    left = v.startswith(last)
-                    s, e, _ = p.parts[k][0] if left else p.parts[i][-1]
-                    n = len(last)
-                    wrong.setdefault(k if left else i, []).append((s, e, v[n:] if left else v[: len(v) - len(first)] if v.endswith(first) else v[:n]))
-        out.append((p, hyphen, wrong, at))
+            last, first = _last(a), b.split("-")[0]
+            if i not in at or reader.common(last + first) or not p.parts[i] or not p.parts[k]:
+                continue
+            if v := reader.meant(last, last + first, 1, p.names):
+                left = v.startswith(last)
+                s, e, _ = p.parts[k][0] if left else p.parts[i][-1]
+                n = len(last)
+                wrong.setdefault(k if left else i, []).append((s, e, v[n:] if left else v[: len(v) - len(first)] if v.endswith(first) else v[:n]))
+        reader.learn(p)
+        out.append((p, list(at), wrong, at))
     return out
 
 
@@ -464,21 +480,27 @@ _WORDS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 COUNTED_WORDS = 500_000
 
 
+def _words_of(token: str) -> tuple[str, ...]:
+    low = token.lower() if token.isascii() else unicodedata.normalize("NFC", token.lower())
+    out = _WORDS.findall(low)
+    return tuple({*out, *(x for w in out if "-" in w for x in w.split("-"))})
+
+
 def _counts(batches):
     df: Counter = Counter()
+    words: dict[str, tuple[str, ...]] = {}
     for b in batches:
         for t in b.column("text").to_pylist():
-            low = t.lower() if t.isascii() else unicodedata.normalize("NFC", t.lower())
-            if "\n" in low:
-                low = _BROKEN.sub(" ", low)
-            words = set(_WORDS.findall(low))
-            for w in [w for w in words if "-" in w]:
-                words.update(w.split("-"))
-            df.update(words)
+            if "-\n" in t or "¬\n" in t or "-\r" in t or "¬\r" in t or "\xad\n" in t:
+                t = _BROKEN.sub(" ", t)
+            tokens = set(t.split())
+            for new in tokens.difference(words):
+                words[new] = _words_of(new)
+            df.update({w for x in tokens for w in words[x]})
             df[""] += 1
-        if len(df) > COUNTED_WORDS:
+        if len(df) > COUNTED_WORDS or len(words) > COUNTED_WORDS:
             yield pa.RecordBatch.from_pydict({"w": list(df), "n": list(df.values())})
-            df = Counter()
+            df, words = Counter(), {}
     if df:
         yield pa.RecordBatch.from_pydict({"w": list(df), "n": list(df.values())})
 
