@@ -7,9 +7,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd(s: pd.Series) -> pd.Series:
     """Compatibility decomposition. Combining marks stay. Null for null."""
     return s.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKD", t), na_action="ignore")
@@ -17,15 +18,15 @@ def nfkd(s: pd.Series) -> pd.Series:
 
 def normalize_text_block(c: Column, decompose: bool = True) -> Column:
     """A block of extracted text as running text: hyphens, slashes and plus signs before a line end
-    go with it, quotes become spaces, lines that don't end a sentence join a lower-case next one,
+    go with it, double quotes become spaces, lines that don't end a sentence join a lower-case next one,
     lines that do join a next one starting with A-Z or 0-9, newlines and spaces are collapsed."""
     c = F.regexp_replace(c, r"^\s+|\s+$", "")
     c = F.regexp_replace(c, r"[-–—−/+]\n", "")
-    c = F.regexp_replace(c, "[\"“”‘’']", " ")
+    c = F.regexp_replace(c, "[\"“”]", " ")
     if decompose:
         c = nfkd(c)
-    c = F.regexp_replace(c, r"([^.!?\s])[ \t]*\n+[ \t]*(?=\p{Ll})", "$1 ")
-    c = F.regexp_replace(c, r"([.!?])[ \t]*\n[ \t]*(?=[A-Z0-9])", "$1 ")
+    c = F.regexp_replace(c, r"([^.!? \n]) *\n+ *(?=[a-z])", "$1 ")
+    c = F.regexp_replace(c, r"([.!?]) *\n+ *(?=[A-Z0-9])", "$1 ")
     c = F.regexp_replace(F.regexp_replace(c, r"\n+", "\n"), r" +", " ")
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 

@@ -66,16 +66,15 @@ def noun_runs(tokens: DataFrame) -> DataFrame:
 
 def _copulas(w: dict) -> None:
     """The copula takes the place of its head, which becomes its child; subjects of the head turn to it."""
-    for i in sorted(w):
-        if w[i]["dep"] != "cop":
-            continue
-        h = w[i]["head"]
-        if h not in w:
+    done: set[int] = set()
+    for i, h in [(i, w[i]["head"]) for i in sorted(w) if w[i]["dep"] == "cop"]:
+        if i in done or h not in w:
             continue
+        done |= {i, h}
         w[i]["head"], w[i]["dep"] = w[h]["head"], w[h]["dep"]
         w[h]["head"], w[h]["dep"] = i, "cop"
-        for x in w.values():
-            if x["head"] == h and x["dep"] in SUBJECTS:
+        for k, x in w.items():
+            if k not in (i, h) and x["head"] == h and x["dep"] in SUBJECTS:
                 x["head"] = i
 
 

@@ -101,8 +101,8 @@ def suffix_factors(counts: DataFrame) -> DataFrame:
     up = counts.where(F.col("term").contains(" ")).select("doc_id", F.expr("substring(term, instr(term, ' ') + 1)").alias("term"), "cnt")
     s = up.groupBy("doc_id", "term").agg(F.sum("cnt").alias("s"), F.max("cnt").alias("m"))
     z = counts.select("doc_id", "term", "cnt").join(s, ["doc_id", "term"], "left")
-    sc = F.coalesce(F.least("s", "cnt"), F.lit(0))
-    return z.select("doc_id", "term", "cnt", sc.alias("suffix_count"), F.coalesce(F.least("m", sc) / F.when(sc > 0, sc), F.lit(1.0)).alias("suffix_factor"))
+    sc = F.when(F.col("s").isNull(), F.lit(0)).otherwise(F.least("s", "cnt"))
+    return z.select("doc_id", "term", "cnt", sc.alias("suffix_count"), F.when(sc > 0, F.least("m", sc) / sc).otherwise(F.lit(1.0)).alias("suffix_factor"))
 
 
 def c_value(counts: DataFrame, weights: tuple[float, float, float] = C_VALUE_WEIGHTS) -> DataFrame:

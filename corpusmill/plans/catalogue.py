@@ -73,7 +73,7 @@ def combo_basic(table):
 
 _SUFFIX = f"""{_CAND},
 u AS (SELECT doc_id, substring(term, instr(term, ' ') + 1) AS term, sum(cnt) AS s, max(cnt) AS m FROM cnt WHERE contains(term, ' ') GROUP BY 1, 2),
-f AS (SELECT doc_id, term, cnt, CAST(coalesce(least(s, cnt), 0) AS BIGINT) AS suffix_count, m FROM cnt LEFT JOIN u USING (doc_id, term)),
+f AS (SELECT doc_id, term, cnt, CAST(CASE WHEN s IS NULL THEN 0 ELSE least(s, cnt) END AS BIGINT) AS suffix_count, m FROM cnt LEFT JOIN u USING (doc_id, term)),
 g AS (SELECT doc_id, term, cnt, suffix_count, CASE WHEN suffix_count > 0 THEN least(m, suffix_count) / suffix_count ELSE 1.0 END AS suffix_factor FROM f)"""
 
 
