@@ -396,7 +396,7 @@ def _belongs(reader: Reader, page: Page, i: int, k: int, a: str, b: str) -> bool
 def repair(reader: Reader, texts: list[str | None], titles: list[str | None]) -> list[tuple[Page, list[int], dict[int, list[tuple[int, int, str]]], dict[int, int]] | None]:
     """For each text its Page, the lines broken within a word, the misread parts by line as (start, end,
     word meant), and for broken lines the line where the word goes on; None for null texts."""
-    pages = [Page(t, ti) if t else None for t, ti in zip(texts, titles)]
+    pages = [Page(t, ti) if t is not None else None for t, ti in zip(texts, titles)]
     ask: set[str] = set()
     for p in pages:
         if p is not None and p.scan:
