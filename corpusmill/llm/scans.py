@@ -314,7 +314,7 @@ def _wrapped(lines: list[str]) -> bool:
     if len(n) < 3:
         return False
     top = sorted(n)[int(len(n) * 0.85)]
-    return top <= 100 and sum(x >= 0.6 * top for x in n) >= 0.45 * len(n)
+    return 20 <= top <= 100 and sum(x >= 0.6 * top for x in n) >= 0.45 * len(n)
 
 
 _INVISIBLE = regex.compile(r"\p{Cf}(?<!\xad(?=\s*$))")
