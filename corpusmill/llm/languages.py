@@ -167,7 +167,7 @@ def plain_word(word: str) -> str:
 
 _HIDDEN_CHARS = regex.compile(r"\p{Cf}+")
 _ODD = regex.compile(r"[\p{Cf}̀-ͯ＀-￯ﬀ-ﬆ]")
-_WRAP = re.compile(r"(\w)(?:-|¬|­)[ \t]*\r?\n(?=\w)")
+_WRAP = re.compile(r"(\w)[-¬=\xad][ \t]*\r?\n\s*(?=\w)")
 #: A sentence ends at its mark and the quotes after it if a capital, a number or an opening sign follows, or at
 #: an empty line, a heading or the start of an item.
 _END = regex.compile(r"[.!?…][\"»”’')\]]*(\s+)(?=[\"«“‘¿¡(\[*=]*[\p{Lu}\d])|(\n\s*\n)|(\n)(?=\s*(?:==|\*|#))|==(\s*\n)")

@@ -47,7 +47,9 @@ _TITLED = regex.compile(rf"^(?:(?P<a>{_N})(?:\s{{2,}}|\s*[|·•]\s*)(?P<ta>\p{{
 _FOLD_DIGITS = str.maketrans("lI|OoS", "111005")
 _ENDS = regex.compile(r"[.!?…:;,][\"»”’')\]]*$")
 _STOPS = regex.compile(r"[.!?…][\"»”’')\]]*$")
-_MARKS = "-¬‐­"
+#: Marks of a broken word at a line's end; only the common hyphen may be the word's own.
+_MARKS = "-¬=‐\xad"
+_WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 
 
 _ROMAN = regex.compile(r"^(?:xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
@@ -318,7 +320,7 @@ def _wrapped(lines: list[str]) -> bool:
 
 
 _INVISIBLE = regex.compile(r"\p{Cf}(?<!\xad(?=\s*$))")
-_UNSEEN = regex.compile(r"\p{Cf}|[\p{Zs}--\ ]", regex.V1)
+_UNSEEN = regex.compile(r"\p{Cf}|[\p{Zs}--\ ]|[！-～]", regex.V1)
 _SPACES = regex.compile(r"[\p{Zs}--\ ]", regex.V1)
 
 
@@ -331,7 +333,7 @@ class Page:
         if self.scan and not text.isascii():
             text = unicodedata.normalize("NFC", text)
             if _UNSEEN.search(text):
-                text = "\n".join(_INVISIBLE.sub("", _SPACES.sub(" ", x)) for x in text.split("\n"))
+                text = "\n".join(_INVISIBLE.sub("", _SPACES.sub(" ", x)) for x in text.translate(_WIDE).split("\n"))
             self.lines = text.split("\n")
         self.drop = furniture(self.lines, title) if self.scan else [False] * len(self.lines)
 
@@ -381,16 +383,17 @@ def _belongs(reader: Reader, page: Page, i: int, k: int, a: str, b: str) -> bool
     """Whether the mark at the end of line i is one of the word's own: of a compound the corpus has, or before a
     capital; else the parts joined are a word of the corpus, near one, or of the document."""
     last, first, df = _last(a), b.split("-")[0], reader.df
-    upper = page.lines[k].lstrip(" \t\r\f")[:1].isupper() and not page.lines[i].isupper()
-    if upper or page.lines[i].rstrip(" \t\r\f")[-1] != "-":
-        return upper
+    mark = page.lines[i].rstrip(" \t\r\f")[-1]
+    if page.lines[k].lstrip(" \t\r\f")[:1].isupper() and not page.lines[i].isupper():
+        return True
     whole = df.get(last + first, 0)
     compound = max(df.get(x, 0) for x in (a + "-" + b, last + "-" + first, a + "-" + first, last + "-" + b))
     if whole or compound:
         return compound >= whole
-    if reader.known.get(last + first) or page.local.get(last + first, 0):
-        return False
-    return min(df.get(last, 0), df.get(first, 0)) >= reader.floor and len(last) > 1 and len(first) > 1
+    known = min(df.get(last, 0), df.get(first, 0)) >= reader.floor and len(last) > 1 and len(first) > 1
+    if mark == "\xad":  # mostly a stray one between two words
+        return known
+    return mark == "-" and known and not reader.known.get(last + first) and not page.local.get(last + first, 0)
 
 
 def repair(reader: Reader, texts: list[str | None], titles: list[str | None]) -> list[tuple[Page, list[int], dict[int, list[tuple[int, int, str]]], dict[int, int]] | None]:
@@ -474,7 +477,8 @@ def reflowed(page: Page, hyphen: list[int], wrong: dict[int, list[tuple[int, int
     return "\n\n".join(out + [now] if now else out)
 
 
-_BROKEN = re.compile(r"[\w-]+[-¬\xad][ \t\f]*\r?\n\s*\w+")
+_BROKEN = re.compile(r"[\w-]+[-¬=‐\xad][ \t\f]*\r?\n\s*\w+")
+_BREAK = re.compile(r"[-¬=‐\xad][ \t\f]*\r?\n")
 _WORDS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 #: Words a task counts before it hands them on.
 COUNTED_WORDS = 500_000
@@ -491,7 +495,7 @@ def _counts(batches):
     words: dict[str, tuple[str, ...]] = {}
     for b in batches:
         for t in b.column("text").to_pylist():
-            if "-\n" in t or "¬\n" in t or "-\r" in t or "¬\r" in t or "\xad\n" in t:
+            if "\n" in t and _BREAK.search(t):
                 t = _BROKEN.sub(" ", t)
             tokens = set(t.split())
             for new in tokens.difference(words):
