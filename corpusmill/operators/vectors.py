@@ -28,6 +28,30 @@ def listed(df: DataFrame, most: int = MOST_LISTED) -> DataFrame:
     return F.broadcast(df)
 
 
+def _list(df: DataFrame, key: str, vec: str, *more: str, most: int = MOST_LISTED) -> pd.DataFrame:
+    """A bounded list at the driver, in order of its key, vectors as a matrix in attrs["m"]; refused beyond `most` rows."""
+    p = df.where(F.col(vec).isNotNull()).select(key, doubles(F.col(vec)).alias("_v"), *more).limit(most + 1).toPandas().sort_values(key, ignore_index=True)
+    if len(p) > most:
+        raise ValueError(f"more than {most} rows to compare with; use the leaf search of nearest neighbours")
+    p.attrs["m"] = np.stack(p["_v"].to_numpy()) if len(p) else np.zeros((0, 1))
+    return p.drop(columns="_v")
+
+
+def _against(v: DataFrame, key: str, vec: str, held: pd.DataFrame, work, schema: str, *more: str) -> DataFrame:
+    """`work(ids, matrix, batch, held)` over batches of `v`, with the list sent to every task once."""
+    box = v.sparkSession.sparkContext.broadcast((held, held.attrs["m"]))
+
+    def run(it):
+        h, m = box.value
+        for p in it:
+            if len(p) and len(h):
+                for s in range(0, len(p), 1024):
+                    q = p.iloc[s : s + 1024]
+                    yield work(q[key].to_numpy(), np.stack(q["_v"].to_numpy()), q, h, m)
+
+    return v.where(F.col(vec).isNotNull()).select(key, doubles(F.col(vec)).alias("_v"), *more).mapInPandas(run, schema)
+
+
 def group_means(v: DataFrame, key: str, dim: int, vec: str = "embedding", unit: bool = True) -> DataFrame:
     """(key, n, mean): element-wise mean of each group, at unit length if asked."""
     g = v.where(F.col(vec).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), mean_vector(F.col(vec), dim).alias("m"))
@@ -39,43 +63,39 @@ def grouped_by_label(v: DataFrame, label: str = "label", ind: str = "vec_id") ->
     return v.groupBy(label).agg(F.sort_array(F.collect_list(ind)).alias("inds"))
 
 
-def inner_products(a: DataFrame, b: DataFrame, vec: str = "embedding") -> DataFrame:
-    """(a_id, b_id, ip) of all pairs of `a` and the bounded list `b`, both (vec_id, vec)."""
-    x = a.select(F.col("vec_id").alias("a_id"), F.col(vec).alias("_a"))
-    y = listed(b.select(F.col("vec_id").alias("b_id"), F.col(vec).alias("_b")))
-    return x.join(y).select("a_id", "b_id", dot(F.col("_a"), F.col("_b")).alias("ip"))
+def inner_products(a: DataFrame, b: DataFrame, vec: str = "embedding", least: float | None = None) -> DataFrame:
+    """(a_id, b_id, ip) of all pairs of `a` and the bounded list `b`, both (vec_id, vec); with `least`, of
+    those whose product, rounded to 9 places, is that or more. The list is one matrix in every task."""
+
+    def work(ids, x, q, h, m):
+        ip = x @ m.T
+        i, j = np.nonzero(np.round(ip, 9) >= (-np.inf if least is None else least))
+        return pd.DataFrame({"a_id": ids[i], "b_id": h["vec_id"].to_numpy()[j], "ip": ip[i, j]})
+
+    return _against(a, "vec_id", vec, _list(b, "vec_id", vec), work, "a_id long, b_id long, ip double")
 
 
 def worst_inner_product(v: DataFrame, vec: str = "embedding") -> DataFrame:
-    """One row (worst): the least inner product of any two vectors, each with itself too.
-
-    Every batch is compared with the whole list as one matrix, and gives one number on; the list is
-    refused beyond its bound."""
-    n = v.limit(MOST_LISTED + 1).count()
-    if n > MOST_LISTED:
-        raise ValueError(f"more than {MOST_LISTED} vectors")
-    rows = v.where(F.col(vec).isNotNull()).select(doubles(F.col(vec)).alias("x"))
-    m = rows.toPandas()["x"]
-    whole = np.stack(m.to_numpy()) if len(m) else np.zeros((0, 1))
-    box = v.sparkSession.sparkContext.broadcast(whole)
+    """One row (worst): the least inner product of any two vectors, each with itself too. Every batch is
+    compared with the whole list as one matrix and gives one number on."""
+    v = v.withColumn("_k", F.monotonically_increasing_id())
 
-    def run(it):
-        low = None
-        for p in it:
-            if len(p):
-                k = float((np.stack(p["x"].to_numpy()) @ box.value.T).min())
-                low = k if low is None else min(low, k)
-        yield pd.DataFrame({"w": [low]} if low is not None else {"w": np.zeros(0)})
+    def work(ids, x, q, h, m):
+        return pd.DataFrame({"w": [float((x @ m.T).min())]})
 
-    return rows.mapInPandas(run, "w double").agg(F.min("w").alias("worst"))
+    return _against(v, "_k", vec, _list(v, "_k", vec), work, "w double").agg(F.min("w").alias("worst"))
 
 
 def nearest_item(v: DataFrame, items: DataFrame, vec: str = "embedding") -> DataFrame:
     """(vec_id, item_id, ip): the item of the greatest inner product, rounded to 9 places; at equal
-    ones the smaller id. Partial aggregates keep one item a vector."""
-    p = inner_products(v, items.select(F.col("item_id").alias("vec_id"), vec), vec)
-    best = p.groupBy(F.col("a_id").alias("vec_id")).agg(F.max(F.struct(F.round("ip", 9).alias("ip"), (-F.col("b_id")).alias("i"))).alias("m"))
-    return best.select("vec_id", (-F.col("m.i")).alias("item_id"), F.col("m.ip").alias("ip"))
+    ones the smaller id. Items are a bounded list, one matrix in every task; nothing is shuffled."""
+
+    def work(ids, x, q, h, m):
+        ip = np.round(x @ m.T, 9)
+        at = ip.argmax(1)
+        return pd.DataFrame({"vec_id": ids, "item_id": h["item_id"].to_numpy()[at], "ip": ip[np.arange(len(at)), at]})
+
+    return _against(v, "vec_id", vec, _list(items, "item_id", vec), work, "vec_id long, item_id long, ip double")
 
 
 def context_embeddings(terms: DataFrame, contexts: DataFrame, dim: int, term_weight: float = 10.0, sentence_weight: float = 1.0) -> DataFrame:
@@ -93,7 +113,7 @@ def close_communities(v: DataFrame, threshold: float = 0.96, min_size: int = 2,
     members of an earlier one left out of later ones; those that keep `min_size` stay. community is the
     smallest id. Greedy over the pairs above the threshold, which are found against the checked list;
     the pick itself goes over neighbour lists in one task."""
-    p = inner_products(v, v.select("vec_id", vec), vec).where(F.round("ip", 9) >= threshold)
+    p = inner_products(v, v.select("vec_id", vec), vec, threshold)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         near = {k: sorted(g) for k, g in pdf.groupby("a_id")["b_id"]}
@@ -129,12 +149,24 @@ def _distance(a, b):
 
 def silhouette(v: DataFrame) -> DataFrame:
     """One row (silhouette): mean over vectors of (b - a) / max(a, b), Euclidean, 0 in a label of one
-    vector. Each vector meets the checked list of all; sums per label are partial aggregates."""
-    y = listed(v.select(F.col("vec_id").alias("o"), F.col("embedding").alias("_b"), F.col("label").alias("ol")))
-    d = v.select("vec_id", "label", "embedding").join(y, F.col("vec_id") != F.col("o")).select("vec_id", "label", "ol", _distance(F.col("embedding"), F.col("_b")).alias("d"))
-    m = d.groupBy("vec_id", "label", "ol").agg(F.avg("d").alias("m"))
-    s = m.groupBy("vec_id", "label").agg(F.max(F.when(F.col("label") == F.col("ol"), F.col("m"))).alias("a"), F.min(F.when(F.col("label") != F.col("ol"), F.col("m"))).alias("b"))
-    return s.agg(F.avg(F.when(F.col("a").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))).alias("silhouette"))
+    vector. Each batch meets the bounded list of all as one matrix; distances are added up per label there."""
+
+    def work(ids, x, q, h, m):
+        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (m * m).sum(1) - 2 * x @ m.T, 0))
+        d[ids[:, None] == h["vec_id"].to_numpy()] = 0
+        labels, at = np.unique(h["label"].to_numpy(), return_inverse=True)
+        size = np.bincount(at)
+        sums = np.stack([d[:, at == k].sum(1) for k in range(len(labels))], axis=1)
+        own = np.searchsorted(labels, q["label"].to_numpy())
+        r = np.arange(len(x))
+        a = sums[r, own] / np.maximum(size[own] - 1, 1)
+        mean = sums / size
+        mean[r, own] = np.inf
+        b = mean.min(1)
+        top = np.maximum(a, b)
+        return pd.DataFrame({"s": np.where((size[own] < 2) | (top == 0) | np.isinf(b), 0.0, (b - a) / np.where(top == 0, 1, top))})
+
+    return _against(v, "vec_id", "embedding", _list(v, "vec_id", "embedding", "label"), work, "s double", "label").agg(F.avg("s").alias("silhouette"))
 
 
 def davies_bouldin(v: DataFrame, dim: int) -> DataFrame:
@@ -270,7 +302,7 @@ def density_clusters(v: DataFrame, threshold: float, min_size: int = 15, min_nei
     the rest are noise (-1). A density clustering at one level, standing in for a hierarchy of levels."""
     from corpusmill.operators.graph import connected_components
 
-    p = written(inner_products(v, v.select("vec_id", "embedding")).where((F.col("a_id") != F.col("b_id")) & (F.round("ip", 9) >= threshold)), "near")
+    p = written(inner_products(v, v.select("vec_id", "embedding"), least=threshold).where("a_id <> b_id"), "near")
     core = p.groupBy("a_id").count().where(F.col("count") >= min_neighbours).select(F.col("a_id").alias("core"))
     links = p.join(core.withColumnRenamed("core", "a_id"), "a_id", "left_semi").join(core.withColumnRenamed("core", "b_id"), "b_id", "left_semi")
     comp = connected_components(links.union(core.select(F.col("core").alias("a_id"), F.col("core").alias("b_id"), F.lit(1.0).alias("ip")).select(links.columns)), "a_id", "b_id")
@@ -394,7 +426,17 @@ def reduced(v: DataFrame, n_components: int, dim: int) -> DataFrame:
 
 
 def most_similar(v: DataFrame, query: DataFrame, n: int = 10) -> DataFrame:
-    """(query_id, vec_id, sim, rank): the n most similar to each of a bounded list of queries, by cosine."""
-    p = inner_products(v.select("vec_id", l2_normalize(F.col("embedding")).alias("embedding")), query.select("vec_id", l2_normalize(F.col("embedding")).alias("embedding")))
-    r = F.row_number().over(W.partitionBy("b_id").orderBy(F.round("ip", 9).desc(), "a_id"))
-    return p.withColumn("rank", r.cast("long")).where(F.col("rank") <= n).select(F.col("b_id").alias("query_id"), F.col("a_id").alias("vec_id"), F.round("ip", 6).alias("sim"), "rank")
+    """(query_id, vec_id, sim, rank): the n most similar to each of a bounded list of queries, by cosine; at
+    equal ones (to 9 places) the smaller id. Each batch gives its n best for each query on."""
+
+    def work(ids, x, q, h, m):
+        unit = lambda y: y / np.maximum(np.sqrt((y * y).sum(1, keepdims=True)), 1e-300)
+        s = np.round(unit(m) @ unit(x).T, 9)
+        top = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :n] if len(ids) > n else np.broadcast_to(np.arange(len(ids)), s.shape)
+        i = np.repeat(np.arange(len(m)), top.shape[1])
+        j = top.ravel()
+        return pd.DataFrame({"query_id": h["vec_id"].to_numpy()[i], "vec_id": ids[j], "s": s[i, j]})
+
+    p = _against(v, "vec_id", "embedding", _list(query, "vec_id", "embedding"), work, "query_id long, vec_id long, s double")
+    r = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("s"), "vec_id"))
+    return p.withColumn("rank", r.cast("long")).where(F.col("rank") <= n).select("query_id", "vec_id", F.round("s", 6).alias("sim"), "rank")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.operators import graph, grouping, segments, sentence_graph, terms, vectors, wiki, windows
 from corpusmill.plans.lineage import written
+from corpusmill.providers.tokens import rule_tokens as rule_tokens_of
 
 DIM = 64
 QUERIES: dict = {}
@@ -139,6 +140,11 @@ def word_lemmas(table):
     return terms.word_lemmas(table("idx_doc_token_info_recs").where("token_i IS NOT NULL AND doc_id IS NOT NULL"))
 
 
+@query()
+def rule_tokens(table):
+    return rule_tokens_of(table("documents"))
+
+
 @query()
 def pattern_candidates(table):
     return terms.pattern_candidates(table("idx_doc_token_info_recs"))
@@ -279,7 +285,7 @@ def sentence_verdicts(table):
     return grouping.sentence_verdicts(table("idx_doc_token_info_recs").where("token_i IS NOT NULL AND doc_id IS NOT NULL"))
 
 
-@query()
+@query(SQL["sentence_verdicts"].replace("SELECT doc_id, sent_id, CASE WHEN periods", ", v AS (SELECT doc_id, sent_id, CASE WHEN periods").replace("AS verdict FROM a", "AS verdict FROM a), j AS (SELECT doc_id, sent_id, string_agg(text, ' ' ORDER BY token_i) AS text FROM tok WHERE sent_id IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2) SELECT doc_id, sent_id, trim(replace(text, chr(10), ' ')) AS text FROM j JOIN v USING (doc_id, sent_id) WHERE verdict = 'valid'"))
 def valid_sentences(table):
     return grouping.valid_sentences(table("idx_doc_token_info_recs").where("token_i IS NOT NULL AND doc_id IS NOT NULL"))
 
@@ -358,6 +364,21 @@ def most_similar(table):
     return vectors.most_similar(table("embeddings"), table("vectors"))
 
 
+@query(f"""WITH {_E}, i AS (SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS w, description FROM vectors),
+p AS (SELECT e.vec_id, description, item_id, round(list_dot_product(v, w), 9) AS ip FROM e, i)
+SELECT vec_id, description, round(ip, 6) AS ip FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY ip DESC, item_id) AS rn FROM p) WHERE rn = 1""")
+def described_by_items(table):
+    return r6(vectors.described_by_items(table("embeddings"), table("vectors").select(F.col("vec_id").alias("item_id"), "embedding", "description")), "ip")
+
+
+@query(f"WITH {_E} SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_dot_product(a.v, b.v), 6) AS ip FROM e a JOIN e b ON a.label = b.label AND b.vec_id < 200 AND round(list_dot_product(a.v, b.v), 9) >= 0.2")
+def inner_products(table):
+    v = table("embeddings")
+    p = vectors.inner_products(v, v.where("vec_id < 200"), least=0.2)
+    lab = v.select(F.col("vec_id").alias("a_id"), F.col("label").alias("la"))
+    return r6(p.join(lab, "a_id").join(lab.toDF("b_id", "lb"), "b_id").where("la = lb").select("a_id", "b_id", "ip"), "ip")
+
+
 @query()
 def close_communities(table):
     return vectors.close_communities(table("embeddings"), 0.4)
@@ -488,6 +509,15 @@ def segment_tree(table):
     return segments.segment_tree(written(windows.change_counts(_ordered(table)), "changes"))
 
 
+@query()
+def node_means(table):
+    v = written(_ordered(table), "ordered")
+    tree = written(segments.segment_tree(windows.change_counts(v)), "tree")
+    m = segments.node_means(tree, v, DIM)
+    alt = segments.alternative_means(tree, m, DIM)
+    return m.join(alt, ["doc_id", "node_id"]).select("doc_id", "node_id", F.transform("mean", lambda x: F.round(x, 6)).alias("mean"), F.transform("alt_mean", lambda x: F.round(x, 6)).alias("alt_mean"))
+
+
 # --- topic trees ----------------------------------------------------------------------------------
 
 _CLOSURE = "above AS (SELECT n.doc_id, n.node_id, a.node_id AS ancestor FROM nodes n JOIN nodes a ON a.doc_id = n.doc_id AND a.start_at <= n.start_at AND n.end_at <= a.end_at AND a.level <= n.level AND (a.level < n.level OR a.node_id = n.node_id))"
@@ -654,6 +684,12 @@ def wiki_vocabulary(table):
     return wiki.vocabulary(wiki.corpus(_pages(table), min_tokens=5))
 
 
+@query(f"WITH {_WTOK} SELECT count(*) AS articles, count(*) AS chunks, CAST(sum(len(tokens)) AS BIGINT) AS positions FROM wt WHERE len(tokens) >= 50 AND NOT regexp_matches(title, '^({'|'.join(wiki.IGNORED_PREFIXES)}):')")
+def corpus_counters(table):
+    t = _pages(table).select("page_id", "title", F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)), lambda x: F.length(x).between(2, 15)).alias("tokens"))
+    return wiki.counters(wiki.articles(t))
+
+
 @query()
 def word2vec_docs(table):
     c = written(wiki.corpus(_pages(table), min_tokens=5), "corpus")
@@ -691,7 +727,8 @@ def identical_noun_pairs(table):
     return sentence_graph.identical_noun_pairs(_words(table))
 
 
-@query()
+@query(f"""WITH {_WORDS}, n AS (SELECT doc_id, sent_id || '.' || word_id AS u, lead(sent_id || '.' || word_id) OVER (PARTITION BY doc_id, lemma ORDER BY sent_id, word_id) AS v FROM words WHERE tag IN ('NN','NNS','NNP','NNPS') AND lemma IS NOT NULL)
+SELECT doc_id, u AS src, v AS dst, 'identical_nouns' AS kind, 'noun' AS extra FROM n WHERE v IS NOT NULL UNION ALL SELECT doc_id, v, u, 'identical_nouns', 'noun' FROM n WHERE v IS NOT NULL""")
 def identical_noun_edges(table):
     return sentence_graph.identical_noun_edges(_words(table))
 
