@@ -261,7 +261,8 @@ def synonym_partitions(synonyms: DataFrame, scores: DataFrame, one_pass: bool =
                     at[x] = t
             return pd.DataFrame({"node": list(at), "component": list(at.values())})
 
-        comp = synonyms.select("term", "synonym").groupBy(F.lit(1).alias("g")).applyInPandas(lambda p: run(p), "node string, component string")
+        each = synonyms.select("term", "synonym").join(comp.withColumnRenamed("node", "term"), "term")
+        comp = each.groupBy("component").applyInPandas(lambda p: run(p), "node string, component string")
     s = comp.join(scores.select(F.col("term").alias("node"), "score"), "node", "left")
     best = s.groupBy("component").agg(F.max_by("node", F.struct("score", "node")).alias("rep"))
     return s.join(best, "component").select(F.col("node").alias("term"), "rep")

@@ -111,9 +111,12 @@ def context_embeddings(terms: DataFrame, contexts: DataFrame, dim: int, term_wei
 def close_communities(v: DataFrame, threshold: float = 0.96, min_size: int = 2, vec: str = "embedding") -> DataFrame:
     """(community, vec_id): neighbourhoods of unit vectors at `threshold` similarity, the largest first,
     members of an earlier one left out of later ones; those that keep `min_size` stay. community is the
-    smallest id. Greedy over the pairs above the threshold, which are found against the checked list;
-    the pick itself goes over neighbour lists in one task."""
-    p = inner_products(v, v.select("vec_id", vec), vec, threshold)
+    smallest id. Pairs above the threshold are found against the checked list; as picks in one connected
+    component don't touch another, each component is picked from by itself."""
+    from corpusmill.operators.graph import connected_components
+
+    p = written(inner_products(v, v.select("vec_id", vec), vec, threshold), "near")
+    comp = connected_components(p, "a_id", "b_id").select(F.col("node").alias("a_id"), "component")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         near = {k: sorted(g) for k, g in pdf.groupby("a_id")["b_id"]}
@@ -125,7 +128,7 @@ def close_communities(v: DataFrame, threshold: float = 0.96, min_size: int = 2,
                 rows += [(min(free), x) for x in free]
         return pd.DataFrame(rows, columns=["community", "vec_id"]).astype("int64")
 
-    return p.groupBy(F.lit(1).alias("one")).applyInPandas(lambda x: pick(x), "community long, vec_id long")
+    return p.join(comp, "a_id").groupBy("component").applyInPandas(lambda x: pick(x), "community long, vec_id long")
 
 
 def represented_synonyms(communities: DataFrame, counts: DataFrame) -> DataFrame:

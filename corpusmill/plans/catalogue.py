@@ -173,11 +173,11 @@ def term_sentence_match(table):
 
 
 @query(f"""WITH {_SENTS}, n AS (SELECT doc_id, count(*) AS n FROM sents GROUP BY doc_id),
-m AS (SELECT DISTINCT description AS term, doc_id, sent_ind FROM sents JOIN vectors ON contains(lower(text), lower(description)) WHERE length(description) > 6)
+m AS (SELECT DISTINCT description AS term, doc_id, sent_ind FROM sents JOIN vectors ON contains(lower(text), lower(description)))
 SELECT term, doc_id, CAST(unnest(range(greatest(0, sent_ind - 1), least(n - 1, sent_ind + 1) + 1)) AS INTEGER) AS sent_ind FROM m JOIN n USING (doc_id)""")
 def context_band(table):
     s = _sentences(table)
-    m = terms.sentence_matches(s, table("vectors").select(F.col("description").alias("term")).where(F.length("term") > 6))
+    m = terms.sentence_matches(s, table("vectors").select(F.col("description").alias("term")))
     return terms.context_band(m, s.groupBy("doc_id").agg(F.count("*").cast("int").alias("n")), 1)
 
 
@@ -202,14 +202,16 @@ def _nodes(table) -> DataFrame:
     return table("segments").distinct()
 
 
-@query(f"""WITH {_ATTR}, {_NODES}, c AS (SELECT DISTINCT doc_id, term FROM attr JOIN nodes USING (node_id) WHERE doc_id IS NOT NULL),
-p AS (SELECT DISTINCT a.term AS t1, b.term AS t2 FROM (SELECT DISTINCT term FROM c WHERE length(term) <= 5) a, (SELECT DISTINCT term FROM c WHERE length(term) <= 5) b WHERE a.term < b.term),
+@query(rf"""WITH {_ATTR}, {_NODES}, c AS (SELECT DISTINCT doc_id, term FROM attr JOIN nodes USING (node_id) WHERE doc_id IS NOT NULL),
+p AS (SELECT DISTINCT term AS t1, t2 FROM (SELECT term, lead(term) OVER (PARTITION BY node_id ORDER BY term) AS t2 FROM attr JOIN (SELECT DISTINCT node_id FROM nodes WHERE doc_id IS NOT NULL) USING (node_id)) WHERE t2 IS NOT NULL),
 s AS (SELECT term, list(DISTINCT CAST(doc_id AS VARCHAR)) AS l FROM c GROUP BY term)
 SELECT t1, t2, round(1 - len(list_intersect(x.l, y.l)) / (len(x.l) + len(y.l) - len(list_intersect(x.l, y.l))), 6) AS distance FROM p JOIN s x ON x.term = t1 JOIN s y ON y.term = t2""")
 def jaccard_context(table):
-    c = _attributes(table).join(_nodes(table), "node_id").where("doc_id IS NOT NULL").select("term", F.col("doc_id").cast("string").alias("context_term")).distinct()
-    few = c.where(F.length("term") <= 5).select("term").distinct()
-    pairs = few.select(F.col("term").alias("t1")).join(few.select(F.col("term").alias("t2")), F.col("t1") < F.col("t2"))
+    """Each term of a node with the next in order, by the documents they occur in."""
+    a = written(_attributes(table).join(_nodes(table).where("doc_id IS NOT NULL").select("node_id", "doc_id").distinct(), "node_id"), "attributes")
+    c = a.select("term", F.col("doc_id").cast("string").alias("context_term")).distinct()
+    nxt = a.select("node_id", "term").distinct().withColumn("t2", F.lead("term").over(W.partitionBy("node_id").orderBy("term")))
+    pairs = nxt.where("t2 IS NOT NULL").select(F.col("term").alias("t1"), "t2").distinct()
     return r6(terms.jaccard_distance(c, pairs), "distance")
 
 
@@ -371,12 +373,9 @@ def described_by_items(table):
     return r6(vectors.described_by_items(table("embeddings"), table("vectors").select(F.col("vec_id").alias("item_id"), "embedding", "description")), "ip")
 
 
-@query(f"WITH {_E} SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_dot_product(a.v, b.v), 6) AS ip FROM e a JOIN e b ON a.label = b.label AND b.vec_id < 200 AND round(list_dot_product(a.v, b.v), 9) >= 0.2")
+@query(f"WITH {_E}, i AS (SELECT vec_id AS b_id, CAST(embedding AS DOUBLE[]) AS w FROM vectors) SELECT vec_id AS a_id, b_id, round(list_dot_product(v, w), 6) AS ip FROM e, i WHERE round(list_dot_product(v, w), 9) >= 0.2")
 def inner_products(table):
-    v = table("embeddings")
-    p = vectors.inner_products(v, v.where("vec_id < 200"), least=0.2)
-    lab = v.select(F.col("vec_id").alias("a_id"), F.col("label").alias("la"))
-    return r6(p.join(lab, "a_id").join(lab.toDF("b_id", "lb"), "b_id").where("la = lb").select("a_id", "b_id", "ip"), "ip")
+    return r6(vectors.inner_products(table("embeddings"), table("vectors"), least=0.2), "ip")
 
 
 @query()
