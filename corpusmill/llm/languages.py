@@ -80,16 +80,18 @@ class ByteGru:
         """Loss, and gradients by backpropagation through time; every position has its word's target."""
         keep: dict = {}
         y = self.positions(x, keep)
-        n, t = x.shape
+        (n, t), x_type = x.shape, self.p["out"].dtype
         w = (weight / weight.sum() / t)[:, None, None].astype(np.float32)
         loss = float(-(w * target[:, None] * np.log(y + 1e-9)).sum())
         da = (y - target[:, None]) * w
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
-        g["out"] = np.einsum("nth,ntl->hl", keep["s"], da)
+        flat = lambda a: a.reshape(n * t, -1)
+        g["out"] = flat(keep["s"]).T @ flat(da)
         g["bo"] = da.sum((0, 1))
         ds = da @ self.p["out"].T
         for k, d in enumerate("fb"):
-            dpre, dh = np.zeros((n, t, 3 * HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+            dpre, dh = np.empty((n, t, 3 * HIDDEN), x_type), np.zeros((n, HIDDEN), x_type)
+            back = np.ascontiguousarray(self.p[f"U{d}"].T)
             for i, h, z, r, v, m in reversed(keep[d]):
                 dh = dh + ds[:, i, k * HIDDEN : (k + 1) * HIDDEN]
                 dm = dh * (1 - z) * (1 - m * m)
@@ -98,11 +100,10 @@ class ByteGru:
                 du = np.concatenate([dz, dr, dv], axis=1)
                 g[f"U{d}"] += h.T @ du
                 g[f"c{d}"] += dv.sum(0)
-                dh = dh * z + du @ self.p[f"U{d}"].T
-            e = self.p["emb"][x]
-            g[f"W{d}"] = np.einsum("nte,ntg->eg", e, dpre)
+                dh = dh * z + du @ back
+            g[f"W{d}"] = flat(self.p["emb"][x]).T @ flat(dpre)
             g[f"b{d}"] = dpre.sum((0, 1))
-            np.add.at(g["emb"], x, dpre @ self.p[f"W{d}"].T)
+            g["emb"] += np.eye(256, dtype=np.float32)[x.ravel()].T @ flat(dpre @ self.p[f"W{d}"].T)
         return loss, g
 
     def train(self, words: list[str], target: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, seed: int = 4) -> list[float]:
@@ -145,9 +146,8 @@ class ByteGru:
 
 
 def _bytes(word: str) -> bytes:
-    """Bytes of a word between spaces; of a word beyond 60 bytes, its two ends."""
-    b = word.encode("utf-8", "replace")
-    return b" " + (b if len(b) <= 60 else b[:30] + b[-30:]) + b" "
+    """Bytes of a word between spaces."""
+    return b" " + word.encode("utf-8", "replace") + b" "
 
 
 _TO_CYRILLIC = {v: k for k, v in _LIKE.items() if v in _LATIN_LIKE and "А" <= k <= "я"}
@@ -171,9 +171,13 @@ _WRAP = re.compile(r"(\w)[-¬=\xad][ \t]*\r?\n\s*(?=\w)")
 #: A sentence ends at its mark and the quotes after it if a capital, a number or an opening sign follows, or at
 #: an empty line, a heading or the start of an item.
 _END = regex.compile(r"[.!?…][\"»”’')\]]*(\s+)(?=[\"«“‘¿¡(\[*=]*[\p{Lu}\d])|(\n\s*\n)|(\n)(?=\s*(?:==|\*|#))|==(\s*\n)")
-_WORD = regex.compile(r"[^\W\d_]+")
-_BEGIN = regex.compile(r"[^\p{L}\n]*[\p{Lu}\p{N}]")
-_FULL = regex.compile(r"[.!?…][\"»”’')\]\s]*$")
+#: Letters in a row; those of more than 40 are read in pieces.
+_WORD = regex.compile(r"[^\W\d_]{1,40}")
+def _whole(text: str, start: int, end: int) -> bool:
+    """Whether a stretch begins with no small letter and ends with a sentence's mark."""
+    if text[max(start, end - 8) : end].rstrip().rstrip("\"»”’')] ")[-1:] not in (".", "!", "?", "…"):
+        return False
+    return next((not c.islower() for c in text[start : min(end, start + 40)] if c.isalnum()), False)
 
 
 _PAGED = regex.compile(r"\f|^[^\p{L}\n]{0,6}\d+[^\p{L}\n]{0,6}$|^\p{L}+\.? \d+ \p{L}+ \d+\s*$", regex.M)
@@ -240,7 +244,7 @@ class Labeller:
                 w = _WORD.findall(low, s, e)
                 if w:
                     words += w
-                    spans.append((s, e, len(w), bool(_FULL.search(t, max(s, e - 6), e)) and bool(_BEGIN.match(t, s, e)), sum(map(len, w))))
+                    spans.append((s, e, len(w), _whole(t, s, e), sum(map(len, w))))
                     doc.append(d)
         out: list[list[tuple]] = [[] for _ in texts]
         if not words:
