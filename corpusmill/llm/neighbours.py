@@ -21,12 +21,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.llm.clusters import USABLE_SQL
-from corpusmill.llm.vectors import copies, lloyd, matrix, representatives, sample, stacked, to_members, usable
+from corpusmill.llm.vectors import copies, keyed, lloyd, matrix, representatives, sample, stacked, to_members, usable
 from corpusmill.plans.lineage import written
 
 DIM = 64
 #: Vectors the tree is fitted on, at most; every vector is put into a leaf.
-FIT_ROWS = 65536
+FIT_ROWS = 49152
 #: Children of a node, and sampled vectors below which a node stays a leaf.
 BRANCH, LEAF_SAMPLE = 16, 128
 #: Queries the visits are calibrated with.
@@ -139,10 +139,12 @@ def nearest(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, least: float
     return i[rank < k], ids[j[rank < k]], sim[rank < k]
 
 
-def calibrate(reps: DataFrame, probes: np.ndarray, tree: Tree, k: int, least: float | None, recall: float, mutual: bool) -> int:
+def calibrate(reps: DataFrame, probes: np.ndarray, tree: Tree, k: int, least: float | None, recall: float, mutual: bool, width: int = 24) -> int:
     """The least number of visits at which `recall` of the probes' k nearest others (of at least `least`
     similarity) are met: in the neighbour's first leaf, or, if `mutual`, in any leaf that both visit.
-    Each task keeps the best k + 1 of its rows for each probe."""
+    Each task keeps the best k + 1 of its rows for each probe, and the first `width` leaves of those; if more
+    visits are called for than that, it is done again with more."""
+    width = min(width, tree.leaves)
 
     def best(batches):
         for b in batches:
@@ -151,7 +153,7 @@ def calibrate(reps: DataFrame, probes: np.ndarray, tree: Tree, k: int, least: fl
             v, ids = v[o], ids[o]
             i, n, s = nearest(probes, v, ids, k + 1, least)
             at, back = np.unique(np.searchsorted(ids, n), return_inverse=True)
-            bins = best_bins(tree, v[at], tree.leaves if mutual else 1)
+            bins = best_bins(tree, v[at], width if mutual else 1)
             yield pa.RecordBatch.from_pydict({"q": pa.array(i, pa.int32()), "id": pa.array(n, pa.int64()), "sim": pa.array(s, pa.float64()), "bins": pa.array(list(bins[back]), pa.list_(pa.int32()))})
 
     found = reps.select("rep", "vec").mapInArrow(best, "q int, id long, sim double, bins array<int>")
@@ -166,12 +168,16 @@ def calibrate(reps: DataFrame, probes: np.ndarray, tree: Tree, k: int, least: fl
         other = np.arange(len(bins)) if mutual else np.zeros(len(bins), int)
         need.append(np.maximum(place[q, bins], other).min())
     need = np.sort(need)
-    return int(need[min(len(need) - 1, math.ceil(recall * len(need)))]) + 1
+    visits = int(need[min(len(need) - 1, math.ceil(recall * len(need)))]) + 1
+    if mutual and visits > width < tree.leaves:
+        return calibrate(reps, probes, tree, k, least, recall, mutual, width * 4)
+    return visits
 
 
 def _fit(reps: DataFrame) -> tuple[Tree, np.ndarray]:
-    x = sample(reps, FIT_ROWS, DIM)
-    return (fit_tree(x), x[:PROBES]) if len(x) else (Tree(np.zeros((1, DIM)), [None], np.array([0]), np.zeros(1)), x)
+    x = sample(reps, reps.count(), FIT_ROWS, DIM)
+    probes = np.random.default_rng(1).permutation(len(x))[:PROBES]
+    return (fit_tree(x), x[probes]) if len(x) else (Tree(np.zeros((1, DIM)), [None], np.array([0]), np.zeros(1)), x)
 
 
 def _visiting(df: DataFrame, tree: Tree, visits: int) -> DataFrame:
@@ -263,7 +269,7 @@ def neighbours(rec: DataFrame, k: int = 10, least: float | None = None, recall:
 
     Exact copies are searched for once. A group of copies stands in the lists with its k + 1 smallest
     ids, which is all a list of k can hold of it. An empty table gives no rows."""
-    vecs = written(usable(rec, DIM), "vectors")
+    vecs = keyed(written(usable(rec, DIM), "vectors"))
     copy = copies(vecs)
     reps = representatives(vecs, copy)
     asked = vecs if every is None else vecs.where(F.pmod("id", F.lit(every)) == 0)
@@ -279,6 +285,7 @@ def neighbours(rec: DataFrame, k: int = 10, least: float | None = None, recall:
     few = found.join(small.withColumnRenamed("rep", "rep_b"), "rep_b", "left").select("rep_a", "sim", F.explode(F.coalesce("ids", F.array("rep_b"))).alias("id"))
     few = few.withColumn("r", F.row_number().over(W.partitionBy("rep_a").orderBy(F.desc("sim"), "id"))).where(F.col("r") <= k + 1)
     lists = few.groupBy("rep_a").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "sim", "id"))), lambda x: F.struct(x["sim"].alias("sim"), x["id"].alias("id"))).alias("best"))
+    lists = written(lists, "lists")
     # copies take the list of their representative, any other record its own
     of_copies = to_members(asked.select("key", "id"), copy.select("key", "rep"), copy).join(lists, F.col("rep") == F.col("rep_a")).select("id", "best")
     alone = lists.join(copy.select("rep"), F.col("rep") == F.col("rep_a"), "left_anti").select(F.col("rep_a").alias("id"), "best")
@@ -293,7 +300,7 @@ def p4_neighbours(spark, d):
 
 
 def p4_found(spark, d):
-    n = neighbours(spark.read.parquet(f"{d}/cluster_rec.parquet"), 5, least=0.8, recall=0.997)
+    n = neighbours(spark.read.parquet(f"{d}/cluster_rec.parquet"), 5, least=0.8, recall=0.9985)
     n = n.where(F.size("best") >= 5).select("id", F.explode("best.id").alias("o"))
     return n.select(F.least("id", "o").alias("cluster_id_a"), F.greatest("id", "o").alias("cluster_id_b")).distinct()
 

@@ -12,11 +12,11 @@ from corpusmill.plans.skew import hot_keys, salted_join
 
 
 def usable(rec: DataFrame, dim: int = 64) -> DataFrame:
-    """(id, num_vectors, vec, key) of the records of cluster_rec that count.
+    """(id, num_vectors, vec) of the records of cluster_rec that count.
 
     Of several rows of one cluster_id the one with the latest loaded_at is kept (at equal loaded_at
     the larger num_vectors, then the larger vector; nulls first); of those only a mean_vec of `dim`
-    finite numbers, not all zero, and a cluster_id that isn't null. `key` is equal for exact copies.
+    finite numbers, not all zero, and a cluster_id that isn't null.
     """
     rec = rec.where("cluster_id IS NOT NULL")
     # only ids with several rows are shuffled with their vectors
@@ -28,10 +28,15 @@ def usable(rec: DataFrame, dim: int = 64) -> DataFrame:
     return (
         rows.select(F.col("cluster_id").alias("id"), "num_vectors", F.col("mean_vec").cast("array<float>").alias("vec"))
         .where((F.size("vec") == dim) & good)
-        .withColumn("key", F.concat_ws(":", F.xxhash64("vec"), F.hash("vec")))
     )
 
 
+def keyed(vecs: DataFrame) -> DataFrame:
+    """`vecs` with a column `key` that is equal for exact copies: 96 bits of two hashes. It is worked out where it is
+    used, as it would take more room in a table than it saves."""
+    return vecs.withColumn("key", F.xxhash64("vec").cast("decimal(20,0)") * F.lit(4294967296).cast("decimal(10,0)") + F.hash("vec").cast("decimal(10,0)"))
+
+
 def copies(vecs: DataFrame) -> DataFrame:
     """(key, rep, n) of the groups of more than one exact copy; rep is the smallest id of the group."""
     return written(vecs.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies")
@@ -59,9 +64,13 @@ def stacked(series, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def sample(reps: DataFrame, most: int, dim: int) -> np.ndarray:
-    """Unit vectors of at most `most` representatives, chosen by a hash of their key (a documented bound)."""
-    got = reps.select("vec", F.xxhash64("key", F.lit(7)).alias("_h")).orderBy("_h").limit(most).drop("_h").toArrow()
+def sample(reps: DataFrame, n: int, most: int, dim: int) -> np.ndarray:
+    """Unit vectors of about `most` of the `n` representatives, and no more (a documented bound): those whose
+    key's hash falls below a threshold, so nothing is sorted or shuffled; all of them where they are fewer."""
+    part = reps.select("rep", "vec")
+    if n > most:
+        part = reps.where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * 0.97 * most / n)).select("rep", "vec")
+    got = part.toArrow().sort_by("rep").slice(0, most)
     return matrix(got.column("vec").combine_chunks(), dim) if got.num_rows else np.zeros((0, dim))
 
 
