@@ -240,10 +240,10 @@ def disjoint_terms(terms: DataFrame, key: str = "doc_id") -> DataFrame:
 def synonym_partitions(synonyms: DataFrame, scores: DataFrame, one_pass: bool = False) -> DataFrame:
     """U4: (term, rep): groups of synonyms, each represented by its best-scored member (ties: the later
     term). Groups are connected components; with `one_pass`, terms are taken in order and join the first
-    group they or their synonyms meet, which may leave groups unmerged (small inputs only: one task)."""
-    if not one_pass:
-        comp = connected_components(synonyms, "term", "synonym")
-    else:
+    group they or their synonyms meet, which may leave groups unmerged; a component is a unit of work, as
+    terms of different ones never meet."""
+    comp = connected_components(synonyms, "term", "synonym")
+    if one_pass:
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             near = defaultdict(set)
             for a, b in zip(pdf["term"], pdf["synonym"]):
