@@ -52,6 +52,7 @@ _MARKS = "-¬=‐\xad"
 _WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 
 
+_LETTERLESS = re.compile(r"[\W\d_]*$")
 _ROMAN = regex.compile(r"^(?:xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
 
 
@@ -134,7 +135,7 @@ def furniture(lines: list[str], title: str | None = None) -> list[bool]:
     drop = [False] * n
     strip = [x.strip(" \t\r\f\xad") for x in lines]
     full = [i for i, s in enumerate(strip) if s]
-    if len(full) < 2 or sum(any(c.isalpha() for c in strip[i]) and len(strip[i]) > 8 for i in full) < 2:
+    if len(full) < 2 or sum(len(strip[i]) > 8 and not _LETTERLESS.match(strip[i]) for i in full) < 2:
         return drop
     cand: list[tuple[int, int, str]] = []  # line, number, kind
     for i in full:
@@ -179,7 +180,7 @@ def furniture(lines: list[str], title: str | None = None) -> list[bool]:
     exact: dict[str, list[int]] = {}
     for i in full:
         t = strip[i]
-        if drop[i] or not t[0].isupper() or len(t) > 70 or _ENDS.search(t) or not any(c.isalpha() for c in t):
+        if drop[i] or not t[0].isupper() or len(t) > 70 or t.rstrip("\"»”’)]")[-1:] in ".!?…:;,":
             continue
         if len(t) < 0.9 * long or t.isupper():
             exact.setdefault(t, []).append(i)
@@ -199,10 +200,11 @@ def furniture(lines: list[str], title: str | None = None) -> list[bool]:
     pages = [i for i in full if drop[i]]
     width = sorted(len(lines[i].rstrip()) for i in full)[int(len(full) * 0.8)]
     tops = {full[0]} if pages else set()
-    for i in full:
-        prev = next((k for k in range(i - 1, -1, -1) if strip[k]), None)
-        if "\f" in lines[i] or prev is not None and drop[prev]:
+    for prev, i in zip(full, full[1:]):
+        if drop[prev] or "\f" in lines[i]:
             tops.add(i)
+    if "\f" in lines[full[0]]:
+        tops.add(full[0])
     after_foot = {}
     for i in tops:
         after_foot[i] = next((k for k in range(i + 1, n) if strip[k]), None)
@@ -530,8 +532,8 @@ def _runner(docs: DataFrame, schema: pa.Schema, ddl: str, rows_of):
     def run(batches):
         reader = _reader(box, name)
         for b in batches:
-            for s in range(0, b.num_rows, 400):
-                p = b.slice(s, 400)
+            for s in range(0, b.num_rows, 1200):
+                p = b.slice(s, 1200)
                 got = repair(reader, p.column("text").to_pylist(), p.column("title").to_pylist())
                 rows = [r for key, x in zip(p.column("doc_id").to_pylist(), got) for r in rows_of(key, x)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
