@@ -480,7 +480,7 @@ def reflowed(page: Page, hyphen: list[int], wrong: dict[int, list[tuple[int, int
 
 
 _BROKEN = re.compile(r"[\w-]+[-¬=‐\xad][ \t\f]*\r?\n\s*\w+")
-_BREAK = re.compile(r"[-¬=‐\xad][ \t\f]*\r?\n")
+_BREAKS = [m + e for m in "-¬=‐\xad" for e in ("\n", "\r", " \n")]
 _WORDS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 #: Words a task counts before it hands them on.
 COUNTED_WORDS = 500_000
@@ -497,7 +497,7 @@ def _counts(batches):
     words: dict[str, tuple[str, ...]] = {}
     for b in batches:
         for t in b.column("text").to_pylist():
-            if "\n" in t and _BREAK.search(t):
+            if any(x in t for x in _BREAKS):
                 t = _BROKEN.sub(" ", t)
             tokens = set(t.split())
             for new in tokens.difference(words):
@@ -524,7 +524,8 @@ def vocabulary(docs: DataFrame) -> tuple[dict[str, int], int]:
     return dict(zip(kept.column("w").to_pylist(), kept.column("n").to_pylist())), n
 
 
-def _runner(docs: DataFrame, schema: pa.Schema, ddl: str, rows_of):
+def _runner(docs: DataFrame, schema: pa.Schema, ddl: str, rows_of, only=None):
+    """`rows_of` each repaired text, of the rows for which `only` holds; the vocabulary is of all."""
     words, n = vocabulary(docs)
     sc = docs.sparkSession.sparkContext
     box, name = sc.broadcast((words, n)), uuid.uuid4().hex
@@ -532,12 +533,15 @@ def _runner(docs: DataFrame, schema: pa.Schema, ddl: str, rows_of):
     def run(batches):
         reader = _reader(box, name)
         for b in batches:
-            for s in range(0, b.num_rows, 1200):
-                p = b.slice(s, 1200)
+            s = 0
+            while s < b.num_rows:
+                p = b.slice(s, 400 if reader.okay else 60)  # few before it has learnt which words are fine
+                s += p.num_rows
                 got = repair(reader, p.column("text").to_pylist(), p.column("title").to_pylist())
                 rows = [r for key, x in zip(p.column("doc_id").to_pylist(), got) for r in rows_of(key, x)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
+    docs = docs if only is None else docs.where(only)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "title").mapInArrow(run, ddl)
 
 
@@ -563,7 +567,7 @@ def line_findings(docs: DataFrame) -> DataFrame:
         return [(key, i, "drop") for i, d in enumerate(p.drop) if d] + [(key, i, "hyphen") for i in hyphen] + [(key, i, "ocr") for i in wrong]
 
     schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("kind", pa.string())])
-    return _runner(docs, schema, "doc_id long, line_no int, kind string", rows)
+    return _runner(docs, schema, "doc_id long, line_no int, kind string", rows, F.col("text").contains("\n"))
 
 
 def repaired(docs: DataFrame) -> DataFrame:
