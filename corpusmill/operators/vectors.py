@@ -1,7 +1,8 @@
 """Vectors: context embeddings, nearest items, clustering with its measures, cluster trees, PCA.
 
 Pairs of two tables are formed only where one side is a bounded list (centres, items of a list whose
-size is checked); everything else is aggregates and joins on keys.
+size is checked). A table of any size is compared with itself block by block; everything else is
+aggregates and joins on keys.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from corpusmill.plans.lineage import written
 
 #: Rows of a list that may be sent to every task.
 MOST_LISTED = 100_000
+#: Rows of a block where a table is compared with itself.
+BLOCK = 4096
 
 
 def listed(df: DataFrame, most: int = MOST_LISTED) -> DataFrame:
@@ -52,6 +55,28 @@ def _against(v: DataFrame, key: str, vec: str, held: pd.DataFrame, work, schema:
     return v.where(F.col(vec).isNotNull()).select(key, doubles(F.col(vec)).alias("_v"), *more).mapInPandas(run, schema)
 
 
+def _in_blocks(v: DataFrame, key: str, vec: str, work, schema: str, *more: str, by: str | None = None) -> DataFrame:
+    """`work(p, x, q, y)` over all pairs of blocks of `v`, or of each group of `by`: rows and matrix of the one
+    block and of the other; the same rows twice where a block meets itself. A row lies in the block of its
+    key's hash; each two blocks meet once, in a row set of their own."""
+    rows = v.where(F.col(vec).isNotNull()).select(key, doubles(F.col(vec)).alias("_v"), *more, *([by] if by else []))
+    if by:
+        b = rows.join(rows.groupBy(by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_parts")), by)
+    else:
+        b = rows.withColumn("_parts", F.lit(max(1, -(-rows.count() // BLOCK))))
+    b = b.withColumn("_own", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    b = b.withColumns({"_bi": F.least("_own", "_o"), "_bj": F.greatest("_own", "_o")}).drop("_parts", "_o")
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, i = np.stack(pdf["_v"].to_numpy()), (pdf["_own"] == pdf["_bi"]).to_numpy()
+        if pdf["_bi"].iat[0] == pdf["_bj"].iat[0]:
+            return work(pdf, x, pdf, x)
+        return work(pdf[i], x[i], pdf[~i], x[~i]) if 0 < i.sum() < len(i) else pd.DataFrame(columns=names)
+
+    return b.groupBy(*([by] if by else []), "_bi", "_bj").applyInPandas(lambda p: run(p), schema)
+
+
 def group_means(v: DataFrame, key: str, dim: int, vec: str = "embedding", unit: bool = True) -> DataFrame:
     """(key, n, mean): element-wise mean of each group, at unit length if asked."""
     g = v.where(F.col(vec).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), mean_vector(F.col(vec), dim).alias("m"))
@@ -75,15 +100,32 @@ def inner_products(a: DataFrame, b: DataFrame, vec: str = "embedding", least: fl
     return _against(a, "vec_id", vec, _list(b, "vec_id", vec), work, "a_id long, b_id long, ip double")
 
 
+def inner_products_within(v: DataFrame, vec: str = "embedding", least: float | None = None) -> DataFrame:
+    """J10 of a table with itself: (a_id, b_id, ip) of all ordered pairs of `v`, each with itself too; `least` as in
+    inner_products. Block meets block, so no list of all is needed."""
+
+    def work(p, x, q, y):
+        a, b, out, same = p["vec_id"].to_numpy(), q["vec_id"].to_numpy(), [], p is q
+        for s in range(0, len(x), 1024):
+            ip = x[s : s + 1024] @ y.T
+            i, j = np.nonzero(np.round(ip, 9) >= (-np.inf if least is None else least))
+            out.append(pd.DataFrame({"a_id": a[s + i], "b_id": b[j], "ip": ip[i, j]}))
+            if not same:
+                out.append(pd.DataFrame({"a_id": b[j], "b_id": a[s + i], "ip": ip[i, j]}))
+        return pd.concat(out)
+
+    return _in_blocks(v, "vec_id", vec, work, "a_id long, b_id long, ip double")
+
+
 def worst_inner_product(v: DataFrame, vec: str = "embedding") -> DataFrame:
-    """One row (worst): the least inner product of any two vectors, each with itself too. Every batch is
-    compared with the whole list as one matrix and gives one number on."""
-    v = v.withColumn("_k", F.monotonically_increasing_id())
+    """One row (worst): the least inner product of any two vectors, each with itself too. Copies of a vector
+    count once; each two blocks give one number on."""
 
-    def work(ids, x, q, h, m):
-        return pd.DataFrame({"w": [float((x @ m.T).min())]})
+    def work(p, x, q, y):
+        return pd.DataFrame({"w": [min(float((x[s : s + 1024] @ y.T).min()) for s in range(0, len(x), 1024))]})
 
-    return _against(v, "_k", vec, _list(v, "_k", vec), work, "w double").agg(F.min("w").alias("worst"))
+    each = v.select(doubles(F.col(vec)).alias("_k")).distinct()
+    return _in_blocks(each, "_k", "_k", work, "w double").agg(F.min("w").alias("worst"))
 
 
 def nearest_item(v: DataFrame, items: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -111,11 +153,11 @@ def context_embeddings(terms: DataFrame, contexts: DataFrame, dim: int, term_wei
 def close_communities(v: DataFrame, threshold: float = 0.96, min_size: int = 2, vec: str = "embedding") -> DataFrame:
     """(community, vec_id): neighbourhoods of unit vectors at `threshold` similarity, the largest first,
     members of an earlier one left out of later ones; those that keep `min_size` stay. community is the
-    smallest id. Pairs above the threshold are found against the checked list; as picks in one connected
+    smallest id. Pairs above the threshold are found block by block; as picks in one connected
     component don't touch another, each component is picked from by itself."""
     from corpusmill.operators.graph import connected_components
 
-    p = written(inner_products(v, v.select("vec_id", vec), vec, threshold), "near")
+    p = written(inner_products_within(v, vec, threshold), "near")
     comp = connected_components(p, "a_id", "b_id").select(F.col("node").alias("a_id"), "component")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -150,26 +192,37 @@ def _distance(a, b):
     return F.sqrt(F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def silhouette(v: DataFrame) -> DataFrame:
+def silhouette(v: DataFrame, by: str | None = None) -> DataFrame:
     """One row (silhouette): mean over vectors of (b - a) / max(a, b), Euclidean, 0 in a label of one
-    vector. Each batch meets the bounded list of all as one matrix; distances are added up per label there."""
-
-    def work(ids, x, q, h, m):
-        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (m * m).sum(1) - 2 * x @ m.T, 0))
-        d[ids[:, None] == h["vec_id"].to_numpy()] = 0
-        labels, at = np.unique(h["label"].to_numpy(), return_inverse=True)
-        size = np.bincount(at)
-        sums = np.stack([d[:, at == k].sum(1) for k in range(len(labels))], axis=1)
-        own = np.searchsorted(labels, q["label"].to_numpy())
-        r = np.arange(len(x))
-        a = sums[r, own] / np.maximum(size[own] - 1, 1)
-        mean = sums / size
-        mean[r, own] = np.inf
-        b = mean.min(1)
-        top = np.maximum(a, b)
-        return pd.DataFrame({"s": np.where((size[own] < 2) | (top == 0) | np.isinf(b), 0.0, (b - a) / np.where(top == 0, 1, top))})
-
-    return _against(v, "vec_id", "embedding", _list(v, "vec_id", "embedding", "label"), work, "s double", "label").agg(F.avg("s").alias("silhouette"))
+    vector; of each group, (by, silhouette), if asked. Distances are added up per vector and label of the
+    other block, then over the blocks."""
+    keys = [by] if by else []
+
+    def one_way(p, x, q, y, same):
+        at = np.argsort(q["label"].to_numpy(), kind="stable")
+        labels, start, size = np.unique(q["label"].to_numpy()[at], return_index=True, return_counts=True)
+        m, other, own, yy = y[at], q["vec_id"].to_numpy()[at], p["vec_id"].to_numpy(), (y[at] * y[at]).sum(1)
+        sums = []
+        for s in range(0, len(x), 1024):
+            z = x[s : s + 1024]
+            d = np.sqrt(np.maximum((z * z).sum(1)[:, None] + yy - 2 * z @ m.T, 0))
+            if same:
+                d[own[s : s + 1024, None] == other] = 0
+            sums.append(np.add.reduceat(d, start, axis=1))
+        k = len(labels)
+        return pd.DataFrame({**{c: np.repeat(p[c].to_numpy(), k) for c in keys}, "vec_id": np.repeat(own, k), "label": np.repeat(p["label"].to_numpy(), k), "o": np.tile(labels, len(x)), "d": np.concatenate(sums).ravel(), "n": np.tile(size, len(x))})
+
+    def work(p, x, q, y):
+        return one_way(p, x, q, y, True) if p is q else pd.concat([one_way(p, x, q, y, False), one_way(q, y, p, x, False)])
+
+    kind = dict(v.dtypes)
+    schema = ", ".join([*(f"{c} {kind[c]}" for c in keys), f"vec_id {kind['vec_id']}", f"label {kind['label']}", f"o {kind['label']}", "d double", "n long"])
+    t = _in_blocks(v, "vec_id", "embedding", work, schema, "label", by=by).groupBy(*keys, "vec_id", "label", "o").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    own = F.col("label") == F.col("o")
+    t = t.groupBy(*keys, "vec_id", "label").agg(F.max(F.when(own, F.col("d") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"), F.max(F.when(own, F.col("n"))).alias("n"), F.min(F.when(~own, F.col("d") / F.col("n"))).alias("b"))
+    top = F.greatest("a", "b")
+    s = F.when((F.col("n") < 2) | F.col("b").isNull() | (top == 0), 0.0).otherwise((F.col("b") - F.col("a")) / top)
+    return t.groupBy(*keys).agg(F.avg(s).alias("silhouette"))
 
 
 def davies_bouldin(v: DataFrame, dim: int) -> DataFrame:
@@ -305,7 +358,7 @@ def density_clusters(v: DataFrame, threshold: float, min_size: int = 15, min_nei
     the rest are noise (-1). A density clustering at one level, standing in for a hierarchy of levels."""
     from corpusmill.operators.graph import connected_components
 
-    p = written(inner_products(v, v.select("vec_id", "embedding"), least=threshold).where("a_id <> b_id"), "near")
+    p = written(inner_products_within(v, least=threshold).where("a_id <> b_id"), "near")
     core = p.groupBy("a_id").count().where(F.col("count") >= min_neighbours).select(F.col("a_id").alias("core"))
     links = p.join(core.withColumnRenamed("core", "a_id"), "a_id", "left_semi").join(core.withColumnRenamed("core", "b_id"), "b_id", "left_semi")
     comp = connected_components(links.union(core.select(F.col("core").alias("a_id"), F.col("core").alias("b_id"), F.lit(1.0).alias("ip")).select(links.columns)), "a_id", "b_id")

@@ -157,6 +157,33 @@ def test_ward_and_pca(spark):
     assert vectors.silhouette(v.join(vectors.ward(v, 3), "vec_id")).first()[0] > 0.8
 
 
+def test_whole_table_with_itself_in_blocks(spark, monkeypatch):
+    def refused(*a, **k):
+        raise ValueError("no list of all rows")
+
+    monkeypatch.setattr(vectors, "_list", refused)
+    monkeypatch.setattr(vectors, "BLOCK", 40)
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(c, 0.3, (50, 6)) for c in np.eye(6)[:5]])
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    label = np.repeat([0, 1, 2, 3, 3], 50)
+    label[0] = 9  # a label of one vector
+    v = spark.createDataFrame([(i, int(c), r.tolist()) for i, (c, r) in enumerate(zip(label, x))] + [(999, 0, None)], "vec_id long, label int, embedding array<double>")
+    ip = x @ x.T
+    assert abs(vectors.worst_inner_product(v).first()[0] - ip.min()) < 1e-9
+    near = {(r.a_id, r.b_id): r.ip for r in vectors.inner_products_within(v, least=0.8).collect()}
+    assert set(near) == set(zip(*map(np.ndarray.tolist, np.nonzero(np.round(ip, 9) >= 0.8)))) and all(abs(ip[k] - s) < 1e-9 for k, s in near.items())
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    scores = []
+    for i, c in enumerate(label):
+        mean = {k: d[i][label == k].sum() / max(1, (label == k).sum() - (k == c)) for k in set(label.tolist())}
+        b = min(m for k, m in mean.items() if k != c)
+        scores.append((b - mean[c]) / max(mean[c], b) if (label == c).sum() > 1 else 0.0)
+    assert abs(vectors.silhouette(v).first()[0] - np.mean(scores)) < 1e-9
+    small = v.where("vec_id < 120 OR vec_id = 999")
+    assert vectors.close_communities(small, 0.8).count() > 0 and vectors.density_clusters(small, 0.8, 5).count() == 121
+
+
 def test_files(spark, tmp_path):
     bank = "# text = A b.\n1\tA\ta\t_\tDT\t_\t2\tdet\n1-2\tx\n2\tb\tb\t_\tNN\t_\t0\troot\n"
     (tmp_path / "x.conllu").write_text(bank)
