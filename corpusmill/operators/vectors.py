@@ -371,7 +371,7 @@ def density_clusters(v: DataFrame, threshold: float, min_size: int = 15, min_nei
 
 
 def cluster_tree(v: DataFrame, k: int, dim: int, max_depth: int = 3, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """C11: (clusters, members): divided by k-means level by level while above the depth and of more than k
+    """C11: (clusters, members): divided by agglomerative() level by level while above the depth and of more than k
     vectors. clusters: cluster_id, parent_id, level, n, mean; members: cluster_id, level, vec_id, embedding.
     Ids are given by level, then parent, then label. The clusters above a level (at most k to its power)
     are listed at the driver; vectors never are."""
@@ -382,7 +382,7 @@ def cluster_tree(v: DataFrame, k: int, dim: int, max_depth: int = 3, seed: int =
         parts = []
         for cid in sorted(c for c, n in sizes.items() if n > k):
             m = members.where(F.col("cluster_id") == cid)
-            lab = kmeans(m, k, seed)
+            lab = agglomerative(m, k, seed)
             got = m.select("vec_id", "embedding").join(lab, "vec_id")
             found = sorted(r[0] for r in got.select("label").distinct().collect())
             if len(found) < 2:
@@ -407,14 +407,24 @@ def cluster_tree(v: DataFrame, k: int, dim: int, max_depth: int = 3, seed: int =
 
 
 def tree_scores(members: DataFrame, clusters: DataFrame, dim: int) -> DataFrame:
-    """C11: (cluster_id, davies_bouldin) of each divided cluster over its children."""
+    """C11: (cluster_id, silhouette, davies_bouldin, calinski_harabasz) of each divided cluster over its children, as
+    in C12; children of the same mean add nothing to Davies-Bouldin, no spread within gives a Calinski-Harabasz of 1."""
     kids = clusters.where("parent_id IS NOT NULL").select("cluster_id", "parent_id")
     m = members.join(kids, "cluster_id")
     c = m.groupBy("parent_id", "cluster_id").agg(mean_vector(F.col("embedding"), dim).alias("mean"))
-    s = m.join(c, ["parent_id", "cluster_id"]).groupBy("parent_id", "cluster_id").agg(F.avg(_distance(F.col("embedding"), F.col("mean"))).alias("s"), F.first("mean").alias("mean"))
+    d = _distance(F.col("embedding"), F.col("mean"))
+    s = m.join(c, ["parent_id", "cluster_id"]).groupBy("parent_id", "cluster_id").agg(F.avg(d).alias("s"), F.sum(d * d).alias("w"), F.count("*").alias("n"), F.first("mean").alias("mean"))
+    s = written(s, "children")
     o = s.select("parent_id", F.col("cluster_id").alias("c2"), F.col("s").alias("s2"), F.col("mean").alias("m2"))
-    r = s.join(o, "parent_id").where("cluster_id <> c2").groupBy("parent_id", "cluster_id").agg(F.max((F.col("s") + F.col("s2")) / _distance(F.col("mean"), F.col("m2"))).alias("r"))
-    return r.groupBy(F.col("parent_id").alias("cluster_id")).agg(F.avg("r").alias("davies_bouldin"))
+    apart = _distance(F.col("mean"), F.col("m2"))
+    r = s.join(o, "parent_id").where("cluster_id <> c2").groupBy("parent_id", "cluster_id").agg(F.max(F.when(apart == 0, 0.0).otherwise((F.col("s") + F.col("s2")) / apart)).alias("r"))
+    r = r.groupBy("parent_id").agg(F.avg("r").alias("davies_bouldin"))
+    g = m.groupBy("parent_id").agg(mean_vector(F.col("embedding"), dim).alias("g"))
+    to_g = _distance(F.col("mean"), F.col("g"))
+    ch = s.join(g, "parent_id").groupBy("parent_id").agg(F.sum(F.col("n") * to_g * to_g).alias("b"), F.sum("w").alias("w"), F.sum("n").alias("t"), F.count("*").alias("k"))
+    ch = ch.select("parent_id", F.when(F.col("w") == 0, 1.0).otherwise(F.col("b") * (F.col("t") - F.col("k")) / (F.col("w") * (F.col("k") - 1))).alias("calinski_harabasz"))
+    si = silhouette(m.select("parent_id", F.col("cluster_id").alias("label"), "vec_id", "embedding"), by="parent_id")
+    return si.join(r, "parent_id").join(ch, "parent_id").withColumnRenamed("parent_id", "cluster_id")
 
 
 def pca_reduced(v: DataFrame, dim: int, cutoff: float = 0.7) -> tuple[DataFrame, int]:

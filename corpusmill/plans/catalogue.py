@@ -405,7 +405,8 @@ def bisecting(table):
 
 @query()
 def cluster_tree(table):
-    return vectors.cluster_tree(table("embeddings"), 4, DIM, 2)[0].drop("mean")
+    clusters, members = vectors.cluster_tree(table("embeddings"), 4, DIM)
+    return clusters.drop("mean").join(r6(vectors.tree_scores(members, clusters, DIM), "silhouette", "davies_bouldin", "calinski_harabasz"), "cluster_id", "left")
 
 
 @query()

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpusmill.operators import graph, segments, sentence_graph, vectors, wiki, windows
+from corpusmill.plans import catalogue
 from corpusmill.plans.lineage import written
 from corpusmill.plans.skew import hot_keys, salted_join
 from corpusmill.sources import files, sinks
@@ -184,6 +185,23 @@ def test_whole_table_with_itself_in_blocks(spark, monkeypatch):
     assert vectors.close_communities(small, 0.8).count() > 0 and vectors.density_clusters(small, 0.8, 5).count() == 121
 
 
+def test_cluster_tree_is_three_levels_with_scores(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (60, 64))
+    spark.createDataFrame([(i, 0, r.tolist()) for i, r in enumerate(x)], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = {r.cluster_id: r for r in catalogue.queries()["cluster_tree"](spark, str(tmp_path)).collect()}
+    assert max(r.level for r in rows.values()) == 3 and all(rows[r.parent_id].n > 4 for r in rows.values() if r.level)
+    divided = {r.parent_id for r in rows.values() if r.level}
+    for r in rows.values():
+        assert (r.silhouette is None) == (r.davies_bouldin is None) == (r.calinski_harabasz is None) == (r.cluster_id not in divided)
+    # the scores of each divided cluster by themselves
+    v = spark.createDataFrame([(i, int(i % 3), r.tolist()) for i, r in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    clusters = spark.createDataFrame([(7, None), *((10 + k, 7) for k in range(3))], "cluster_id long, parent_id long")
+    got = vectors.tree_scores(v.withColumn("cluster_id", (F.col("label") + 10).cast("long")).drop("label"), clusters, 64).collect()
+    assert len(got) == 1 and got[0].cluster_id == 7
+    assert np.allclose([got[0].silhouette, got[0].davies_bouldin, got[0].calinski_harabasz], [f.first()[0] for f in (vectors.silhouette(v), vectors.davies_bouldin(v, 64), vectors.calinski_harabasz(v, 64))])
+
+
 def test_files(spark, tmp_path):
     bank = "# text = A b.\n1\tA\ta\t_\tDT\t_\t2\tdet\n1-2\tx\n2\tb\tb\t_\tNN\t_\t0\troot\n"
     (tmp_path / "x.conllu").write_text(bank)
