@@ -28,6 +28,8 @@ from corpusmill.plans.lineage import written
 VOCABULARY_SHARE, LEAST_DOCS = 1e-4, 3
 #: How many times more documents the word meant must be in than the misreading.
 TIMES = 8
+#: Letters from which a capitalised word that recurs in its document, but isn't the corpus's, may be a misreading.
+LEAST_NAME = 8
 
 # What a scanner makes of characters, and what they are.
 _MISREAD = [
@@ -276,12 +278,19 @@ class Reader:
             else:
                 self.seen.add(t)
 
+    @staticmethod
+    def _open(seen: str, near: list[str]) -> bool:
+        """Whether several words explain `seen` with as few misreadings."""
+        cost = [misread_cost(seen, v) for v in near]
+        return cost.count(min(cost)) > 1
+
     def meant(self, part: str, seen: str, times: int, names: list[str]) -> str | None:
         """The word that `seen` (folded) was misread from, or None if it stands. A capitalised word that recurs in
-        its document is a name; one that doesn't may be a misreading of such a name."""
+        its document is a name if it is short or several words may be meant alike; one that doesn't recur may be
+        a misreading of such a name."""
         near, own = self.known.get(seen, ()), self.df.get(seen, 0)
         name = part[:1].isupper() and seen.isalpha() and own < self.floor
-        if near and not (name and times > 1):
+        if near and not (name and times > 1 and (len(seen) < LEAST_NAME or self._open(seen, near))):
             return near[0]
         if times == 1 and own < self.floor and len(seen) >= 4:
             return next((v for v in names if abs(len(v) - len(seen)) <= 2 and v != seen and misread_cost(seen, v, 1) == 1), None)
@@ -372,9 +381,9 @@ def _doubtful(reader: Reader, page: Page) -> None:
         if a and b:
             p.join.append((i, k, fold(a.group()), fold(b.group())))
             p.edge |= {(i, len(p.parts[i]) - 1), (k, 0)}
-    # a capitalised word that recurs and isn't the corpus's is a name, which stands anyway
-    p.named = {w for i, f in p.folded.items() for w, x in zip(f, p.parts[i]) if x[2][:1].isupper() and p.local[w] > 1 and w.isalpha() and reader.df.get(w, 0) < reader.floor}
-    p.names = [w for w in p.named if len(w) >= 4]
+    # a capitalised word that recurs and isn't the corpus's is a name as a rule (see Reader.meant)
+    named = {w for i, f in p.folded.items() for w, x in zip(f, p.parts[i]) if x[2][:1].isupper() and p.local[w] > 1 and w.isalpha() and reader.df.get(w, 0) < reader.floor}
+    p.names = [w for w in named if len(w) >= 4]
 
 
 def _last(word: str) -> str:
@@ -406,7 +415,7 @@ def repair(reader: Reader, texts: list[str | None], titles: list[str | None]) ->
     for p in pages:
         if p is not None and p.scan:
             _doubtful(reader, p)
-            ask |= {w for w in p.local if len(w) > 1 and w not in reader.fine and w not in p.named and not reader.common(w)}
+            ask |= {w for w in p.local if len(w) > 1 and w not in reader.fine and not reader.common(w)}
             ask |= {_last(a) + b.split("-")[0] for _, _, a, b in p.join}
     reader.candidates(ask)
     out: list = []

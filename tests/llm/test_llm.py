@@ -283,6 +283,16 @@ def test_scan_repair(spark):
     assert "- 7 -" not in got[100] and "A short study" not in got[100]
 
 
+def test_recurring_capitalised_misreadings():
+    page = "The Rechfschreibung of a word is in the book of words\nand Rechfschreibung is what the rechfschreibung is about\nwhile Lorigo is a name here and Lorigo is a name there too\nand the words of the book are about the spelling of words"
+    reader = lambda: scans.Reader({"rechtschreibung": 600, "longo": 600}, 10_000)
+    first = reader()
+    first.candidates({"lorigo", "rechfschreibung"})  # what a worker has met before doesn't count
+    for r in (reader(), first):
+        (p, _, wrong, _), = scans.repair(r, [page], [None])
+        assert p.scan and {i: [v for *_, v in x] for i, x in wrong.items()} == {0: ["rechtschreibung"], 1: ["rechtschreibung"] * 2}
+
+
 def test_gradients():
     net = languages.ByteGru(1)
     x = np.random.default_rng(0).integers(97, 120, (3, 5))
