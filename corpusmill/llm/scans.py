@@ -1,8 +1,8 @@
 """Text of scanned pages made readable: page furniture, broken words, misread characters, paragraphs.
 
 Words that aren't in the vocabulary of the corpus are looked up in it with Levenshtein automata over a
-trie, which gives all words within two edits; these are ranked by how scanners misread characters, by
-their frequency and by the words next to them. Page furniture is then removed and lines are reflowed.
+trie, which gives all words within two edits; these are ranked by how scanners misread characters and by
+their frequency. The words next to them aren't read (see README). Page furniture is then removed and lines are reflowed.
 """
 
 from __future__ import annotations
