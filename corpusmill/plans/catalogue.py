@@ -693,7 +693,7 @@ def corpus_counters(table):
 @query()
 def word2vec_docs(table):
     c = written(wiki.corpus(_pages(table), min_tokens=5), "corpus")
-    return wiki.document_vectors(wiki.word_vectors(c, size=16, epochs=1, window=5), c)
+    return wiki.document_vectors(wiki.word_vectors(c), c)
 
 
 # --- sentence graphs ------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from corpusmill.plans import catalogue
 from corpusmill.plans.lineage import written
 from corpusmill.plans.skew import hot_keys, salted_join
 from corpusmill.sources import files, sinks
+from tests.compare import FOLDER
 
 
 def test_connected_components(spark):
@@ -202,6 +203,22 @@ def test_cluster_tree_is_three_levels_with_scores(spark, tmp_path):
     assert np.allclose([got[0].silhouette, got[0].davies_bouldin, got[0].calinski_harabasz], [f.first()[0] for f in (vectors.silhouette(v), vectors.davies_bouldin(v, 64), vectors.calinski_harabasz(v, 64))])
 
 
+def test_document_vectors_of_the_whole_training(spark, monkeypatch):
+    import inspect
+
+    asked, given = {}, inspect.signature(wiki.word_vectors)
+
+    def taken(*a, **k):
+        bound = given.bind(*a, **k)
+        bound.apply_defaults()
+        asked.update(bound.arguments)
+
+    monkeypatch.setattr(wiki, "word_vectors", taken)
+    monkeypatch.setattr(wiki, "document_vectors", lambda model, c: c)
+    catalogue.queries()["word2vec_docs"](spark, FOLDER)
+    assert (asked["size"], asked["window"], asked["epochs"], asked["min_count"]) == (150, 15, 10, 5)
+
+
 def test_files(spark, tmp_path):
     bank = "# text = A b.\n1\tA\ta\t_\tDT\t_\t2\tdet\n1-2\tx\n2\tb\tb\t_\tNN\t_\t0\troot\n"
     (tmp_path / "x.conllu").write_text(bank)
