@@ -347,3 +347,16 @@ def test_query_equals_sql(spark, name):
 def test_usable_vectors_of_clashing_columns(spark):
     rec, vec = vector_fixture(spark)
     assert vectors.usable(rec).count() == len(vec)
+
+
+def test_frequencies_come_from_unions(spark, monkeypatch):
+    """Containers of several tasks meet by union: without it, counts of terms in several tasks go wrong."""
+    rows = attributes(spark, [(n, i, "both", 1, 0) for n in range(50) for i in range(3)]).repartition(7, "node_id", "term_ind")
+    r = rows.select("term", "node_id", F.lit(1).alias("cnt"))
+    parts = r.withColumnRenamed("node_id", "record").select("term", "record", F.col("cnt").cast("long").alias("cnt")).mapInArrow(frequency._built, frequency._BOXES_DDL)
+    assert parts.count() > 1
+    box = frequency.term_bitmaps(r).collect()
+    assert [(b.term, b.chunk, b.occurrences, frequency.cardinality(b.box)) for b in box] == [("both", 0, 150, 50)]
+    boxes = [frequency.pack(np.arange(k, 60000, 7)) for k in range(7)]
+    got = list(frequency._merged(iter([frequency.pa.RecordBatch.from_arrays([frequency.pa.array(["t"] * 7), frequency.pa.array([0] * 7), frequency.pa.array(boxes), frequency.pa.array([1] * 7)], schema=frequency._BOXES)])))
+    assert len(got) == 1 and got[0].column("occurrences").to_pylist() == [7] and frequency.cardinality(got[0].column("box").to_pylist()[0]) == 60000
