@@ -1,13 +1,22 @@
 """One form for text that looks the same but differs in its characters.
 
 The skeleton of a text: decompose it, replace every character by the prototype it looks like,
-decompose again. Originals with equal skeletons look alike.
+decompose again. Originals with equal skeletons look alike. The prototypes are those of the Unicode
+consortium's confusables data, read from the ICU library that comes with Spark, for all letters, marks
+and numbers; compatibility forms, invisible characters and other spaces are undone first.
+
+Stand-ins are found by comparing a text with its skeleton: a character that the skeleton keeps stands
+for itself; one that differs is cleared only where it is properly in its own script.
 """
 
 from __future__ import annotations
 
 import bisect
+import glob
+import os
+import struct
 import unicodedata as U
+import zipfile
 from functools import lru_cache
 
 import pandas as pd
@@ -55,28 +64,105 @@ def prototype(ch: str) -> str:
     return ch
 
 
+def _confusables() -> dict[str, str]:
+    """Character -> prototype of the confusables data among Spark's jars; empty if there is none.
+
+    The file has a header, sorted keys (code point and length of the prototype), an index for each (the
+    prototype itself if it is one unit, else its place in the strings), and the strings in UTF-16."""
+    import pyspark
+
+    home = os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__)
+    jars = sorted(glob.glob(f"{home}/jars/icu4j-*.jar")) or sorted(glob.glob(f"{os.path.dirname(pyspark.__file__)}/jars/icu4j-*.jar"))
+    if not jars:
+        return {}
+    with zipfile.ZipFile(jars[-1]) as z:
+        name = next((n for n in z.namelist() if n.endswith("/confusables.cfu")), None)
+        raw = z.read(name) if name else b""
+    if not raw:
+        return {}
+    data = raw[struct.unpack_from(">H", raw)[0] :]
+    key_at, keys, index_at, _, text_at, _ = struct.unpack_from(">6i", data, 12)
+    out = {}
+    for k, i in zip(struct.unpack_from(f">{keys}I", data, key_at), struct.unpack_from(f">{keys}H", data, index_at)):
+        n = (k >> 24) + 1
+        out[chr(k & 0xFFFFFF)] = chr(i) if n == 1 else data[text_at + 2 * i : text_at + 2 * (i + n)].decode("utf-16-be")
+    return out
+
+
+#: What a character that differs from its prototype is: codes that stand for it in Table.kinds.
+_GONE, _SPACE, _FORM, _ACCENT, _RARE = (chr(0xE000 + k) for k in range(5))
+#: Phonetic signs among the Latin letters, which no word of common letters holds.
+_PHONETIC = regex.compile(r"[ıƄƍƖƦƽǀ\u0250-\u02af\u1d00-\u1dbf\ua720-\ua7ff\uab30-\uab6f]")
+
+
+class Table:
+    """The look-alike table: `full` for str.translate on decomposed text; `like` the letters that imitate one
+    Latin letter; `latin` the Latin letters that Russian ones imitate; `kinds` the characters that differ
+    from their skeleton by themselves, with what they are. Common (ASCII) characters are no stand-ins."""
+
+    def __init__(self):
+        seen = _confusables()
+        held = {c for c in seen if U.category(c)[0] in "LNM" or c == "|"}
+        self.full: dict[int, str] = {}
+        self.kinds: dict[int, str] = {}
+        self.like: dict[str, str] = {}
+        # all assigned characters; ideographs and syllables in order have no prototypes but in the data
+        for n in (*range(0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x20000), *range(0xE0000, 0xE0200), *(ord(c) for c in held)):
+            c = chr(n)
+            kind = U.category(c)
+            if kind in ("Cn", "Co", "Cs") or n in self.full:
+                continue
+            one, plain = prototype(c), U.normalize("NFD", c)
+            p = U.normalize("NFD", "".join(seen.get(x, x) if x in held else x for x in U.normalize("NFD", one)))
+            if 0x2100 <= n < 0x2150 and kind[0] == "L" and plain != c:
+                self.kinds[n] = _FORM  # letter-like signs that decompose to the letter itself
+            if p == plain:
+                continue
+            self.full[n] = p
+            if n < 128:
+                continue
+            d = U.decomposition(c)
+            if not p:
+                if kind == "Cf" or c in "͏᠎":
+                    self.kinds[n] = _GONE
+            elif p == " ":
+                self.kinds[n] = _SPACE
+            elif d.startswith("<") and one != c:
+                if n > 0x17F or c in "Ĳĳ":  # below: letters of alphabets
+                    self.kinds[n] = _FORM
+            elif kind[0] == "L" and len(p) == 1 and p.isascii() and p.isalpha():
+                self.like[c] = p
+        self.like |= {k: v for k, v in _LIKE.items() if len(v) == 1}
+        self.kinds |= {ord(c): _RARE for c in self.like if script(c) not in _MAIN or _PHONETIC.match(c)}
+        self.kinds |= {n: _ACCENT for n in range(0x300, 0x370)}
+        self.latin = {v for k, v in self.like.items() if "А" <= k <= "я"}
+        letters = regex.escape("".join(sorted({*self.like, *self.latin})), special_only=True)
+        self.whole = regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{N}}])[{letters}]+(?![\p{{L}}\p{{M}}\p{{N}}])")
+        self.foreign = regex.compile(rf"[\p{{Cyrillic}}\p{{Greek}}\p{{Armenian}}{regex.escape(''.join(sorted(self.like)), special_only=True)}]")
+
+
+@lru_cache(maxsize=1)
+def table() -> Table:
+    return Table()
+
+
 def skeleton(text: str) -> str:
     """Decomposed, every character replaced by its prototype, decomposed again."""
-    if text.isascii():
-        return text
-    return U.normalize("NFD", "".join(map(prototype, U.normalize("NFD", text))))
+    return U.normalize("NFD", U.normalize("NFD", text).translate(table().full))
 
 
-_SCRIPT = r"\p{Latin}|\p{Cyrillic}|\p{Greek}|\p{Armenian}"
-_HARD = regex.compile(r"[\p{Zs}--\ ]|[\p{Cf}͏᠎]|(?<=[\p{Latin}\p{Cyrillic}\p{Greek}])[̀-ͯ]|[！-｠￠-￦ﬀ-ﬆĲĳǄ-ǌǱ-ǳ]|[℀-⅏\U0001d400-\U0001d7ff]|[Ⅰ-ⅿ]", regex.V1)
+_MAIN = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
+_SURE = regex.compile(f"[{_GONE}-{_ACCENT}]")
+_ODD_IN_WORD = regex.compile(rf"{_RARE}\p{{M}}*(?=\p{{Latin}})|(?<=\p{{Latin}}\p{{M}}*){_RARE}")
 _MIXED = regex.compile("|".join(rf"\p{{{a}}}\p{{M}}*(?=\p{{{b}}})" for a in ("Latin", "Cyrillic", "Greek", "Armenian") for b in ("Latin", "Cyrillic", "Greek", "Armenian") if a != b))
-_FOREIGN = "".join(_LIKE) + "".join(_LATIN_LIKE)
-_WHOLE = regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{N}}])[{_FOREIGN}]+(?![\p{{L}}\p{{M}}\p{{N}}])")
-_OTHER = regex.compile(r"[\p{Cyrillic}\p{Greek}\p{Armenian}ıɡɑɩʋᴏꞵ]")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _MATH = set("=≥≤<>±×·+≈≠−∈~")
 
 
 @lru_cache(maxsize=1 << 14)
 def script(ch: str) -> str:
-    """The script of a letter, from its Unicode name; '' if none of those with look-alikes."""
-    name = U.name(ch, "")
-    return next((s for s in ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN") if name.startswith(s)), "")
+    """The script of a letter, the first word of its Unicode name; '' for other characters."""
+    return U.name(ch, "").split(" ")[0] if U.category(ch)[0] == "L" else ""
 
 
 def _main_script(word: str) -> str:
@@ -87,39 +173,69 @@ def _main_script(word: str) -> str:
     return max(n, key=n.get) if n else ""
 
 
-def _hard(text: str) -> tuple[int, str] | None:
-    for m in _HARD.finditer(text):
-        ch, i = m.group(), m.start()
-        if ch in "‌‍":  # proper in emoji sequences and in scripts that join letters
-            near = text[max(0, i - 1) : i] + text[i + 1 : i + 2]
-            if any(U.category(c) in ("So", "Sk") or "֐" <= c <= "෿" for c in near):
-                continue
-        if "℀" <= ch <= "⅏" and not (U.category(ch)[0] == "L" and U.decomposition(ch)):
-            continue  # a symbol
-        if "Ⅰ" <= ch <= "ⅿ" and not regex.search(r"\p{L}", text[max(0, i - 1) : i] + text[i + 1 : i + 2]):
+def _sure(text: str, kinds: str) -> tuple[int, str] | None:
+    """The first character that stands in for another wherever it is: one that the skeleton drops or makes a
+    space, letters of a compatibility form, accents of their own."""
+    for m in _SURE.finditer(kinds):
+        i = m.start()
+        ch, near = text[i], text[max(0, i - 1) : i] + text[i + 1 : i + 2]
+        if ch in "‌‍" and any(U.category(c) in ("So", "Sk") or "֐" <= c <= "෿" for c in near):
+            continue  # proper in emoji sequences and in scripts that join letters
+        if "Ⅰ" <= ch <= "ⅿ" and not any(c.isalpha() and not "Ⅰ" <= c <= "ⅿ" for c in near):
             continue  # a numeral of its own
+        if m.group() == _ACCENT and (not i or script(text[i - 1]) not in _MAIN and not U.combining(text[i - 1])):
+            continue  # no letter's
         return i, ch
     return None
 
 
+def _in_word(text: str, kinds: str, t: Table) -> tuple[int, str] | None:
+    """The first letter that differs from its skeleton in a word otherwise of another script, or a phonetic sign
+    in a word of common letters."""
+    for m in _MIXED.finditer(text, overlapped=True):
+        a, b = text[m.start()], text[m.end()]
+        if a in t.like and script(b) == "LATIN" or a in t.latin and script(b) == "CYRILLIC" and b not in t.like:
+            return m.start(), a
+        if b in t.like and script(a) == "LATIN" or script(a) == "CYRILLIC" and b in t.latin:
+            return m.end(), b
+        if a in t.like or b in t.like:
+            return (m.start(), a) if a in t.like else (m.end(), b)
+    if _RARE in kinds:
+        for m in _ODD_IN_WORD.finditer(kinds):
+            s, e = m.start(), m.end()
+            while s and (text[s - 1].isalpha() or U.combining(text[s - 1])):
+                s -= 1
+            while e < len(text) and (text[e].isalpha() or U.combining(text[e])):
+                e += 1
+            word = text[s:e]
+            if text[s - 1 : s] in ("/", "[", "ˈ") and s or any(_PHONETIC.match(c) and c not in t.like for c in word):
+                continue  # a transcription
+            return m.start(), text[m.start()]
+    return None
+
+
 def stand_in(text: str | None, before: str = "", after: str = "") -> tuple[int, str] | None:
     """(position, character) of the first character found to stand in for another, or None.
 
-    Full-width forms, separate accents, invisible characters, other spaces, joined letters and
-    letter-like signs always do. A letter of another script does inside a word of two scripts, and in
-    a word all of whose letters have look-alikes if the words around it are of the script it imitates.
-    `before` and `after` are such neighbours where `text` itself is a single token."""
+    The text is compared with its skeleton: where no character differs, none stands in. Those that do are
+    cleared only as properly in their script: full-width forms, separate accents, invisible characters,
+    other spaces, joined letters and letter-like signs never are; a letter of another script isn't inside
+    a word of two scripts, nor in a word all of whose letters have look-alikes if the words around it are
+    of the script it imitates. `before` and `after` are such neighbours where `text` itself is a single
+    token."""
     if not text or text.isascii() and not (before or after):
         return None
-    if (m := _hard(text)) is not None:
+    t = table()
+    kinds = text.translate(t.kinds)
+    if (m := _sure(text, kinds) if kinds != text else None) is not None:
         return m
-    if m := _MIXED.search(text):
-        a, b = m.group()[0], text[m.end()]
-        return (m.end(), b) if script(a) == "LATIN" else (m.start(), a)
-    if not _OTHER.search(text + before + after):
+    around = text + before + after
+    if not t.foreign.search(around):
         return None
+    if (m := _in_word(text, kinds, t)) is not None:
+        return m
     words = None
-    for m in _WHOLE.finditer(text):
+    for m in t.whole.finditer(text):
         own = _main_script(m.group())
         if own == "GREEK" and len(m.group()) == 1:
             rest = text[m.end() :].lstrip()[:1] or after[:1]
@@ -182,11 +298,11 @@ def found_in_tokens(tok: DataFrame) -> DataFrame:
     A token all of whose letters have look-alikes is judged by the two tokens on either side of it, which
     are joined to it by their position, so no document is gathered in one task."""
     tok = tok.where("doc_id IS NOT NULL AND token_i IS NOT NULL AND text IS NOT NULL").select("doc_id", "token_i", "text")
-    odd = tok.where(~F.col("text").rlike(HARMLESS) | F.col("text").rlike(f"^[{''.join(sorted(_LATIN_LIKE))}]{{1,2}}$")).distinct()
+    odd = tok.where(~F.col("text").rlike(HARMLESS) | F.col("text").rlike(f"^[{''.join(sorted(table().latin))}]{{1,2}}$")).distinct()
 
     @F.pandas_udf("int")
     def judge(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: 1 if not t.isascii() and stand_in(t) is not None else 2 if _WHOLE.fullmatch(t) else 0)
+        return s.map(lambda t: 1 if not t.isascii() and stand_in(t) is not None else 2 if table().whole.fullmatch(t) else 0)
 
     odd = odd.withColumn("j", judge("text")).where("j > 0")
     sure = odd.where("j = 1").select("doc_id", "token_i")

@@ -360,3 +360,21 @@ def test_frequencies_come_from_unions(spark, monkeypatch):
     boxes = [frequency.pack(np.arange(k, 60000, 7)) for k in range(7)]
     got = list(frequency._merged(iter([frequency.pa.RecordBatch.from_arrays([frequency.pa.array(["t"] * 7), frequency.pa.array([0] * 7), frequency.pa.array(boxes), frequency.pa.array([1] * 7)], schema=frequency._BOXES)])))
     assert len(got) == 1 and got[0].column("occurrences").to_pylist() == [7] and frequency.cardinality(got[0].column("box").to_pylist()[0]) == 60000
+
+
+def test_skeletons_of_many_scripts():
+    same = [("Ꭺ", "A"), ("ꓮ", "A"), ("rn", "m"), ("0", "O"), ("1", "l"), ("I", "l"), ("ᎪᏴᏟ", "ABC"), ("ⲟ", "o"), ("ᴏ", "o"), ("scope", "ѕсоре"), ("ｍ", "rn")]
+    assert all(lookalikes.skeleton(a) == lookalikes.skeleton(b) for a, b in same)
+    assert len(lookalikes.table().full) > 5000
+    assert [lookalikes.stand_in(t) is not None for t in ("the ꓮlpha", "a ｍark", "missinɡ", "/fəˈnɛtɪk/", "Ꭺ", "größer", "наука", "Ⅳ")] == [True, True, True, False, False, False, False, False]
+
+
+def test_stand_ins_are_differences_from_the_skeleton(monkeypatch):
+    """With a table in which every character is its own prototype, nothing stands in for anything."""
+    found = ["e\u0301tude", "the tаgger", "ｆｕｌｌ", "a\u00a0b", "Потому что пoдробный", "while а word-level count"]
+    assert all(lookalikes.stand_in(t) for t in found)
+    t = lookalikes.Table()
+    t.kinds, t.like, t.latin = {}, {}, set()
+    t.whole = t.foreign = lookalikes.regex.compile(r"(?!)")
+    monkeypatch.setattr(lookalikes, "table", lambda: t)
+    assert not any(lookalikes.stand_in(t) for t in found)
