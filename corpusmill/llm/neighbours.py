@@ -1,17 +1,16 @@
 """The k most similar vectors of every vector.
 
 A tree of spherical k-means centres, fitted on a bounded sample, divides all vectors among its
-leaves. A vector visits leaves best bin first: a priority queue holds the open nodes, leaves by the
-similarity of their centre, inner nodes by the most that any leaf below can have; the best is taken
-next, an inner node opening its children, a leaf being visited. The number of visits is calibrated:
-the neighbours of sampled queries are found by comparing them with all vectors, and visits are
-widened until the asked share of those neighbours is met in a visited leaf.
+leaves; it has the more leaves the more vectors there are, so that a leaf holds about LEAF_ROWS of them
+(as long as the sample has two rows a leaf). A vector visits leaves best bin first through a priority
+queue (see tree.py). The number of visits is calibrated: the neighbours of sampled queries are found by
+comparing them with all vectors, and visits are widened until the asked share of those neighbours is
+met in a visited leaf.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,163 +20,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.llm.clusters import USABLE_SQL
-from corpusmill.llm.vectors import copies, keyed, lloyd, matrix, representatives, sample, stacked, to_members, usable
+from corpusmill.llm.tree import LEAF_SAMPLE, Tree, best_bins, calibrate, fit_tree, nearest
+from corpusmill.llm.vectors import copies, keyed, matrix, representatives, sample, stacked, to_members, usable
 from corpusmill.plans.lineage import written
 
 DIM = 64
-#: Vectors the tree is fitted on, at most; every vector is put into a leaf.
+#: Vectors the tree is fitted on, at most (12 MB of centres in single precision, as each may become a leaf);
+#: every vector is put into a leaf.
 FIT_ROWS = 49152
-#: Children of a node, and sampled vectors below which a node stays a leaf.
-BRANCH, LEAF_SAMPLE = 16, 128
-#: Queries the visits are calibrated with.
-PROBES = 1024
+#: Vectors a leaf should hold.
+LEAF_ROWS = 512
 #: Rows of a leaf, or queries at a leaf, compared at once.
 BLOCK = 8192
 
 
-@dataclass
-class Tree:
-    """Unit centre of each node; first child and number of children, or None; leaf number, or -1; and the
-    angle within which the centres of all leaves below lie."""
-
-    centre: np.ndarray
-    child: list
-    leaf: np.ndarray
-    radius: np.ndarray
-
-    @property
-    def leaves(self) -> int:
-        return int(self.leaf.max()) + 1
-
-
-def fit_tree(x: np.ndarray, branch: int = BRANCH, least: int = LEAF_SAMPLE) -> Tree:
-    """Hierarchical k-means over `x`; a node splits while it has at least twice `least` rows and its
-    rows aren't all alike."""
-    centre, child, todo = [np.zeros(x.shape[1])], [None], [(0, np.arange(len(x)))]
-    while todo:
-        node, rows = todo.pop(0)
-        if len(rows) < 2 * least:
-            continue
-        c = lloyd(x[rows], min(branch, len(rows) // least), seed=node + 1)
-        at = (x[rows] @ c.T).argmax(1)
-        used = np.unique(at)
-        if len(used) < 2:
-            continue
-        child[node] = (len(centre), len(used))
-        for u in used:
-            todo.append((len(centre), rows[at == u]))
-            centre.append(c[u])
-            child.append(None)
-    c = np.array(centre)
-    leaf = np.array([-1 if k else 0 for k in child])
-    leaf[leaf == 0] = np.arange((leaf == 0).sum())
-    radius, below = np.zeros(len(c)), [[] for _ in child]
-    for n in range(len(c) - 1, -1, -1):  # children follow their parents
-        below[n] = [n] if child[n] is None else [m for k in range(child[n][0], sum(child[n])) for m in below[k]]
-        radius[n] = np.arccos(np.clip(c[below[n]] @ c[n], -1, 1).min())
-    return Tree(c, child, leaf, radius)
-
-
-def best_bins(tree: Tree, x: np.ndarray, visits: int) -> np.ndarray:
-    """The first `visits` leaves of each row, best bin first; -1 where the tree has no more.
-
-    The priority queues of all rows are one matrix with a column for each node, minus infinity while
-    a node isn't queued. First each row opens its best inner node, then every inner node in its queue
-    whose bound reaches the last of the `visits` best leaves queued, until there is none: these are
-    the nodes that taking one node at a time would open, so leaves come out by falling similarity."""
-    score = x.astype(np.float32) @ tree.centre.T.astype(np.float32)
-    inner, leaves = np.flatnonzero(tree.leaf < 0), np.flatnonzero(tree.leaf >= 0)
-    score[:, inner] = np.cos(np.maximum(np.arccos(np.clip(score[:, inner], -1, 1)) - tree.radius[inner] - 1e-4, 0))
-    queue = np.full(score.shape, -np.inf, np.float32)
-    queue[:, 0] = 2
-    most, every = min(visits, len(leaves)), np.arange(len(x))
-    first = True
-    while len(inner):
-        waiting = queue[:, inner]
-        if first:
-            go = np.zeros(waiting.shape, bool)
-            best = waiting.argmax(1)
-            go[every, best] = waiting[every, best] > -np.inf
-            first = bool((tree.leaf[inner[best]] < 0).any() and np.isneginf(queue[:, leaves]).all(1).any())
-        else:
-            last = np.partition(queue[:, leaves], len(leaves) - most, axis=1)[:, -most]
-            go = (waiting > -np.inf) & (waiting >= last[:, None])
-        if not go.any():
-            break
-        for k in np.flatnonzero(go.any(0)):
-            r, (s, m) = np.flatnonzero(go[:, k]), tree.child[inner[k]]
-            queue[r, inner[k]] = -np.inf
-            queue[r, s : s + m] = score[r, s : s + m]
-    got = queue[:, leaves]
-    top = np.argpartition(-got, most - 1, axis=1)[:, :most]
-    value = np.take_along_axis(got, top, 1)
-    o = np.argsort(-value, axis=1, kind="stable")
-    top, value = np.take_along_axis(top, o, 1), np.take_along_axis(value, o, 1)
-    out = np.full((len(x), visits), -1, np.int32)
-    out[:, :most] = np.where(np.isneginf(value), -1, tree.leaf[leaves][top])
-    return out
-
-
-def nearest(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of q, id, similarity) of the k best rows of v (with ids ascending) for each row of q: the highest
-    similarity, rounded to 6 decimals, first; at equal similarity the smaller id."""
-    s = q.astype(np.float32) @ v.astype(np.float32).T
-    floor = -2.0 if least is None else least - 2e-6
-    i, j = np.nonzero(s >= floor)
-    if s.shape[1] > k and len(i) > 4 * k * len(q):
-        best = np.partition(s, s.shape[1] - k, axis=1)[:, -k] - 4e-6
-        keep = s[i, j] >= best[i]
-        i, j = i[keep], j[keep]
-    sim = np.round(np.einsum("ij,ij->i", q[i], v[j]), 6)
-    if least is not None:
-        ok = sim >= least
-        i, j, sim = i[ok], j[ok], sim[ok]
-    order = np.lexsort((ids[j], -sim, i))
-    i, j, sim = i[order], j[order], sim[order]
-    start = np.r_[0, np.flatnonzero(np.diff(i)) + 1] if len(i) else np.zeros(0, int)
-    rank = np.arange(len(i)) - np.repeat(start, np.diff(np.r_[start, len(i)]))
-    return i[rank < k], ids[j[rank < k]], sim[rank < k]
-
-
-def calibrate(reps: DataFrame, probes: np.ndarray, tree: Tree, k: int, least: float | None, recall: float, mutual: bool, width: int = 24) -> int:
-    """The least number of visits at which `recall` of the probes' k nearest others (of at least `least`
-    similarity) are met: in the neighbour's first leaf, or, if `mutual`, in any leaf that both visit.
-    Each task keeps the best k + 1 of its rows for each probe, and the first `width` leaves of those; if more
-    visits are called for than that, it is done again with more."""
-    width = min(width, tree.leaves)
-
-    def best(batches):
-        for b in batches:
-            v, ids = matrix(b.column("vec"), DIM), np.asarray(b.column("rep"))
-            o = np.argsort(ids)
-            v, ids = v[o], ids[o]
-            i, n, s = nearest(probes, v, ids, k + 1, least)
-            at, back = np.unique(np.searchsorted(ids, n), return_inverse=True)
-            bins = best_bins(tree, v[at], width if mutual else 1)
-            yield pa.RecordBatch.from_pydict({"q": pa.array(i, pa.int32()), "id": pa.array(n, pa.int64()), "sim": pa.array(s, pa.float64()), "bins": pa.array(list(bins[back]), pa.list_(pa.int32()))})
-
-    found = reps.select("rep", "vec").mapInArrow(best, "q int, id long, sim double, bins array<int>")
-    top = found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "id"))).where((F.col("r") > 1) & (F.col("r") <= k + 1))
-    top = top.select("q", "bins").toPandas()  # at most PROBES * k rows
-    if not len(top):
-        return 1
-    order = best_bins(tree, probes, tree.leaves)
-    place = np.argsort(order, axis=1)  # place of each leaf in the probe's order
-    need = []
-    for q, bins in zip(top["q"], top["bins"]):
-        other = np.arange(len(bins)) if mutual else np.zeros(len(bins), int)
-        need.append(np.maximum(place[q, bins], other).min())
-    need = np.sort(need)
-    visits = int(need[min(len(need) - 1, math.ceil(recall * len(need)))]) + 1
-    if mutual and visits > width < tree.leaves:
-        return calibrate(reps, probes, tree, k, least, recall, mutual, width * 4)
-    return visits
-
-
 def _fit(reps: DataFrame) -> tuple[Tree, np.ndarray]:
-    x = sample(reps, reps.count(), FIT_ROWS, DIM)
-    probes = np.random.default_rng(1).permutation(len(x))[:PROBES]
-    return (fit_tree(x), x[probes]) if len(x) else (Tree(np.zeros((1, DIM)), [None], np.array([0]), np.zeros(1)), x)
+    """The tree, and vectors in an order by chance to calibrate it with."""
+    n = reps.count()
+    x = sample(reps, n, FIT_ROWS, DIM)
+    if not len(x):
+        return Tree(np.zeros((1, DIM), np.float32), *(np.array([v]) for v in (0, 0, 0, 0.0))), x
+    least = max(2, min(LEAF_SAMPLE, LEAF_ROWS * len(x) // n))
+    return fit_tree(x, least=least), x[np.random.default_rng(1).permutation(len(x))]
 
 
 def _visiting(df: DataFrame, tree: Tree, visits: int) -> DataFrame:
@@ -210,8 +74,8 @@ def _own(n):
 def _compare(q: pd.DataFrame, v: pd.DataFrame, k: int, least: float | None) -> pd.DataFrame:
     v = v.sort_values("rep")
     vm, ids, out = stacked(v["vec"], DIM), v["rep"].to_numpy(), [pd.DataFrame({"rep_a": np.zeros(0, np.int64), "rep_b": np.zeros(0, np.int64), "sim": np.zeros(0)})]
-    for s in range(0, len(q) if len(v) else 0, 2048):
-        p = q.iloc[s : s + 2048]
+    for s in range(0, len(q) if len(v) else 0, 1024):
+        p = q.iloc[s : s + 1024]
         i, n, sim = nearest(stacked(p["vec"], DIM), vm, ids, k, least)
         own = p["rep"].to_numpy()[i]
         keep = own != n

@@ -161,7 +161,86 @@ def test_best_bins_is_best_first():
     t = neighbours.fit_tree(x, 8, 20)
     at = np.flatnonzero(t.leaf >= 0)
     want = np.argsort(-(x[:200].astype(np.float32) @ t.centre[at].T.astype(np.float32)), axis=1)[:, :6]
-    assert (t.leaf[at][want] == neighbours.best_bins(t, x[:200], 6)).mean() > 0.999
+    assert (t.leaf[at][want] == neighbours.best_bins(t, x[:200], 6, slack=1.0)).mean() > 0.999
+    all_, few = [], []
+    neighbours.best_bins(t, x[:200], 6, slack=1.0, work=all_)
+    got = neighbours.best_bins(t, x[:200], 6, work=few)
+    assert sum(few) < 0.5 * sum(all_)  # the queue leaves centres uncompared
+    assert np.mean([len(set(a) & set(b)) / 6 for a, b in zip(got.tolist(), t.leaf[at][want].tolist())]) > 0.6
+    assert all(len(set(a)) == 6 for a in got.tolist())
+
+
+def queue_by_hand(t, x, visits, slack):
+    import heapq
+
+    heap, out = [(-2.0, 0)], []
+    while heap and len(out) < visits:
+        _, n = heapq.heappop(heap)
+        if t.count[n] == 0:
+            out.append(int(t.leaf[n]))
+            continue
+        for c in range(t.first[n], t.first[n] + t.count[n]):
+            s = float(np.float32(x.astype(np.float32) @ t.centre[c]))
+            if t.count[c]:
+                s = np.cos(max(np.arccos(np.clip(s, -1, 1)) - slack * t.radius[c], 0))
+            heapq.heappush(heap, (-s, c))
+    return out
+
+
+def test_best_bins_equals_a_queue():
+    """Opening several nodes at once finds what a queue taken one by one finds, or nearer leaves."""
+    x = np.random.default_rng(4).standard_normal((4000, 16))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    t = neighbours.fit_tree(x, 8, 10)
+    near = {int(t.leaf[n]): t.centre[n] for n in np.flatnonzero(t.leaf >= 0)}
+    for q, got in zip(x[:60], neighbours.best_bins(t, x[:60], 5, slack=0.3).tolist()):
+        want = queue_by_hand(t, q, 5, 0.3)
+        assert sum(q @ near[g] for g in got) >= sum(q @ near[w] for w in want) - 1e-4
+    assert neighbours.best_bins(neighbours.fit_tree(x[:3], 8, 10), x[:3], 4).tolist() == [[0, -1, -1, -1]] * 3
+
+
+def chains(spark, groups=40, length=6, seed=1):
+    """Chains of vectors each at about 0.83 to the next, but not to those after it."""
+    rng, rows = np.random.default_rng(seed), []
+    for g in range(groups):
+        a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        for k in range(length):
+            t = k * np.arccos(0.83)
+            rows.append((len(rows) + 1, 1, (np.cos(t) * a + np.sin(t) * b).tolist(), 1))
+    return cluster_rows(spark, rows)
+
+
+@pytest.mark.parametrize("block", [16, 100, 8192])
+def test_chains_stay_whole_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(clusters, "BLOCK", block)
+    monkeypatch.setattr(clusters, "CELL_ROWS", 100_000)
+    member = clusters.groups(chains(spark))
+    assert member.select("group_id").distinct().count() == 40
+    assert {r.n_records for r in clusters.members(member).collect()} == {6}
+
+
+def test_many_links_are_grown(monkeypatch):
+    rng = np.random.default_rng(3)
+    v = np.concatenate([c + rng.standard_normal((30, 64)) * 0.03 for c in rng.standard_normal((5, 64))])
+    v /= np.sqrt((v * v).sum(1, keepdims=True))
+    ids = np.arange(len(v)) * 3
+    side = np.arange(len(v)) % 2
+    want, across = clusters._linked(v, ids, 0.8), clusters._linked(v, ids, 0.8, side)
+    monkeypatch.setattr(clusters, "MOST_LINKS", 10)
+    assert (clusters._linked(v, ids, 0.8) == want).all() and (clusters._linked(v, ids, 0.8, side) == across).all() and len(set(want.tolist())) == 5
+
+
+def test_large_cells_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "MOST_CELLS", 2)
+    monkeypatch.setattr(clusters, "LARGE_CELL", 20)
+    monkeypatch.setattr(clusters, "CELL_ROWS", 10)
+    rec, vec = vector_fixture(spark, 7)
+    ids, s = _similar(vec)
+    i, j = np.nonzero(np.triu(s >= 0.8, 1))
+    assert {tuple(r) for r in clusters.group_pairs(clusters.groups(rec)).collect()} == set(zip(ids[i].tolist(), ids[j].tolist()))
+    reps = vectors.representatives(vectors.keyed(vectors.usable(rec)), vectors.copies(vectors.keyed(vectors.usable(rec))))
+    tree, _ = clusters._cells(reps, reps.count())
+    assert tree.leaves > 4
 
 
 def test_skeletons(spark):
