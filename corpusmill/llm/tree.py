@@ -139,8 +139,10 @@ def best_bins(tree: Tree, x: np.ndarray, visits: int, slack: float | None = None
         done = ~go.any(1)
         if done.any():
             d, m = np.flatnonzero(done), min(visits, leaf.shape[1])
-            top = np.argsort(-leaf[d], axis=1, kind="stable")[:, :m]
-            found = np.take_along_axis(leaf[d], top, 1) > -np.inf
+            ready = leaf[d]
+            top = np.argpartition(-ready, m - 1, axis=1)[:, :m]
+            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(ready, top, 1), axis=1, kind="stable"), 1)
+            found = np.take_along_axis(ready, top, 1) > -np.inf
             out[live[d], :m] = np.where(found, tree.leaf[np.take_along_axis(held[d], top, 1)], -1)
             keep = ~done
             live, value, held, at, go = live[keep], value[keep], held[keep], at[keep], go[keep]
