@@ -6,6 +6,8 @@ random offset a source is added, and a copy is given out for each integer bounda
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,17 +28,34 @@ def rates(sizes: DataFrame, weights: DataFrame, total_tokens: int | None = None)
 
     rate is the expected copies of each document: target_share * total / size, at most max_repeats. The
     target shares are scaled to a sum of one over all sources of `weights`. `total_tokens` is the size
-    asked for, by default the tokens of all documents of these sources. A source that can't fill its
-    share at max_repeats falls short of it; its part isn't given to others, which would take these
-    further off. Null shares count as 0, null repeats as 1; a source without documents has rate 0.
+    asked for, by default that of nearest_total(). With a larger one a source that can't fill its share falls
+    short of it, and its part isn't given to others, which would take these further off. Null shares count
+    as 0, null repeats as 1; a source without documents has rate 0.
     """
     w = weights.select(_name(F.col("source")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"))
     w = w.where("source IS NOT NULL").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    j = w.join(sizes, "source", "left").withColumns({"docs": F.coalesce("docs", F.lit(0)), "size": F.coalesce("size", F.lit(0))})
-    all_of = j.agg(F.sum("target_share").alias("_w"), F.sum("size").alias("_t"))
+    j = w.join(sizes, "source", "left").withColumns({"docs": F.coalesce("docs", F.lit(0)), "size": F.coalesce("size", F.lit(0)), "spread": F.coalesce("spread", F.lit(0.0))})
+    j = j.crossJoin(F.broadcast(j.agg(F.sum("target_share").alias("_w")))).withColumn("share", F.when(F.col("_w") > 0, F.col("target_share") / F.col("_w")).otherwise(0.0))
     total = F.lit(total_tokens) if total_tokens is not None else F.col("_t")
-    rate = F.when((F.col("size") > 0) & (F.col("_w") > 0), F.least(F.col("target_share") / F.col("_w") * total / F.col("size"), F.col("max_repeats").cast("double")))
-    return j.crossJoin(F.broadcast(all_of)).withColumn("rate", F.coalesce(rate, F.lit(0.0))).withColumn("target_share", F.col("target_share") / F.col("_w")).drop("_w", "_t")
+    j = j.crossJoin(F.broadcast(nearest_total(j))) if total_tokens is None else j
+    rate = F.when(F.col("size") > 0, F.least(F.col("share") * total / F.col("size"), F.col("max_repeats").cast("double")))
+    return j.select("source", F.col("share").alias("target_share"), "max_repeats", "docs", "size", F.coalesce(rate, F.lit(0.0)).alias("rate"))
+
+
+def nearest_total(sources: DataFrame) -> DataFrame:
+    """One row (_t): the size of the mixture at which its shares are expected to come nearest their targets.
+
+    A large total leaves capped sources short of their share; a small one is made of so few documents that one
+    more or less, which a source's spread of sizes measures, moves the shares. Of totals from the largest at
+    which no source is short up to where all are capped, in steps of a fifth, the one with the least sum of
+    both is taken. Works on the few rows of `sources` (source, share, max_repeats, size, spread)."""
+    s = sources.where("share > 0 AND size > 0 AND max_repeats > 0")
+    lo = s.agg(F.min(F.col("max_repeats") * F.col("size") / F.col("share")).alias("_lo"), F.max(F.col("max_repeats") * F.col("size") / F.col("share")).alias("_hi"))
+    steps = lo.select(F.explode(F.transform(F.sequence(F.lit(0), F.ceil(F.log(F.col("_hi") / F.col("_lo")) / math.log(1.2)).cast("int")), lambda k: F.col("_lo") * F.pow(F.lit(1.2), k))).alias("_t"))
+    got = s.crossJoin(F.broadcast(steps)).withColumn("got", F.least(F.col("share") * F.col("_t"), F.col("max_repeats") * F.col("size").cast("double")))
+    sums = got.groupBy("_t").agg(F.sum("got").alias("all"))
+    off = got.join(sums, "_t").groupBy("_t").agg(F.sum(F.abs(F.col("got") / F.col("all") - F.col("share")) + F.col("spread") / F.col("all")).alias("off"))
+    return off.agg(F.coalesce(F.min(F.struct("off", "_t"))["_t"], F.lit(0.0)).alias("_t"))
 
 
 def sampled(docs: DataFrame, rate: DataFrame, seed: int = 1) -> DataFrame:
@@ -66,11 +85,11 @@ def sampled(docs: DataFrame, rate: DataFrame, seed: int = 1) -> DataFrame:
 
 
 def sized(docs: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, source, tokens) of the documents with tokens, and (source, docs, size) of each source.
+    """(doc_id, source, tokens) of the documents with tokens, and (source, docs, size, spread) of each source.
     Source names are compared without case and outer spaces; a null one belongs to no source."""
     d = counted(docs.select("doc_id", _name(F.col("source")).alias("source"), "text")).where("tokens > 0 AND source IS NOT NULL")
     d = written(d, "counted")
-    return d, written(d.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("size")), "sizes")
+    return d, written(d.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("size"), F.stddev_pop("tokens").alias("spread")), "sizes")
 
 
 def mixture(docs: DataFrame, weights: DataFrame, total_tokens: int | None = None, seed: int = 1) -> DataFrame:
@@ -82,16 +101,19 @@ def mixture(docs: DataFrame, weights: DataFrame, total_tokens: int | None = None
 
 def shares(docs: DataFrame, weights: DataFrame, total_tokens: int | None = None, seed: int = 1) -> DataFrame:
     """One row per source of `weights`: target_share, max_repeats, its documents and tokens, the copies and
-    tokens given out, actual_share of all tokens given out, and capped: whether max_repeats bound it."""
+    tokens given out, actual_share of all tokens given out, capped: whether max_repeats bound it, and
+    distance: half the sum of all differences between actual and target shares, 0 where all are met."""
     d, sizes = sized(docs, weights)
     rate = written(rates(sizes, weights, total_tokens), "rates")
     got = sampled(d, rate, seed).groupBy("source").agg(F.count("*").alias("copies"), F.sum("tokens").alias("mix_tokens"))
     j = rate.join(got, "source", "left").withColumns({"copies": F.coalesce("copies", F.lit(0)), "mix_tokens": F.coalesce("mix_tokens", F.lit(0))})
     j = written(j, "shares")
     total = j.agg(F.sum("mix_tokens").alias("_t"))
-    return j.crossJoin(F.broadcast(total)).select(
+    share = F.coalesce(F.col("mix_tokens") / F.when(F.col("_t") > 0, F.col("_t")), F.lit(0.0))
+    off = j.crossJoin(F.broadcast(total)).agg((F.sum(F.abs(share - F.coalesce("target_share", F.lit(0.0)))) / 2).alias("_d"))
+    return j.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(off)).select(
         "source", F.round("target_share", 6).alias("target_share"), "max_repeats", "docs", F.col("size").alias("source_tokens"), "copies", "mix_tokens",
-        F.round(F.col("mix_tokens") / F.when(F.col("_t") > 0, F.col("_t")), 6).alias("actual_share"), (F.col("rate") >= F.col("max_repeats")).alias("capped"))
+        F.round(F.col("mix_tokens") / F.when(F.col("_t") > 0, F.col("_t")), 6).alias("actual_share"), (F.col("rate") >= F.col("max_repeats")).alias("capped"), F.round("_d", 6).alias("distance"))
 
 
 def _both(spark, d):

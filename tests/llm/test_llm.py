@@ -457,3 +457,14 @@ def test_stand_ins_are_differences_from_the_skeleton(monkeypatch):
     t.whole = t.foreign = lookalikes.regex.compile(r"(?!)")
     monkeypatch.setattr(lookalikes, "table", lambda: t)
     assert not any(lookalikes.stand_in(t) for t in found)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER) or not os.path.exists(TOKENIZER), reason="test tables or vocabulary files are missing")
+def test_total_brings_sources_nearest(spark):
+    docs, weights = mixture._both(spark, FOLDER.replace("sf0.001", "sf0.01"))
+    best = mixture.shares(docs, weights).collect()
+    every = sum(r.source_tokens for r in best)
+    far = [mixture.shares(docs, weights, total_tokens=t).first().distance for t in (every, every // 4)]
+    assert best[0].distance < 0.06 and best[0].distance < min(far)
+    assert math.isclose(best[0].distance, sum(abs(r.actual_share - r.target_share) for r in best) / 2, abs_tol=1e-4)
+    assert all(r.copies <= r.docs * r.max_repeats for r in best)
