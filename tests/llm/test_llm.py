@@ -222,12 +222,29 @@ def test_chains_stay_whole_in_blocks(spark, monkeypatch, block):
 def test_many_links_are_grown(monkeypatch):
     rng = np.random.default_rng(3)
     v = np.concatenate([c + rng.standard_normal((30, 64)) * 0.03 for c in rng.standard_normal((5, 64))])
-    v /= np.sqrt((v * v).sum(1, keepdims=True))
+    v = (v / np.sqrt((v * v).sum(1, keepdims=True))).astype(np.float32)
     ids = np.arange(len(v)) * 3
     side = np.arange(len(v)) % 2
-    want, across = clusters._linked(v, ids, 0.8), clusters._linked(v, ids, 0.8, side)
+    (want, *_), (across, *_) = clusters._linked(v, ids, 0.8), clusters._linked(v, ids, 0.8, side)
     monkeypatch.setattr(clusters, "MOST_LINKS", 10)
-    assert (clusters._linked(v, ids, 0.8) == want).all() and (clusters._linked(v, ids, 0.8, side) == across).all() and len(set(want.tolist())) == 5
+    assert (clusters._linked(v, ids, 0.8)[0] == want).all() and (clusters._linked(v, ids, 0.8, side)[0] == across).all() and len(set(want.tolist())) == 5
+
+
+def test_short_vectors_leave_no_link_undecided(spark):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((4000, 64))
+    v /= np.sqrt((v * v).sum(1, keepdims=True))
+    short = clusters.unshort(clusters.short(v))
+    assert np.abs(v[:2000] @ v[2000:].T - short[:2000] @ short[2000:].T).max() < clusters.SHORT_MARGIN
+    # pairs just below, at and above the border of six decimals
+    rows, want = [], set()
+    for k, s in enumerate((0.79990, 0.7999994, 0.7999996, 0.8, 0.8000001, 0.8001) * 5):
+        a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        pair = [np.asarray(x, np.float32).astype(float) for x in (a, s * a + np.sqrt(1 - s * s) * b)]
+        rows += [(2 * k + 1, 1, pair[0].tolist(), 1), (2 * k + 2, 1, pair[1].tolist(), 1)]
+        if round(float(pair[0] @ pair[1] / np.sqrt((pair[0] @ pair[0]) * (pair[1] @ pair[1]))), 6) >= 0.8:
+            want.add((2 * k + 1, 2 * k + 2))
+    assert {tuple(r) for r in clusters.group_pairs(clusters.groups(cluster_rows(spark, rows))).collect()} == want
 
 
 def test_large_cells_are_divided(spark, monkeypatch):
