@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Penn Treebank tags and labels, Universal and Clear dependency relations.
 VERB_TAGS = ("MD", "VB", "VBD", "VBG", "VBN", "VBP", "VBZ")
+ADVERB_TAGS = ("RB", "RBR", "RBS")
 NOUN_TAGS = ("NN", "NNS", "NNP", "NNPS")
 CLAUSES = ("S", "SBAR", "SBARQ", "SINV", "SQ")
 PHRASES = ("ADJP", "ADVP", "CONJP", "FRAG", "INTJ", "LST", "NAC", "NP", "NX", "PP", "PRN", "PRT", "QP", "RRC", "UCP", "VP", "WHADJP", "WHADVP", "WHNP", "WHPP", "X")

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.functions.vectors import dot, doubles, l2_normalize, mean_vector, similarity
+from corpusmill.plans.skew import spread_join
 
 
 def _split(counts: list[float], least: int) -> dict:
@@ -122,7 +123,8 @@ def augmented_counts(counts: DataFrame, sub: DataFrame) -> DataFrame:
     """A11, augmented: (doc_id, node_id, term, cnt, augmented): a term's own count, and one for each term of
     the node that holds it; a held term without a count of its own starts at the count of the first that
     holds it (in order of term). `sub` is (term, subterm)."""
-    held = counts.join(sub, "term").groupBy("doc_id", "node_id", F.col("subterm").alias("term")).agg(F.count("*").alias("extra"), F.min_by("cnt", "term").alias("from_first"))
+    held = spread_join(counts.select("doc_id", "node_id", "term", "cnt"), sub.groupBy("term").agg(F.collect_list("subterm").alias("_s")), "term")  # a term has few sub-terms
+    held = held.withColumn("subterm", F.explode("_s")).groupBy("doc_id", "node_id", F.col("subterm").alias("term")).agg(F.count("*").alias("extra"), F.min_by("cnt", "term").alias("from_first"))
     j = counts.select("doc_id", "node_id", "term", "cnt").join(held, ["doc_id", "node_id", "term"], "full")
     return j.select("doc_id", "node_id", "term", F.coalesce("cnt", F.lit(0)).alias("cnt"), (F.coalesce("cnt", "from_first") + F.coalesce("extra", F.lit(0))).cast("double").alias("augmented"))
 
@@ -153,20 +155,23 @@ def alternative_means(nodes: DataFrame, means: DataFrame, dim: int, most_levels:
     tree = written(nodes.select("doc_id", "node_id", "parent_node_id", "level").join(means, ["doc_id", "node_id"]), "tree")
     depth = tree.agg(F.max("level")).first()[0]
     inner = tree.select("doc_id", F.col("parent_node_id").alias("node_id")).distinct()
-    done = tree.join(inner, ["doc_id", "node_id"], "left_anti").withColumnRenamed("mean", "alt_mean")
+    leaves = tree.join(inner, ["doc_id", "node_id"], "left_anti").withColumnRenamed("mean", "alt_mean")
+    done, below = leaves, leaves.where(F.col("level") == depth)
     for level in range((depth or 0) - 1, -1, -1):
         if level >= most_levels:
             raise ValueError("the tree is too deep")
-        kids = done.where(F.col("level") == level + 1).groupBy("doc_id", F.col("parent_node_id").alias("node_id")).agg(mean_vector(F.col("alt_mean"), dim).alias("m"))
+        kids = below.groupBy("doc_id", F.col("parent_node_id").alias("node_id")).agg(mean_vector(F.col("alt_mean"), dim).alias("m"))
         here = tree.where(F.col("level") == level).drop("mean").join(kids, ["doc_id", "node_id"]).withColumn("alt_mean", l2_normalize(F.col("m"))).drop("m")
-        done = written(done.union(here.select(done.columns)), "alt")
+        here = written(here.select(done.columns), "alt")  # each level is written once, with its own nodes only
+        done = done.union(here)
+        below = here.union(leaves.where(F.col("level") == level))
     return done.select("doc_id", "node_id", "alt_mean")
 
 
 def term_similarities(node_terms: DataFrame, node_vectors: DataFrame, term_vectors: DataFrame) -> DataFrame:
     """node_terms (node_id, term) with sim_to_mean, the scaled similarity of the term's vector to the
     node's `mean`, rounded to 4. Vectors of neither side drop the row."""
-    j = node_terms.join(node_vectors.select("node_id", "mean"), "node_id").join(term_vectors.select("term", "embedding"), "term")
+    j = spread_join(node_terms.join(node_vectors.select("node_id", "mean"), "node_id"), term_vectors.select("term", "embedding"), "term")
     return j.withColumn("sim_to_mean", F.round(similarity(F.col("embedding"), F.col("mean")), 4)).drop("mean", "embedding")
 
 
@@ -174,7 +179,7 @@ def parent_similarities(node_terms: DataFrame, nodes: DataFrame, node_vectors: D
     """node_terms with sim_to_parent: their similarity to the parent's vector; roots have no row."""
     up = nodes.where("parent_node_id IS NOT NULL").select("node_id", "parent_node_id").distinct()
     v = node_vectors.select(F.col("node_id").alias("parent_node_id"), "mean")
-    j = node_terms.join(up, "node_id").join(v, "parent_node_id").join(term_vectors.select("term", "embedding"), "term")
+    j = spread_join(node_terms.join(up, "node_id").join(v, "parent_node_id"), term_vectors.select("term", "embedding"), "term")
     return j.withColumn("sim_to_parent", F.round(similarity(F.col("embedding"), F.col("mean")), 4)).drop("mean", "embedding", "parent_node_id")
 
 

@@ -1,7 +1,7 @@
 """Parsed sentences as typed graphs of words and phrases.
 
 Tokens are rows (doc_id, sent_id, token_i, text, lemma, tag, dep, head_i); a constituency tree is rows
-(sent_id, uid, parent_uid, child_pos, label, level, word_id, subsentence_uid). Edges are (doc_id, src,
+(doc_id, sent_id, uid, parent_uid, child_pos, label, level, word_id, subsentence_uid, size). Edges are (doc_id, src,
 dst, kind, extra). Sentences are the partitions of all windows; only retokenization changes words in
 turn and works on a sentence at a time in Python.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusmill.functions.labels import NOUN_TAGS, RELATIVE, SUBJECTS, VERB_TAGS, adjective_like, clause_level, noun_like, phrase_level, verb_like, wh_word
+from corpusmill.functions.labels import ADVERB_TAGS, CLAUSES, NOUN_TAGS, RELATIVE, SUBJECTS, VERB_TAGS, adjective_like, clause_level, noun_like, phrase_level, verb_like, wh_word
 
 _SENT = ("doc_id", "sent_id")
 
@@ -65,32 +65,42 @@ def noun_runs(tokens: DataFrame) -> DataFrame:
 
 
 def _copulas(w: dict) -> None:
-    """The copula takes the place of its head, which becomes its child; subjects of the head turn to it."""
-    done: set[int] = set()
-    for i, h in [(i, w[i]["head"]) for i in sorted(w) if w[i]["dep"] == "cop"]:
-        if i in done or h not in w:
-            continue
-        done |= {i, h}
-        w[i]["head"], w[i]["dep"] = w[h]["head"], w[h]["dep"]
-        w[h]["head"], w[h]["dep"] = i, "cop"
-        for k, x in w.items():
-            if k not in (i, h) and x["head"] == h and x["dep"] in SUBJECTS:
-                x["head"] = i
+    """The copula of a predicate takes its place in the tree, the predicate becomes its child, and the predicate's
+    subjects turn to it. Of several copulas of one predicate the first does; one whose head is itself a copula
+    stays. All new heads follow from the pairs of the sentence as it came."""
+    stands_for = {x["head"]: i for i, x in sorted(w.items(), reverse=True) if x["dep"] == "cop" and x["head"] in w and w[x["head"]]["dep"] != "cop"}
+    new = {h: (i, "cop") for h, i in stands_for.items()}
+    new |= {i: (stands_for.get(w[h]["head"], w[h]["head"]) if w[h]["dep"] in SUBJECTS else w[h]["head"], w[h]["dep"]) for h, i in stands_for.items()}
+    for i, x in w.items():
+        if i not in new and x["dep"] in SUBJECTS and x["head"] in stands_for:
+            new[i] = (stands_for[x["head"]], x["dep"])
+    for i, (head, dep) in new.items():
+        w[i] |= {"head": head, "dep": dep}
 
 
 def _adverbs_out(w: dict) -> None:
-    """An adverb between two verbs goes before them, until there is none."""
+    """An adverb alone between two verbs moves before the run of verbs it stands in, after those moved before it.
+    One pass gives the new order of the words; places and heads follow from it. Adjectival modifiers are
+    no verbs here."""
     ids = sorted(w)
-    moved = True
-    while moved:
-        moved = False
-        for a, b, c in zip(ids, ids[1:], ids[2:]):
-            if w[a]["tag"] in VERB_TAGS and w[c]["tag"] in VERB_TAGS and (w[b]["tag"] or "").startswith("RB"):
-                w[a], w[b] = w[b], w[a]
-                swap = {a: b, b: a}
-                for x in w.values():
-                    x["head"] = swap.get(x["head"], x["head"])
-                moved = True
+    verb = [w[i]["tag"] in VERB_TAGS and w[i]["dep"] != "amod" for i in ids]
+    order: list[int] = []
+    begin = None  # where the run of verbs begins in the new order
+    for k, i in enumerate(ids):
+        if verb[k]:
+            begin = len(order) if begin is None else begin
+            order.append(i)
+        elif begin is not None and w[i]["tag"] in ADVERB_TAGS and k + 1 < len(ids) and verb[k + 1]:
+            order.insert(begin, i)
+            begin += 1
+        else:
+            begin = None
+            order.append(i)
+    if order != ids:
+        place = dict(zip(order, ids))
+        moved = {place[i]: x | {"head": place.get(x["head"], x["head"])} for i, x in w.items()}
+        w.clear()
+        w.update(moved)
 
 
 def _compounds(w: dict, member, ends) -> list[list[int]]:
@@ -183,7 +193,8 @@ def identical_noun_edges(words: DataFrame) -> DataFrame:
 
 
 def identical_noun_pairs(words: DataFrame) -> DataFrame:
-    """J7 in full: (doc_id, a, b), a before b, for documents small enough to want all pairs."""
+    """J7 in full, the small-document form: (doc_id, a, b), a before b, all pairs of a lemma in a document. The
+    chain of identical_noun_edges() links the same nouns with a row each."""
     n = words.where(F.col("tag").isin(*NOUN_TAGS) & F.col("lemma").isNotNull()).select("doc_id", "lemma", "token_i")
     b = n.select("doc_id", "lemma", F.col("token_i").alias("b"))
     return n.withColumnRenamed("token_i", "a").join(b, ["doc_id", "lemma"]).where("a < b").select("doc_id", "a", "b")
@@ -243,9 +254,10 @@ def sentence_starts(tokens: DataFrame, marker: str) -> DataFrame:
 
 
 def numbered_tree(nodes: DataFrame, prefix: str = "") -> DataFrame:
-    """Tree rows (sent_id, node, parent, child_pos, label, word_id) with uid (pre-order), parent_uid,
-    level and subsentence_uid (nearest clause above or itself; the root is its own). Node ids are the
-    caller's; the prefix may hold no colon. A sentence's tree is one unit of work."""
+    """Tree rows (doc_id, sent_id, node, parent, child_pos, label, word_id) with uid (pre-order),
+    parent_uid, level, subsentence_uid (nearest clause above or itself; the root is its own) and size, the
+    nodes below and itself. Node ids are the caller's; the prefix may hold no colon. A sentence's tree is one
+    unit of work; nodes whose parent is missing are left out."""
     if ":" in prefix:
         raise ValueError("a prefix may not hold a colon")
 
@@ -255,44 +267,46 @@ def numbered_tree(nodes: DataFrame, prefix: str = "") -> DataFrame:
         for r in pdf.sort_values("child_pos").itertuples():
             info[r.node] = r
             kids.setdefault(None if pd.isna(r.parent) else r.parent, []).append(r.node)
-        rows, no = [], 0
-        todo = [(n, None, 0, None) for n in reversed(kids.get(None, []))]
+        rows: list[list] = []
+        doc, sent = pdf["doc_id"].iat[0], int(pdf["sent_id"].iat[0])
+        todo = [(n, None, None, 0, None) for n in reversed(kids.get(None, []))]
+        ups = []
         while todo:
-            n, up, level, sub = todo.pop()
-            r, uid = info[n], f"{prefix}{pdf['sent_id'].iat[0]}-{no:06d}"
-            no += 1
-            sub = uid if up is None or r.label in ("S", "SBAR", "SBARQ", "SINV", "SQ") else sub
-            rows.append((int(pdf["sent_id"].iat[0]), uid, up, int(r.child_pos), r.label, level, None if pd.isna(r.word_id) else int(r.word_id), sub))
-            todo += [(k, uid, level + 1, sub) for k in reversed(kids.get(n, []))]
-        return pd.DataFrame(rows, columns=["sent_id", "uid", "parent_uid", "child_pos", "label", "level", "word_id", "subsentence_uid"]).astype({"word_id": "Int64"})
-
-    return nodes.groupBy("sent_id").applyInPandas(run, "sent_id int, uid string, parent_uid string, child_pos int, label string, level int, word_id long, subsentence_uid string")
-
-
-def covered_words(tree: DataFrame, words: DataFrame) -> DataFrame:
-    """(sent_id, uid, word_id): the words below each node. A level loop from the leaves up would repeat the
-    join; ids are pre-order, so a node's words are those from its uid to before the next of no deeper level."""
-    w = W.partitionBy("sent_id").orderBy("uid")
-    t = tree.withColumn("_at", F.row_number().over(w))
-    # the end of a node's span: the next place of a level not below it
-    later = t.select("sent_id", F.col("_at").alias("_b"), F.col("level").alias("_lv"))
-    end = t.join(later, "sent_id", "left").where("_b > _at AND _lv <= level").groupBy("sent_id", "uid").agg(F.min("_b").alias("_e"))
-    s = t.join(end, ["sent_id", "uid"], "left").select("sent_id", "uid", "_at", "_e")
-    leaf = t.where("word_id IS NOT NULL").select("sent_id", F.col("_at").alias("_l"), "word_id")
-    return s.join(leaf, "sent_id").where("_l >= _at AND (_e IS NULL OR _l < _e)").select("sent_id", "uid", "word_id")
+            n, up_no, up, level, sub = todo.pop()
+            r, no = info[n], len(rows)
+            uid = f"{prefix}{sent}-{no:06d}"
+            sub = uid if up is None or r.label in CLAUSES else sub
+            rows.append([doc, sent, uid, up, int(r.child_pos), r.label, level, None if pd.isna(r.word_id) else int(r.word_id), sub, 1])
+            ups.append(up_no)
+            todo += [(k, no, uid, level + 1, sub) for k in reversed(kids.get(n, []))]
+        for no in range(len(rows) - 1, -1, -1):
+            if ups[no] is not None:
+                rows[ups[no]][-1] += rows[no][-1]
+        return pd.DataFrame(rows, columns=["doc_id", "sent_id", "uid", "parent_uid", "child_pos", "label", "level", "word_id", "subsentence_uid", "size"]).astype({"word_id": "Int64"})
+
+    return nodes.groupBy(*_SENT).applyInPandas(run, "doc_id long, sent_id int, uid string, parent_uid string, child_pos int, label string, level int, word_id long, subsentence_uid string, size int")
+
+
+def covered_words(tree: DataFrame) -> DataFrame:
+    """(doc_id, sent_id, uid, word_id): the words below each node. Ids end in
+    the place in pre-order, so a node's words are those of its own place and the size - 1 after it: one row a
+    node and place, joined to the words by place. Nodes taken out of the tree don't matter."""
+    t = tree.withColumn("_at", F.substring_index("uid", "-", -1).cast("int"))
+    s = t.select(*_SENT, "uid", F.explode(F.sequence(F.col("_at"), F.col("_at") + F.col("size") - 1)).alias("_at"))
+    return s.join(t.where("word_id IS NOT NULL").select(*_SENT, "_at", "word_id"), [*_SENT, "_at"]).select(*_SENT, "uid", "word_id")
 
 
 def unresolved_heads(tree: DataFrame, words: DataFrame) -> DataFrame:
-    """(sent_id, uid, head_id, dep): heads of a node's words that lie outside of it; head 0 always does."""
-    c = covered_words(tree, words)
-    h = c.join(words.select("sent_id", "word_id", "head_id", "dep"), ["sent_id", "word_id"])
-    inside = c.select("sent_id", "uid", F.col("word_id").alias("head_id"))
-    return h.join(inside, ["sent_id", "uid", "head_id"], "left_anti").select("sent_id", "uid", "head_id", "dep").distinct()
+    """(doc_id, sent_id, uid, head_id, dep): heads of a node's words that lie outside of it; head 0 always does."""
+    c = covered_words(tree)
+    h = c.join(words.select(*_SENT, "word_id", "head_id", "dep"), [*_SENT, "word_id"])
+    inside = c.select(*_SENT, "uid", F.col("word_id").alias("head_id"))
+    return h.join(inside, [*_SENT, "uid", "head_id"], "left_anti").select(*_SENT, "uid", "head_id", "dep").distinct()
 
 
 def highest_nodes(unresolved: DataFrame) -> DataFrame:
-    """(sent_id, head_id, dep, uid): the first node in pre-order for each head and relation."""
-    return unresolved.groupBy("sent_id", "head_id", "dep").agg(F.min("uid").alias("uid"))
+    """(doc_id, sent_id, head_id, dep, uid): the first node in pre-order for each head and relation."""
+    return unresolved.groupBy(*_SENT, "head_id", "dep").agg(F.min("uid").alias("uid"))
 
 
 def dependency_children(words: DataFrame) -> DataFrame:
@@ -301,23 +315,23 @@ def dependency_children(words: DataFrame) -> DataFrame:
 
 
 def tree_text(tree: DataFrame, words: DataFrame) -> DataFrame:
-    """(sent_id, uid, text): the words of each node in order, joined by spaces."""
-    c = covered_words(tree, words).join(words.select("sent_id", "word_id", "text"), ["sent_id", "word_id"])
-    return c.groupBy("sent_id", "uid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_id", "text"))), lambda x: x["text"]), " ").alias("text"))
+    """(doc_id, sent_id, uid, text): the words of each node in order, joined by spaces."""
+    c = covered_words(tree).join(words.select(*_SENT, "word_id", "text"), [*_SENT, "word_id"])
+    return c.groupBy(*_SENT, "uid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_id", "text"))), lambda x: x["text"]), " ").alias("text"))
 
 
 def without_punctuation(tree: DataFrame, words: DataFrame) -> DataFrame:
     """the tree without preterminals of punctuation that have siblings."""
-    n = F.count("*").over(W.partitionBy("sent_id", "parent_uid"))
-    p = words.where("dep = 'punct'").select("sent_id", "word_id", F.lit(True).alias("_p"))
-    return tree.withColumn("_n", n).join(p, ["sent_id", "word_id"], "left").where("NOT (coalesce(_p, false) AND _n > 1)").drop("_n", "_p").select(*tree.columns)
+    n = F.count("*").over(W.partitionBy(*_SENT, "parent_uid"))
+    p = words.where("dep = 'punct'").select(*_SENT, "word_id", F.lit(True).alias("_p"))
+    return tree.withColumn("_n", n).join(p, [*_SENT, "word_id"], "left").where("NOT (coalesce(_p, false) AND _n > 1)").drop("_n", "_p").select(*tree.columns)
 
 
 def invalid_trees(tree: DataFrame) -> DataFrame:
-    """rows (sent_id, uid, problem): nodes whose parent is missing, and roots beyond the first."""
-    up = tree.select("sent_id", F.col("uid").alias("parent_uid"), F.lit(1).alias("_u"))
-    lost = tree.where("parent_uid IS NOT NULL").join(up, ["sent_id", "parent_uid"], "left").where("_u IS NULL").select("sent_id", "uid", F.lit("parent missing").alias("problem"))
-    roots = tree.where("parent_uid IS NULL").withColumn("_r", F.row_number().over(W.partitionBy("sent_id").orderBy("uid"))).where("_r > 1").select("sent_id", "uid", F.lit("second root").alias("problem"))
+    """rows (doc_id, sent_id, uid, problem): nodes whose parent is missing, and roots beyond the first."""
+    up = tree.select(*_SENT, F.col("uid").alias("parent_uid"), F.lit(1).alias("_u"))
+    lost = tree.where("parent_uid IS NOT NULL").join(up, [*_SENT, "parent_uid"], "left").where("_u IS NULL").select(*_SENT, "uid", F.lit("parent missing").alias("problem"))
+    roots = tree.where("parent_uid IS NULL").withColumn("_r", F.row_number().over(W.partitionBy(*_SENT).orderBy("uid"))).where("_r > 1").select(*_SENT, "uid", F.lit("second root").alias("problem"))
     return lost.union(roots)
 
 
@@ -327,33 +341,33 @@ def empty_words(words: DataFrame) -> DataFrame:
 
 
 def word_nodes(tree: DataFrame, words: DataFrame) -> DataFrame:
-    """(sent_id, uid, level, label, word_id, node_label): a preterminal as `text (TAG/dep)` with its lemma on
+    """(doc_id, sent_id, uid, level, label, word_id, node_label): a preterminal as `text (TAG/dep)` with its lemma on
     a line of its own where that differs, other nodes as their label."""
-    j = tree.join(words.select("sent_id", "word_id", "text", "lemma", "tag", "dep"), ["sent_id", "word_id"], "left")
+    j = tree.join(words.select(*_SENT, "word_id", "text", "lemma", "tag", "dep"), [*_SENT, "word_id"], "left")
     lem = F.when(F.col("lemma").isNotNull() & (F.lower("lemma") != F.lower("text")), F.concat(F.lit("\n"), "lemma")).otherwise("")
     lab = F.when(F.col("word_id").isNotNull(), F.concat("text", F.lit(" ("), F.coalesce("tag", F.lit("")), F.lit("/"), F.coalesce("dep", F.lit("")), F.lit(")"), lem)).otherwise(F.col("label"))
-    return j.select("sent_id", "uid", "level", "label", "word_id", lab.alias("node_label"))
+    return j.select(*_SENT, "uid", "level", "label", "word_id", lab.alias("node_label"))
 
 
 def node_roles(tree: DataFrame, words: DataFrame) -> DataFrame:
-    """(sent_id, uid, role) of preterminals, the first that applies: main_noun, main_verb, main_adjective (the
+    """(doc_id, sent_id, uid, role) of preterminals, the first that applies: main_noun, main_verb, main_adjective (the
     sentence's root word), root, subject, head_different_subsentence, noun, verb, adjective."""
-    t = tree.where("word_id IS NOT NULL").join(words.select("sent_id", "word_id", "head_id", "tag", "dep"), ["sent_id", "word_id"])
-    head = t.select("sent_id", F.col("word_id").alias("head_id"), F.col("subsentence_uid").alias("_hs"))
-    t = t.join(head, ["sent_id", "head_id"], "left")
+    t = tree.where("word_id IS NOT NULL").join(words.select(*_SENT, "word_id", "head_id", "tag", "dep"), [*_SENT, "word_id"])
+    head = t.select(*_SENT, F.col("word_id").alias("head_id"), F.col("subsentence_uid").alias("_hs"))
+    t = t.join(head, [*_SENT, "head_id"], "left")
     root = F.col("head_id") == 0
     noun, verb, adj = noun_like(F.col("tag"), F.col("dep")), verb_like(F.col("tag"), F.col("dep")), adjective_like(F.col("tag"), F.col("dep"))
     role = (
         F.when(root & noun, "main_noun").when(root & verb, "main_verb").when(root & adj, "main_adjective").when(root, "root").when(F.col("dep").isin(*SUBJECTS), "subject")
         .when(F.col("_hs") != F.col("subsentence_uid"), "head_different_subsentence").when(noun, "noun").when(verb, "verb").when(adj, "adjective")
     )
-    return t.select("sent_id", "uid", role.alias("role")).where("role IS NOT NULL")
+    return t.select(*_SENT, "uid", role.alias("role")).where("role IS NOT NULL")
 
 
 def tree_edges(tree: DataFrame) -> DataFrame:
-    """(sent_id, src, dst, kind): parents to children that are clauses, phrases or preterminals."""
+    """(doc_id, sent_id, src, dst, kind): parents to children that are clauses, phrases or preterminals."""
     t = tree.where("parent_uid IS NOT NULL").where(clause_level(F.col("label")) | phrase_level(F.col("label")) | F.col("word_id").isNotNull())
-    return t.select("sent_id", F.col("parent_uid").alias("src"), F.col("uid").alias("dst"), F.lit("parent").alias("kind"))
+    return t.select(*_SENT, F.col("parent_uid").alias("src"), F.col("uid").alias("dst"), F.lit("parent").alias("kind"))
 
 
 def copula_edges(words: DataFrame) -> DataFrame:
@@ -363,17 +377,25 @@ def copula_edges(words: DataFrame) -> DataFrame:
     return s.join(cop, [*_SENT, "head_id"]).select(*_SENT, "src", F.col("head_id").alias("dst"), F.lit("COPULA relationship").alias("kind"))
 
 
-def sentence_graph(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of all sentences: dependency, order and identical-noun edges, each (src, dst, extra)
-    once, the last kind in order kept; nodes are the ends of edges."""
-    e = dependency_edges(words).unionByName(word_order_edges(words)).unionByName(identical_noun_edges(words))
+def sentence_graph(words: DataFrame, tree: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of all sentences: dependency, order, copula, resolution and identical-noun edges, and
+    with `tree` those of constituency, whose preterminals are the words themselves. Each (src, dst, extra) once,
+    the last kind in order kept; nodes are the ends of edges."""
+    at = lambda c: _uid(F.col("sent_id"), F.col(c))
+    cop = copula_edges(words).select("doc_id", at("src").alias("src"), at("dst").alias("dst"), "kind", F.lit("copula").alias("extra"))
+    res = relative_resolutions(words).select("doc_id", at("word_id").alias("src"), at("target").alias("dst"), F.col("version").alias("kind"), F.lit("resolution").alias("extra"))
+    e = dependency_edges(words).unionByName(word_order_edges(words)).unionByName(identical_noun_edges(words)).unionByName(cop).unionByName(res)
+    if tree is not None:
+        word = tree.where("word_id IS NOT NULL").select(*_SENT, "uid", at("word_id").alias("_w"))
+        t = tree_edges(tree).join(word.withColumnRenamed("uid", "dst"), [*_SENT, "dst"], "left")
+        e = e.unionByName(t.select("doc_id", "src", F.coalesce("_w", "dst").alias("dst"), "kind", F.lit("constituency").alias("extra")))
     e = e.groupBy("doc_id", "src", "dst", "extra").agg(F.max("kind").alias("kind"))
     n = e.select("doc_id", F.col("src").alias("uid")).union(e.select("doc_id", F.col("dst").alias("uid"))).distinct()
     return n, e
 
 
 # Styles of edges, the first that applies.
-EDGE_STYLES = (("COPULA relationship", "color=red"), ("dependency", "color=blue"), ("order", "color=gray style=dotted"), ("noun", "color=green dir=none"), ("coref", "color=orange dir=none"))
+EDGE_STYLES = (("COPULA relationship", "color=red"), ("dependency", "color=blue"), ("order", "color=gray style=dotted"), ("noun", "color=green dir=none"), ("constituency", "color=black"), ("resolution", "color=purple"), ("coref", "color=orange dir=none"))
 
 
 def dot_text(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Terms of documents: candidates, counts, and scores (ComboBasic, C-value, TF-IDF), synonyms.
 
 Every operator keeps doc_id in its keys, so a corpus is scored in one plan and no document is treated
-apart. Joins are on (doc_id, term), which spreads a frequent term over its documents.
+apart. Joins are on (doc_id, term), which spreads a frequent term over its documents; a join on the term alone
+is salted for frequent ones.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from corpusmill.functions.labels import word_category
 from corpusmill.functions.text import count_words, subterms, words
 from corpusmill.operators.graph import connected_components
+from corpusmill.plans.lineage import written
+from corpusmill.plans.skew import hot_keys, salted_join
 
 #: Words that end a candidate where tokens have no tags (a short list of function words).
 STOP_WORDS = (
@@ -87,7 +90,9 @@ def combo_basic(counts: DataFrame) -> DataFrame:
     each place where a longer candidate holds the term, 0.1 for each candidate it holds."""
     inner = counts.select("doc_id", F.col("term").alias("outer"), F.explode(subterms(F.col("term"))).alias("term"))
     pairs = inner.join(counts.select("doc_id", "term"), ["doc_id", "term"])
-    sides = pairs.select("doc_id", "term", F.lit(1).alias("i"), F.lit(0).alias("o")).union(pairs.select("doc_id", F.col("outer").alias("term"), F.lit(0).alias("i"), F.lit(1).alias("o")))
+    # the join is made once; each pair counts for both of its ends
+    ends = F.array(F.struct("term", F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("outer").alias("term"), F.lit(0).alias("i"), F.lit(1).alias("o")))
+    sides = pairs.select("doc_id", F.explode(ends).alias("e")).select("doc_id", "e.term", "e.i", "e.o")
     n = sides.groupBy("doc_id", "term").agg(F.sum("i").alias("contained_in"), F.sum("o").alias("contains"))
     z = counts.select("doc_id", "term", "cnt").join(n, ["doc_id", "term"], "left").na.fill(0, ["contained_in", "contains"])
     a, b, c = COMBO_WEIGHTS
@@ -120,7 +125,8 @@ def tf_idf(counts: DataFrame, n_docs: int | None = None) -> DataFrame:
     documents (by default those with counts). The number of documents joins as one row."""
     total = counts.groupBy("doc_id").agg(F.sum("cnt").alias("total"))
     n = counts.select("doc_id").distinct().agg(F.count("*").alias("n")) if n_docs is None else None
-    z = counts.join(total, "doc_id").join(doc_frequency(counts), "term")
+    df = written(doc_frequency(counts), "df")
+    z = salted_join(counts.select("doc_id", "term", "cnt").join(total, "doc_id"), df, "term", hot_keys(df, "term", "df"))
     z = z.crossJoin(F.broadcast(n)) if n is not None else z.withColumn("n", F.lit(n_docs))
     z = z.select("doc_id", "term", (F.col("cnt") / F.col("total")).alias("tf"), "df", (F.col("cnt") / F.col("total") * F.ln(F.col("n") / F.col("df"))).alias("tf_idf"))
     return _ranked(z, "tf_idf")
@@ -269,27 +275,42 @@ def synonym_partitions(synonyms: DataFrame, scores: DataFrame, one_pass: bool =
 
 
 def jaccard_distance(contexts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(t1, t2, distance): 1 less the shared part of two terms' context terms; 1 where either has none."""
-    c = contexts.where("context_term IS NOT NULL").groupBy("term").agg(F.collect_set("context_term").alias("c"))
-    j = pairs.join(c.select(F.col("term").alias("t1"), F.col("c").alias("c1")), "t1", "left").join(c.select(F.col("term").alias("t2"), F.col("c").alias("c2")), "t2", "left")
-    d = 1 - F.size(F.array_intersect("c1", "c2")) / F.size(F.array_union("c1", "c2"))
-    return j.select("t1", "t2", F.coalesce(F.when(F.col("c1").isNotNull() & F.col("c2").isNotNull(), d), F.lit(1.0)).alias("distance"))
+    """(t1, t2, distance): 1 less the shared part of two terms' context terms; 1 where either has none.
+
+    The shared ones are counted by an equi-join of the pairs' context terms on pair and context term, and the
+    size of each term's own by an aggregate, so no term's contexts are ever gathered in one row."""
+    c = contexts.where("term IS NOT NULL AND context_term IS NOT NULL").select("term", "context_term").distinct()
+    size = written(c.groupBy("term").agg(F.count("*").alias("n")), "sizes")
+    asked = pairs.select("t1", "t2")
+    once = asked.distinct()
+    a = once.join(c.select(F.col("term").alias("t1"), "context_term"), "t1")
+    b = once.join(c.select(F.col("term").alias("t2"), "context_term"), "t2")
+    both = a.join(b, ["t1", "t2", "context_term"]).groupBy("t1", "t2").agg(F.count("*").alias("both"))
+    j = asked.join(size.select(F.col("term").alias("t1"), F.col("n").alias("n1")), "t1", "left").join(size.select(F.col("term").alias("t2"), F.col("n").alias("n2")), "t2", "left").join(both, ["t1", "t2"], "left")
+    shared = F.coalesce("both", F.lit(0))
+    return j.select("t1", "t2", F.coalesce(1 - shared / (F.col("n1") + F.col("n2") - shared), F.lit(1.0)).alias("distance"))
 
 
 def sentence_matches(sentences: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, doc_id, sent_ind): sentences that contain a term anywhere, case aside, each once.
 
-    Terms of three letters and more meet only sentences that share their rarest-looking trigram (an equi-
-    join), then `contains` decides; shorter terms are compared directly, as their list is small."""
-    low = sentences.where("text IS NOT NULL").select("doc_id", "sent_ind", F.lower("text").alias("s"))
+    A term meets the sentences that hold its rarest run of three letters (itself, if it is shorter): of the runs
+    of all sentences only those of some term are kept, as ids; the fewest per term are joined on, then the
+    texts of these sentences alone are fetched and `contains` decides. Equi-joins throughout."""
+    low = sentences.where("text IS NOT NULL AND doc_id IS NOT NULL AND sent_ind IS NOT NULL").select("doc_id", "sent_ind", F.lower("text").alias("s"))
     t = terms.where("term IS NOT NULL AND term <> ''").select("term", F.lower("term").alias("t")).distinct()
     n = F.length("t")
-    # of the trigrams the one without a space if there is one, from the middle
-    long = t.where(n >= 3).withColumn("g", F.substring(F.col("t"), F.greatest(F.lit(1), F.floor(n / 2).cast("int")), F.lit(3)))
-    grams = low.withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("s") - 2, F.lit(1))), lambda i: F.substring(F.col("s"), i, F.lit(3))))))
-    a = grams.join(long, "g").where(F.contains("s", "t")).select("term", "doc_id", "sent_ind")
-    b = low.join(t.where(n < 3), F.contains(F.col("s"), F.col("t"))).select("term", "doc_id", "sent_ind")
-    return a.union(b)
+    runs = lambda c, k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (k - 1), F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(k))))
+    own = written(t.withColumn("g", F.explode(F.when(n >= 3, runs("t", 3)).otherwise(F.array("t")))), "runs")
+    wanted = own.select("g").distinct()
+    grams = low.select("doc_id", "sent_ind", F.explode(runs("s", 3)).alias("g"))
+    for k in (1, 2):
+        grams = grams.union(low.select("doc_id", "sent_ind", F.explode(runs("s", k)).alias("g"))) if not own.where(n == k).isEmpty() else grams
+    grams = written(grams.join(wanted, "g", "left_semi").distinct(), "grams")
+    held = grams.groupBy("g").agg(F.count("*").alias("n"))
+    best = own.join(held, "g").groupBy("term", "t").agg(F.min(F.struct("n", "g")).alias("m")).select("term", "t", F.col("m.g").alias("g"))
+    found = grams.join(best, "g").select("term", "t", "doc_id", "sent_ind")
+    return found.join(low, ["doc_id", "sent_ind"]).where(F.contains("s", "t")).select("term", "doc_id", "sent_ind").distinct()
 
 
 def context_band(matches: DataFrame, lengths: DataFrame, window: int) -> DataFrame:

@@ -231,7 +231,7 @@ def davies_bouldin(v: DataFrame, dim: int) -> DataFrame:
     c = group_means(v, "label", dim, unit=False)
     s = v.join(c, "label").groupBy("label").agg(F.avg(_distance(F.col("embedding"), F.col("mean"))).alias("s"))
     x = c.join(s, "label").select("label", "mean", "s")
-    y = listed(x.select(F.col("label").alias("l2"), F.col("mean").alias("m2"), F.col("s").alias("s2")))
+    y = listed(x.select(F.col("label").alias("l2"), F.col("mean").alias("m2"), F.col("s").alias("s2")), 10_000)
     r = x.join(y, F.col("label") != F.col("l2")).groupBy("label").agg(F.max((F.col("s") + F.col("s2")) / _distance(F.col("mean"), F.col("m2"))).alias("r"))
     return r.agg(F.avg("r").alias("davies_bouldin"))
 
@@ -474,12 +474,33 @@ def plus_minus_split(scores: DataFrame, depth: int = 3) -> DataFrame:
     out = scores.select("vec_id", "scores", F.lit("").alias("path"))
     for d in range(depth):
         x = F.get("scores", F.lit(d))
-        w = W.partitionBy("path")
-        m, s = F.avg(x).over(w), F.stddev_pop(x).over(w)
-        out = out.withColumn("path", F.concat("path", F.when(x.isNull(), "").when(x > m + s, "+").when(x < m - s, "-").otherwise("0")))
+        # means and deviations by partial aggregates; at most 4 ** d paths join back
+        by = out.groupBy("path").agg(F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s"))
+        out = out.join(F.broadcast(by), "path")
+        m, s = F.col("_m"), F.col("_s")
+        out = out.withColumn("path", F.concat("path", F.when(x.isNull(), "").when(x > m + s, "+").when(x < m - s, "-").otherwise("0"))).drop("_m", "_s")
     return out.select("vec_id", "path")
 
 
+def pca_steps(v: DataFrame, dim: int, w: int = 2, depth: int = 5, cutoff: float = 0.9999, key: str = "doc_id", pos: str = "sent_ind") -> DataFrame:
+    """(key, pos, path): vectors (key, pos, embedding) in order averaged over `w` places of their key, turned to
+    principal components of unit variance, and divided by plus_minus_split(). A window carries the place of its
+    first vector; windows cut off at the end of a key are left out, as are keys shorter than `w`."""
+    from corpusmill.operators.windows import window_sums
+
+    order = W.partitionBy(key)
+    n = v.where(F.col("embedding").isNotNull())
+    n = n.withColumn("vec_id", F.struct(key, pos)).withColumn("_left", F.count("*").over(order) - F.row_number().over(order.orderBy(pos)))
+    sums = window_sums(n, w, dim, key, pos).join(n.select(key, pos, "_left"), [key, pos]).where(F.col("_left") >= w - 1)
+    smooth = sums.select(F.struct(key, pos).alias("_at"), F.transform("fwd", lambda x: x / w).alias("embedding"))
+    smooth = written(smooth.withColumn("vec_id", F.monotonically_increasing_id()), "smooth")
+    got, k = pca_reduced(smooth, dim, cutoff)
+    spread = got.agg(*[F.stddev_pop(F.get("scores", F.lit(i))).alias(f"s{i}") for i in range(k)])
+    one = F.array(*[F.get("scores", F.lit(i)) / F.when(F.col(f"s{i}") > 0, F.col(f"s{i}")).otherwise(1.0) for i in range(k)])
+    paths = plus_minus_split(got.crossJoin(F.broadcast(spread)).select("vec_id", one.alias("scores")), depth)
+    return paths.join(smooth.select("vec_id", "_at"), "vec_id").select(F.col(f"_at.{key}"), F.col(f"_at.{pos}"), "path")
+
+
 def reduced(v: DataFrame, n_components: int, dim: int) -> DataFrame:
     """(vec_id, embedding) with `n_components` places: principal components in place of a manifold
     projection; as it is where it has no more places."""

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.functions.labels import NOUN_TAGS, SUBJECTS, VERB_TAGS
 from corpusmill.operators import graph, grouping, segments, sentence_graph, terms, vectors, wiki, windows
 from corpusmill.plans.lineage import written
 from corpusmill.providers.tokens import rule_tokens as rule_tokens_of
@@ -769,6 +770,87 @@ def sentence_starts(table):
     return sentence_graph.sentence_starts(t, ".").select("doc_id", "token_i", "sent_id")
 
 
+def _tree(table) -> DataFrame:
+    """A tree of two levels over each sentence's words: a clause, below it a phrase for each word by its class of tag,
+    with the word as its only child."""
+    w = _words(table).where("sent_id IS NOT NULL").select("doc_id", "sent_id", "word_id", "tag")
+    label = F.when(F.col("tag").isin(*NOUN_TAGS), "NP").when(F.col("tag").isin(*VERB_TAGS), "VP").when(F.col("tag") == "IN", "PP").otherwise("X")
+    kinds = F.array(F.struct((F.col("word_id") * 2 - 1).alias("node"), F.lit(0).cast("long").alias("parent"), F.col("word_id").cast("int").alias("child_pos"), label.alias("label"), F.lit(None).cast("long").alias("word")),
+                    F.struct((F.col("word_id") * 2).alias("node"), (F.col("word_id") * 2 - 1).alias("parent"), F.lit(0).alias("child_pos"), F.coalesce("tag", F.lit("")).alias("label"), F.col("word_id").alias("word")))
+    low = w.select("doc_id", "sent_id", F.explode(kinds).alias("k")).select("doc_id", "sent_id", "k.node", "k.parent", "k.child_pos", "k.label", F.col("k.word").alias("word_id"))
+    top = w.select("doc_id", "sent_id").distinct().select("doc_id", "sent_id", F.lit(0).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("child_pos"), F.lit("S").alias("label"), F.lit(None).cast("long").alias("word_id"))
+    return written(sentence_graph.numbered_tree(top.union(low)), "tree")
+
+
+_NOUNS, _VERBS = (", ".join(f"'{t}'" for t in tags) for tags in (NOUN_TAGS, VERB_TAGS))
+_SUBJ = ", ".join(f"'{t}'" for t in SUBJECTS)
+_UID = lambda no: f"sent_id || '-' || lpad(CAST({no} AS VARCHAR), 6, '0')"
+_TREE = f"""{_WORDS}, sw AS (SELECT * FROM words WHERE sent_id IS NOT NULL),
+tree AS (
+  SELECT doc_id, sent_id, {_UID("0")} AS uid, NULL AS parent_uid, 'S' AS label, 0 AS level, NULL AS word_id FROM sw GROUP BY doc_id, sent_id
+  UNION ALL SELECT doc_id, sent_id, {_UID("2 * word_id - 1")}, {_UID("0")}, CASE WHEN tag IN ({_NOUNS}) THEN 'NP' WHEN tag IN ({_VERBS}) THEN 'VP' WHEN tag = 'IN' THEN 'PP' ELSE 'X' END, 1, NULL FROM sw
+  UNION ALL SELECT doc_id, sent_id, {_UID("2 * word_id")}, {_UID("2 * word_id - 1")}, coalesce(tag, ''), 2, word_id FROM sw),
+cover AS (
+  SELECT doc_id, sent_id, {_UID("0")} AS uid, word_id, head_id, dep, text FROM sw
+  UNION ALL SELECT doc_id, sent_id, {_UID("2 * word_id - 1")}, word_id, head_id, dep, text FROM sw
+  UNION ALL SELECT doc_id, sent_id, {_UID("2 * word_id")}, word_id, head_id, dep, text FROM sw),
+open_ AS (SELECT DISTINCT c.doc_id, c.sent_id, c.uid, c.head_id, c.dep FROM cover c WHERE NOT EXISTS (SELECT 1 FROM cover d WHERE d.doc_id = c.doc_id AND d.sent_id = c.sent_id AND d.uid = c.uid AND d.word_id = c.head_id))"""
+
+
+@query(f"WITH {_TREE} SELECT doc_id, sent_id, uid, parent_uid, label, level, word_id, {_UID('0')} AS subsentence_uid FROM tree")
+def numbered_tree(table):
+    return _tree(table).drop("child_pos", "size")
+
+
+@query(f"WITH {_TREE} SELECT doc_id, sent_id, uid, word_id FROM cover")
+def covered_words(table):
+    return sentence_graph.covered_words(_tree(table))
+
+
+@query(f"WITH {_TREE} SELECT doc_id, sent_id, uid, string_agg(text, ' ' ORDER BY word_id) AS text FROM cover WHERE text IS NOT NULL GROUP BY doc_id, sent_id, uid")
+def tree_text(table):
+    return sentence_graph.tree_text(_tree(table), _words(table).where("text IS NOT NULL"))
+
+
+@query(f"WITH {_TREE} SELECT * FROM open_")
+def unresolved_heads(table):
+    return sentence_graph.unresolved_heads(_tree(table), _words(table))
+
+
+@query(f"WITH {_TREE} SELECT doc_id, sent_id, head_id, dep, min(uid) AS uid FROM open_ GROUP BY doc_id, sent_id, head_id, dep")
+def highest_nodes(table):
+    return sentence_graph.highest_nodes(sentence_graph.unresolved_heads(_tree(table), _words(table)))
+
+
+@query(f"""WITH {_TREE} SELECT t.doc_id, t.sent_id, t.uid, t.level, t.label, t.word_id, CASE WHEN t.word_id IS NULL THEN t.label
+ELSE w.text || ' (' || coalesce(w.tag, '') || '/' || coalesce(w.dep, '') || ')' || CASE WHEN w.lemma IS NOT NULL AND lower(w.lemma) <> lower(w.text) THEN chr(10) || w.lemma ELSE '' END END AS node_label
+FROM tree t LEFT JOIN sw w ON t.doc_id = w.doc_id AND t.sent_id = w.sent_id AND t.word_id = w.word_id""")
+def word_nodes(table):
+    return sentence_graph.word_nodes(_tree(table), _words(table))
+
+
+_NOUNISH = f"(tag IN ('WHNP', 'WP', 'NP', {_NOUNS}, 'PRP') OR coalesce(dep, '') IN ('nsubj', 'nsubj:pass'))"
+_VERBISH = f"(tag IN ('VP', {_VERBS}) AND tag <> 'MD' AND coalesce(dep, '') <> 'amod')"
+_ADJISH = "(tag IN ('ADJP', 'JJ', 'JJR', 'JJS') OR coalesce(dep, '') = 'amod')"
+
+
+@query(f"""WITH {_TREE}, r AS (SELECT doc_id, sent_id, {_UID('2 * word_id')} AS uid, CASE WHEN head_id = 0 AND {_NOUNISH} THEN 'main_noun' WHEN head_id = 0 AND {_VERBISH} THEN 'main_verb' WHEN head_id = 0 AND {_ADJISH} THEN 'main_adjective'
+WHEN head_id = 0 THEN 'root' WHEN dep IN ({_SUBJ}) THEN 'subject' WHEN {_NOUNISH} THEN 'noun' WHEN {_VERBISH} THEN 'verb' WHEN {_ADJISH} THEN 'adjective' END AS role FROM sw) SELECT * FROM r WHERE role IS NOT NULL""")
+def node_roles(table):
+    return sentence_graph.node_roles(_tree(table), _words(table))
+
+
+@query(f"WITH {_TREE} SELECT doc_id, sent_id, parent_uid AS src, uid AS dst, 'parent' AS kind FROM tree WHERE parent_uid IS NOT NULL")
+def tree_edges(table):
+    return sentence_graph.tree_edges(_tree(table))
+
+
+@query(f"""WITH {_WORDS} SELECT s.doc_id, s.sent_id, s.word_id AS src, s.head_id AS dst, 'COPULA relationship' AS kind FROM words s JOIN words c
+ON s.doc_id = c.doc_id AND s.sent_id = c.sent_id AND s.head_id = c.head_id AND c.dep = 'cop' WHERE s.dep IN ('nsubj', 'csubj')""")
+def copula_edges(table):
+    return sentence_graph.copula_edges(_words(table))
+
+
 @query()
 def retokenize(table):
     return sentence_graph.retokenized(table("idx_doc_token_info_recs"))
@@ -781,7 +863,7 @@ def relative_resolutions(table):
 
 @query()
 def sentence_graph_dot(table):
-    return sentence_graph.dot_text(*sentence_graph.sentence_graph(written(_words(table), "words")))
+    return sentence_graph.dot_text(*sentence_graph.sentence_graph(written(_words(table), "words"), _tree(table)))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT node_id AS a, parent_node_id AS b FROM segments WHERE node_id IS NOT NULL AND parent_node_id IS NOT NULL),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.plans.lineage import written
+
 
 def hot_keys(counts: DataFrame, key: str, rows: str, share: float = 0.005) -> list:
     """Keys of more than `share` of all rows. At most 1 / share keys can be, so the list is bounded."""
@@ -23,3 +25,9 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, hot: list, salts: in
     b = big.withColumn("_salt", F.when(F.col(key).isin(hot), spread).otherwise(F.lit(0)))
     s = small.withColumn("_salt", F.explode(F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return b.join(s, [key, "_salt"], how).drop("_salt")
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """salted_join() with the hot keys counted in `big` itself, by partial aggregates."""
+    counts = written(big.groupBy(key).agg(F.count("*").alias("_rows")), "keys")
+    return salted_join(big, small, key, hot_keys(counts, key, "_rows"), how=how)

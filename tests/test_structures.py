@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import graph, segments, sentence_graph, vectors, wiki, windows
@@ -136,8 +137,9 @@ def test_sentence_graph(spark):
 
 def test_constituency_tree(spark):
     nodes = [(1, 0, None, 0, "ROOT", None), (1, 1, 0, 0, "S", None), (1, 2, 1, 0, "NP", None), (1, 3, 2, 0, "NN", 1), (1, 4, 1, 1, "VP", None), (1, 5, 4, 0, "VBZ", 2), (1, 6, 1, 2, ".", 3)]
-    tree = written(sentence_graph.numbered_tree(spark.createDataFrame(nodes, "sent_id int, node int, parent int, child_pos int, label string, word_id int")), "tree")
-    w = spark.createDataFrame([(1, 1, 2, "Man", "man", "NN", "nsubj"), (1, 2, 0, "runs", "run", "VBZ", "ROOT"), (1, 3, 2, ".", ".", ".", "punct")], "sent_id int, word_id long, head_id long, text string, lemma string, tag string, dep string")
+    tree = written(sentence_graph.numbered_tree(spark.createDataFrame([(7, *n) for n in nodes], "doc_id long, sent_id int, node int, parent int, child_pos int, label string, word_id int")), "tree")
+    rows = [(1, 1, 2, "Man", "man", "NN", "nsubj"), (1, 2, 0, "runs", "run", "VBZ", "ROOT"), (1, 3, 2, ".", ".", ".", "punct")]
+    w = spark.createDataFrame([(7, *r) for r in rows], "doc_id long, sent_id int, word_id long, head_id long, text string, lemma string, tag string, dep string")
     assert {r.text for r in sentence_graph.tree_text(tree, w).collect()} == {"Man runs .", "Man", "runs", "."}
     u = sentence_graph.unresolved_heads(tree, w)
     assert u.where("head_id = 0").count() == 4
@@ -145,9 +147,81 @@ def test_constituency_tree(spark):
     assert {r.role for r in sentence_graph.node_roles(tree, w).collect()} == {"subject", "main_verb"}
     assert sentence_graph.invalid_trees(tree).count() == 0
     assert sentence_graph.without_punctuation(tree, w).count() == 6
+    assert {r.text for r in sentence_graph.tree_text(sentence_graph.without_punctuation(tree, w), w).collect()} == {"Man runs", "Man", "runs"}
     assert "runs (VBZ/ROOT)\nrun" in {r.node_label for r in sentence_graph.word_nodes(tree, w).collect()}
 
 
+def test_trees_of_several_documents(spark):
+    """Sentences are numbered within their document: words and trees of documents don't mix."""
+    kind = "doc_id long, sent_id int, word_id long, head_id long, text string, lemma string, tag string, dep string"
+    w = spark.createDataFrame([(1, 1, 1, 0, "red", "red", "JJ", "ROOT"), (2, 1, 1, 0, "blue", "blue", "NN", "ROOT"), (2, 1, 2, 1, ".", ".", ".", "punct")], kind)
+    nodes = [(d, 1, 0, None, 0, "S", None) for d in (1, 2)] + [(d, 1, 1, 0, 0, t, 1) for d, t in ((1, "JJ"), (2, "NN"))] + [(2, 1, 2, 0, 1, ".", 2)]
+    tree = written(sentence_graph.numbered_tree(spark.createDataFrame(nodes, "doc_id long, sent_id int, node int, parent int, child_pos int, label string, word_id int")), "tree")
+    got = {(r.doc_id, r.uid): r.text for r in sentence_graph.tree_text(tree, w).collect()}
+    assert got == {(1, "1-000000"): "red", (1, "1-000001"): "red", (2, "1-000000"): "blue .", (2, "1-000001"): "blue", (2, "1-000002"): "."}
+    assert {(r.doc_id, r.role) for r in sentence_graph.node_roles(tree, w).collect()} == {(1, "main_adjective"), (2, "main_noun")}
+    assert sentence_graph.tree_edges(tree).count() == 3 and sentence_graph.invalid_trees(tree).count() == 0
+    assert sentence_graph.without_punctuation(tree, w).groupBy("doc_id").count().orderBy("doc_id").collect() == [(1, 2), (2, 2)]
+    n, e = sentence_graph.sentence_graph(w.withColumn("token_i", F.col("word_id").cast("int")), tree)
+    assert e.where("extra = 'constituency'").count() == 3 and e.where("extra = 'dependency'").count() == 1
+
+
+def sentence(rows):
+    return {i + 1: {"head": h, "token_i": i, "text": t, "lemma": t, "tag": g, "dep": d} for i, (t, g, d, h) in enumerate(rows)}
+
+
+def test_copulas_and_adverbs():
+    w = sentence([("He", "PRP", "nsubj", 3), ("is", "VBZ", "cop", 3), ("tired", "JJ", "ROOT", 0), ("very", "RB", "advmod", 3)])
+    sentence_graph._copulas(w)
+    assert [(x["head"], x["dep"]) for x in w.values()] == [(2, "nsubj"), (0, "ROOT"), (2, "cop"), (3, "advmod")]
+    w = sentence([("he", "PRP", "nsubj", 3), ("was", "VBD", "cop", 3), ("what", "WP", "nsubj", 6), ("is", "VBZ", "cop", 6), ("so", "RB", "advmod", 6), ("good", "JJ", "ROOT", 0)])
+    sentence_graph._copulas(w)
+    assert [(x["head"], x["dep"]) for x in w.values()] == [(2, "nsubj"), (4, "nsubj"), (2, "cop"), (0, "ROOT"), (6, "advmod"), (4, "cop")]
+    texts = lambda w: [w[i]["text"] for i in sorted(w)]
+    w = sentence([("we", "PRP", "nsubj", 4), ("will", "MD", "aux", 4), ("now", "RB", "advmod", 4), ("show", "VB", "ROOT", 0), ("soon", "RB", "advmod", 6), ("go", "VB", "dep", 4), ("well", "RB", "advmod", 6)])
+    sentence_graph._adverbs_out(w)
+    assert texts(w) == ["we", "now", "soon", "will", "show", "go", "well"]
+    assert [w[i]["head"] for i in sorted(w)] == [5, 5, 6, 5, 0, 5, 6]
+    # two adverbs, a modifier and a particle that isn't an adverb stay
+    for rows in ([("a", "VB", "x", 0), ("b", "RB", "x", 1), ("c", "RB", "x", 1), ("d", "VB", "x", 1)], [("a", "VB", "x", 0), ("b", "RB", "x", 1), ("d", "VBN", "amod", 1)], [("a", "VB", "x", 0), ("b", "RP", "x", 1), ("d", "VB", "x", 1)]):
+        w = sentence(rows)
+        sentence_graph._adverbs_out(w)
+        assert texts(w) == [r[0] for r in rows]
+
+
+def test_folder_of_a_cluster_must_be_named(spark):
+    from types import SimpleNamespace as S
+
+    from corpusmill.plans import lineage
+
+    conf = S(get=lambda *a: None)
+    cluster = S(conf=conf, sparkContext=S(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        lineage.shared_folder(cluster)
+    kept = written(spark.range(3), "gone")
+    assert kept.count() == 3
+    lineage.forget(spark)
+    assert written(spark.range(3), "new").count() == 3
+
+
+def test_split_by_components(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (80, 4)) * [5, 2, 1, 0.5]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, scores array<double>")
+    got = {r.vec_id: r.path for r in vectors.plus_minus_split(v, 2).collect()}
+    want = {}
+    sign = lambda y: ["+" if a > y.mean() + y.std() else "-" if a < y.mean() - y.std() else "0" for a in y]
+    first = np.array(sign(x[:, 0]))
+    for p in "+-0":
+        at = np.flatnonzero(first == p)
+        want |= {int(i): p + s for i, s in zip(at, sign(x[at, 1]))}
+    assert got == want
+    s = spark.createDataFrame([(d, i, rng.normal(0, 1, 4).tolist()) for d in range(3) for i in range(d * 10 + 1)], "doc_id long, sent_ind int, embedding array<double>")
+    steps = vectors.pca_steps(s, 4, 2, 3)
+    assert steps.groupBy("doc_id").count().orderBy("doc_id").collect() == [(1, 10), (2, 20)]
+    assert all(set(r.path) <= set("+-0") and len(r.path) == 3 for r in steps.collect())
+
+
 def test_ward_and_pca(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 0.05, (20, 4)) for c in ([1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0])])
