@@ -1,8 +1,10 @@
 """Text of scanned pages made readable: page furniture, broken words, misread characters, paragraphs.
 
 Words that aren't in the vocabulary of the corpus are looked up in it with Levenshtein automata over a
-trie, which gives all words within two edits; these are ranked by how scanners misread characters and by
-their frequency. The words next to them aren't read (see README). Page furniture is then removed and lines are reflowed.
+trie, which gives all words within two edits; these are ranked by how scanners misread characters, by
+their frequency, and by how often the words next to them stand beside them in the corpus. A word of the
+corpus may be a misreading too, if it never stands in such a place and another word often does. Page
+furniture is then removed and lines are reflowed.
 """
 
 from __future__ import annotations
@@ -26,8 +28,13 @@ from corpusmill.plans.lineage import written
 #: A word belongs to the vocabulary if it is in at least this share of the documents, and in LEAST_DOCS.
 #: With at most D distinct words a document on average, it has at most D / VOCABULARY_SHARE words.
 VOCABULARY_SHARE, LEAST_DOCS = 1e-4, 3
+#: Words and pairs of words at most, which bounds the broadcast (about 100 MB).
+MOST_WORDS = 2_000_000
 #: How many times more documents the word meant must be in than the misreading.
 TIMES = 8
+#: Weight of the context in the ranking, and documents a neighbour must be met in beside the word meant for a word of
+#: the corpus that isn't TIMES rarer.
+CONTEXT, LEAST_PAIR = 0.25, 3
 #: Letters from which a capitalised word that recurs in its document, but isn't the corpus's, may be a misreading.
 LEAST_NAME = 8
 
@@ -234,12 +241,13 @@ def furniture(lines: list[str], title: str | None = None) -> list[bool]:
 class Reader:
     """Repairs texts with a vocabulary of (word, documents); keeps what it has looked up."""
 
-    def __init__(self, vocabulary: dict[str, int], documents: int):
-        self.df, self.docs = vocabulary, documents
+    def __init__(self, vocabulary: dict[str, int], documents: int, pairs: dict[str, int] | None = None):
+        self.df, self.docs, self.pairs = vocabulary, documents, pairs or {}
         self.floor = max(LEAST_DOCS, VOCABULARY_SHARE * documents)
         plain = [w for w in vocabulary if regex.fullmatch(r"[\p{L}\p{M}]{2,60}", w)]
         self.trie = Trie(plain)
-        self.known: dict[str, list[str]] = {}
+        self.known: dict[str, list[tuple[float, str]]] = {}
+        self.rivals: dict[str, list[str]] = {}
         self.fine: set[str] = set()
         self.okay: set[str] = set()
         self.seen: set[str] = set()
@@ -250,21 +258,26 @@ class Reader:
 
     def candidates(self, words: set[str]) -> None:
         """Looks up all words within two edits of each of `words`, keeps those of which it may be a misreading,
-        and ranks them by misreadings, then by documents. Words of the corpus without any are `fine`."""
+        and ranks them by misreadings, then by documents; `rivals` of a word of the corpus are those one misreading
+        away that aren't that much more common. Words of the corpus without any are `fine`."""
         if len(self.known) > 300_000:
-            self.known, self.fine, self.okay, self.seen = {}, set(), set(), set()
+            self.known, self.rivals, self.fine, self.okay, self.seen = {}, {}, set(), set(), set()
         new = [w for w in words if w not in self.known]
         for w, near in zip(new, self.trie.within(new, 2)):
             own = self.df.get(w, 0)
             least = TIMES * (own or self.floor / 3)
-            odd, rank = not w.isalpha(), []
+            odd, rank, rivals = not w.isalpha(), [], []
             for v, _ in near:
                 if v != w and self.df[v] >= least:
                     c = misread_cost(w, v)
                     if c == 1 or c == 2 and (odd or len(v) >= 5):
                         rank.append((c - 0.35 * math.log10(self.df[v]), v))
-            self.known[w] = [v for _, v in sorted(rank)[:4]]
-            if not rank and own >= self.floor:
+                elif v != w and own and self.df[v] > self.floor and misread_cost(w, v, 1) == 1:
+                    rivals.append(v)
+            self.known[w] = sorted(rank)[:8]
+            if rivals and self.pairs:
+                self.rivals[w] = rivals
+            elif not rank and own >= self.floor:
                 self.fine.add(w)
 
     def learn(self, page: Page) -> None:
@@ -279,19 +292,32 @@ class Reader:
                 self.seen.add(t)
 
     @staticmethod
-    def _open(seen: str, near: list[str]) -> bool:
+    def _open(seen: str, near: list[tuple[float, str]]) -> bool:
         """Whether several words explain `seen` with as few misreadings."""
-        cost = [misread_cost(seen, v) for v in near]
+        cost = [misread_cost(seen, v) for _, v in near]
         return cost.count(min(cost)) > 1
 
-    def meant(self, part: str, seen: str, times: int, names: list[str]) -> str | None:
-        """The word that `seen` (folded) was misread from, or None if it stands. A capitalised word that recurs in
-        its document is a name if it is short or several words may be meant alike; one that doesn't recur may be
-        a misreading of such a name."""
+    def beside(self, left: str, word: str, right: str) -> int:
+        """Documents of the corpus in which `word` stands after `left` or before `right`, added up."""
+        return (self.pairs.get(f"{left} {word}", 0) if left else 0) + (self.pairs.get(f"{word} {right}", 0) if right else 0)
+
+    def meant(self, part: str, seen: str, times: int, names: list[str], left: str = "", right: str = "") -> str | None:
+        """The word that `seen` (folded) was misread from, or None if it stands. Candidates are ranked with the words
+        `left` and `right` of it; a word of the corpus stands if it is met beside them at least as often as the
+        best. A capitalised word that recurs in its document is a name if it is short or several words may be
+        meant alike; one that doesn't recur may be a misreading of such a name."""
         near, own = self.known.get(seen, ()), self.df.get(seen, 0)
         name = part[:1].isupper() and seen.isalpha() and own < self.floor
         if near and not (name and times > 1 and (len(seen) < LEAST_NAME or self._open(seen, near))):
-            return near[0]
+            if len(near) == 1 and own < self.floor:
+                return near[0][1]
+            met = {v: self.beside(left, v, right) for _, v in near}
+            best = min(near, key=lambda x: x[0] - CONTEXT * math.log2(1 + met[x[1]]))[1]
+            return None if own >= self.floor and self.beside(left, seen, right) > met[best] else best
+        if seen in self.rivals and not part[:1].isupper() and self.beside(left, seen, right) == 0:  # names have no fixed place
+            met = {v: self.beside(left, v, right) for v in self.rivals[seen]}
+            best = max(met, key=lambda v: (met[v], v))
+            return best if met[best] >= max(LEAST_PAIR, 2 * self.floor) else None
         if times == 1 and own < self.floor and len(seen) >= 4:
             return next((v for v in names if abs(len(v) - len(seen)) <= 2 and v != seen and misread_cost(seen, v, 1) == 1), None)
         return None
@@ -431,7 +457,8 @@ def repair(reader: Reader, texts: list[str | None], titles: list[str | None]) ->
                     continue
                 if len(w) > 2 and not w.isalpha() and sum(c.isdigit() for c in w) * 2 > len(w):
                     continue
-                if v := reader.meant(part, w, p.local[w], p.names):
+                f = p.folded[i]
+                if v := reader.meant(part, w, p.local[w], p.names, f[j - 1] if j else "", f[j + 1] if j + 1 < len(f) else ""):
                     wrong.setdefault(i, []).append((s, e, v))
         # a broken word is judged as a whole; a misreading counts on the line that holds it
         for i, k, a, b in p.join:
@@ -504,40 +531,49 @@ def _words_of(token: str) -> tuple[str, ...]:
 def _counts(batches):
     df: Counter = Counter()
     words: dict[str, tuple[str, ...]] = {}
+    only: dict[str, str] = {}
     for b in batches:
         for t in b.column("text").to_pylist():
             if any(x in t for x in _BREAKS):
                 t = _BROKEN.sub(" ", t)
-            tokens = set(t.split())
+            row = t.split()
+            tokens = set(row)
             for new in tokens.difference(words):
-                words[new] = _words_of(new)
+                words[new] = w = _words_of(new)
+                only[new] = w[0] if len(w) == 1 else ""
             df.update({w for x in tokens for w in words[x]})
+            row = [only[x] for x in row]
+            df.update([f"{x} {y}" for x, y in set(zip(row, row[1:])) if x and y])
             df[""] += 1
         if len(df) > COUNTED_WORDS or len(words) > COUNTED_WORDS:
             yield pa.RecordBatch.from_pydict({"w": list(df), "n": list(df.values())})
-            df, words = Counter(), {}
+            df, words, only = Counter(), {}, {}
     if df:
         yield pa.RecordBatch.from_pydict({"w": list(df), "n": list(df.values())})
 
 
-def vocabulary(docs: DataFrame) -> tuple[dict[str, int], int]:
-    """Words, and words joined by hyphens, with the number of documents they are in; and the documents.
+def vocabulary(docs: DataFrame) -> tuple[dict[str, int], int, dict[str, int]]:
+    """Words, and words joined by hyphens, with the number of documents they are in; the documents; and pairs of
+    words next to each other ("a b") with the documents of these.
 
-    All documents are counted, each task adding up its own before the shuffle; only words in a set share of
-    them reach the driver, which bounds their number (see VOCABULARY_SHARE). Words broken at a line's
-    end aren't counted."""
+    All documents are counted, each task adding up its own before the shuffle; only words and pairs in a set
+    share of them reach the driver, which bounds their number (see VOCABULARY_SHARE); it is checked against
+    MOST_WORDS before they are fetched. Words broken at a line's end aren't counted."""
     text = docs.where(F.col("text").isNotNull()).select("text")
     count = written(text.mapInArrow(_counts, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
     n = (count.where("w = ''").first() or (None, 0))[1]
-    kept = count.where((F.col("w") != "") & (F.length("w") <= 60) & (F.col("n") >= max(LEAST_DOCS, VOCABULARY_SHARE * n))).toArrow()
-    return dict(zip(kept.column("w").to_pylist(), kept.column("n").to_pylist())), n
+    kept = count.where((F.col("w") != "") & (F.length("w") <= 121) & (F.col("n") >= max(LEAST_DOCS, VOCABULARY_SHARE * n)))
+    if (size := kept.count()) > MOST_WORDS:
+        raise ValueError(f"{size} words and pairs are in a share of {VOCABULARY_SHARE} of the documents; raise VOCABULARY_SHARE")
+    kept = kept.toArrow()
+    every = dict(zip(kept.column("w").to_pylist(), kept.column("n").to_pylist()))
+    return {w: k for w, k in every.items() if " " not in w}, n, {w: k for w, k in every.items() if " " in w}
 
 
 def _runner(docs: DataFrame, schema: pa.Schema, ddl: str, rows_of, only=None):
     """`rows_of` each repaired text, of the rows for which `only` holds; the vocabulary is of all."""
-    words, n = vocabulary(docs)
     sc = docs.sparkSession.sparkContext
-    box, name = sc.broadcast((words, n)), uuid.uuid4().hex
+    box, name = sc.broadcast(vocabulary(docs)), uuid.uuid4().hex
 
     def run(batches):
         reader = _reader(box, name)

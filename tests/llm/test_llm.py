@@ -485,3 +485,28 @@ def test_total_brings_sources_nearest(spark):
     assert best[0].distance < 0.06 and best[0].distance < min(far)
     assert math.isclose(best[0].distance, sum(abs(r.actual_share - r.target_share) for r in best) / 2, abs_tol=1e-4)
     assert all(r.copies <= r.docs * r.max_repeats for r in best)
+
+
+def test_candidates_are_ranked_with_their_neighbours():
+    pairs = {"they eat": 60, "eat bread": 50, "the cat": 80, "cat sleeps": 40, "modern age": 30, "a modem": 30}
+    r = scans.Reader({"cat": 600, "eat": 700, "they": 3000, "the": 5000, "modern": 400, "modem": 400}, 10_000, pairs)
+    r.candidates({"cat", "eat", "rnodern", "rnodem", "modem", "modern", "modcrn", "modein"})
+    # a word of the corpus in a place where only another stands; and in its own
+    assert r.meant("cat", "cat", 1, [], "they", "bread") == "eat"
+    assert r.meant("cat", "cat", 1, [], "the", "sleeps") is None and r.meant("cat", "cat", 1, [], "", "") is None
+    assert r.meant("modem", "modem", 1, [], "", "age") == "modern" and r.meant("modem", "modem", 1, [], "a", "age") is None
+    # two candidates alike by misreadings and documents
+    x = scans.Reader({"hand": 500, "band": 500, "rock": 900, "left": 900}, 10_000, {"rock band": 40, "left hand": 40})
+    x.df["li"] = 0
+    x.candidates({"6and", "liand"})
+    y = {w: [v for _, v in x.known[w]] for w in ("6and", "liand")}
+    assert "hand" in y["liand"] and "band" in y["6and"]
+    without = scans.Reader({"cat": 600, "eat": 700}, 10_000)
+    without.candidates({"cat"})
+    assert without.meant("cat", "cat", 1, [], "they", "bread") is None
+
+
+def test_vocabulary_counts_pairs(spark):
+    d = spark.createDataFrame([(i, "the red dog, the red\ndog runs", None, "k") for i in range(5)] + [(9, None, None, "k")], "doc_id long, text string, title string, kind string")
+    words, n, pairs = scans.vocabulary(d)
+    assert n == 5 and words == {"the": 5, "red": 5, "dog": 5, "runs": 5} and pairs == {"the red": 5, "red dog": 5, "dog the": 5, "dog runs": 5}
