@@ -16,6 +16,7 @@ import uuid
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -529,9 +530,21 @@ def _words_of(token: str) -> tuple[str, ...]:
 
 
 def _counts(batches):
+    """Words and pairs of a task with the documents they are in. A word has a number in the task, 0 for what isn't one
+    word; pairs are counted as numbers, each document's once."""
     df: Counter = Counter()
     words: dict[str, tuple[str, ...]] = {}
-    only: dict[str, str] = {}
+    number: dict[str, int] = {}
+    names: dict[str, int] = {"": 0}
+    pairs: list[np.ndarray] = []
+    held = 0
+
+    def handed():
+        code, n = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        name = list(names)
+        both = [f"{name[x]} {name[y]}" for x, y in zip((code >> 32).tolist(), (code & 0xFFFFFFFF).tolist())]
+        return pa.RecordBatch.from_pydict({"w": [*df, *both], "n": [*df.values(), *n.tolist()]})
+
     for b in batches:
         for t in b.column("text").to_pylist():
             if any(x in t for x in _BREAKS):
@@ -540,16 +553,18 @@ def _counts(batches):
             tokens = set(row)
             for new in tokens.difference(words):
                 words[new] = w = _words_of(new)
-                only[new] = w[0] if len(w) == 1 else ""
+                number[new] = names.setdefault(w[0], len(names)) if len(w) == 1 else 0
             df.update({w for x in tokens for w in words[x]})
-            row = [only[x] for x in row]
-            df.update([f"{x} {y}" for x, y in set(zip(row, row[1:])) if x and y])
+            at = np.fromiter(map(number.__getitem__, row), np.int64, len(row))
+            at = np.unique((at[:-1] << 32 | at[1:])[(at[:-1] > 0) & (at[1:] > 0)])
+            pairs.append(at)
+            held += len(at)
             df[""] += 1
-        if len(df) > COUNTED_WORDS or len(words) > COUNTED_WORDS:
-            yield pa.RecordBatch.from_pydict({"w": list(df), "n": list(df.values())})
-            df, words, only = Counter(), {}, {}
+        if len(df) > COUNTED_WORDS or len(words) > COUNTED_WORDS or held > 8 * COUNTED_WORDS:
+            yield handed()
+            df, words, number, names, pairs, held = Counter(), {}, {}, {"": 0}, [], 0
     if df:
-        yield pa.RecordBatch.from_pydict({"w": list(df), "n": list(df.values())})
+        yield handed()
 
 
 def vocabulary(docs: DataFrame) -> tuple[dict[str, int], int, dict[str, int]]:
