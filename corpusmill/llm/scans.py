@@ -250,8 +250,11 @@ class Reader:
         self.known: dict[str, list[tuple[float, str]]] = {}
         self.rivals: dict[str, list[str]] = {}
         self.fine: set[str] = set()
+        # tokens that stand in any place, or (risky) beside neighbours with which they are settled
         self.okay: set[str] = set()
-        self.seen: set[str] = set()
+        self.risky: set[str] = set()
+        self.settled: set[tuple[str, str]] = set()
+        self.seen: set = set()
 
     def common(self, word: str) -> bool:
         """Whether a word is in too many documents for any other to be TIMES as common."""
@@ -260,9 +263,9 @@ class Reader:
     def candidates(self, words: set[str]) -> None:
         """Looks up all words within two edits of each of `words`, keeps those of which it may be a misreading,
         and ranks them by misreadings, then by documents; `rivals` of a word of the corpus are those one misreading
-        away that aren't that much more common. Words of the corpus without any are `fine`."""
+        away that aren't that much more common. Words of the corpus without other candidates are `fine`."""
         if len(self.known) > 300_000:
-            self.known, self.rivals, self.fine, self.okay, self.seen = {}, {}, set(), set(), set()
+            self.known, self.rivals, self.fine, self.okay, self.risky, self.settled, self.seen = {}, {}, set(), set(), set(), set(), set()
         new = [w for w in words if w not in self.known]
         for w, near in zip(new, self.trie.within(new, 2)):
             own = self.df.get(w, 0)
@@ -278,19 +281,41 @@ class Reader:
             self.known[w] = sorted(rank)[:8]
             if rivals and self.pairs:
                 self.rivals[w] = rivals
-            elif not rank and own >= self.floor:
+            if not rank and own >= self.floor:
                 self.fine.add(w)
 
+    def stands(self, word: str) -> bool:
+        """Whether no neighbour could make a word a misreading."""
+        return len(word) < 2 or self.common(word) or word in self.fine and word not in self.rivals
+
+    def skips(self, tokens: list[str]) -> bool:
+        """Whether a line of these tokens needs no look: all are okay, and those with rivals beside known neighbours."""
+        return self.okay.issuperset(tokens) and (self.risky.isdisjoint(tokens) or self.settled.issuperset(zip(tokens, tokens[1:])))
+
     def learn(self, page: Page) -> None:
-        """Tokens of the page all of whose words are fine need no second look."""
-        if len(self.okay) > 300_000:
-            self.okay, self.seen = set(), set()
-        tokens = {t for i in page.parts for t in page.lines[i].split()} - self.okay - self.seen
-        for t in tokens:
-            if t[-1] not in _MARKS and all(len(w) < 2 or w in self.fine or self.common(w) for w in (fold(x[2]) for x in _parts(t))):
+        """Tokens of the page all of whose words are fine need no second look, and pairs of tokens in which each
+        word with rivals is met in the corpus beside the other."""
+        if len(self.okay) + len(self.settled) > 600_000:
+            self.okay, self.risky, self.settled, self.seen = set(), set(), set(), set()
+        rows = [page.lines[i].split() for i in page.parts]
+        for t in {t for r in rows for t in r} - self.okay - self.seen:
+            words = [fold(x[2]) for x in _parts(t)]
+            if t[-1] not in _MARKS and all(map(self.stands, words)):
+                self.okay.add(t)
+            elif t[-1] not in _MARKS and len(words) == 1 and words[0] in self.fine:
                 self.okay.add(t)
+                self.risky.add(t)
             else:
                 self.seen.add(t)
+        for a, b in {p for r in rows for p in zip(r, r[1:])} - self.settled - self.seen:
+            if self.risky.isdisjoint((a, b)):
+                self.settled.add((a, b))
+                continue
+            x, y = _parts(a), _parts(b)
+            if x and y and self.pairs.get(f"{fold(x[-1][2])} {fold(y[0][2])}", 0):
+                self.settled.add((a, b))
+            else:
+                self.seen.add((a, b))
 
     @staticmethod
     def _open(seen: str, near: list[tuple[float, str]]) -> bool:
@@ -399,7 +424,7 @@ def _doubtful(reader: Reader, page: Page) -> None:
     for i, k in breaks:
         beside |= {i, k}
     for i, x in enumerate(p.lines):
-        if not p.drop[i] and (i in beside or not reader.okay.issuperset(x.split())):
+        if not p.drop[i] and (i in beside or not reader.skips(x.split())):
             p.parts[i] = _parts(x)
             p.folded[i] = [y[2].lower() if y[2].isascii() else fold(y[2]) for y in p.parts[i]]
     p.local = Counter(w for f in p.folded.values() for w in f)
@@ -454,7 +479,7 @@ def repair(reader: Reader, texts: list[str | None], titles: list[str | None]) ->
         wrong: dict[int, list] = {}
         for i, parts in p.parts.items():
             for j, ((s, e, part), w) in enumerate(zip(parts, p.folded[i])):
-                if w in reader.fine or len(w) < 2 or reader.common(w) or (i, j) in p.edge and w.isalpha():
+                if w in reader.fine and w not in reader.rivals or len(w) < 2 or reader.common(w) or (i, j) in p.edge and w.isalpha():
                     continue
                 if len(w) > 2 and not w.isalpha() and sum(c.isdigit() for c in w) * 2 > len(w):
                     continue
