@@ -541,7 +541,8 @@ def reflowed(page: Page, hyphen: list[int], wrong: dict[int, list[tuple[int, int
     return "\n\n".join(out + [now] if now else out)
 
 
-_BROKEN = re.compile(r"[\w-]+[-¬=‐\xad][ \t\f]*\r?\n\s*\w+")
+_BREAK = re.compile(r"(?<=[\w-])[-¬=‐\xad][ \t\f]*\r?\n\s*\w+")
+_TAIL = re.compile(r"[\w-]*$")
 _BREAKS = [m + e for m in "-¬=‐\xad" for e in ("\n", "\r", " \n")]
 _WORDS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 #: Words a task counts before it hands them on.
@@ -554,41 +555,57 @@ def _words_of(token: str) -> tuple[str, ...]:
     return tuple({*out, *(x for w in out if "-" in w for x in w.split("-"))})
 
 
+def _unbroken(text: str) -> str:
+    """The text without words broken at a line's end, found from their marks."""
+    if not any(x in text for x in _BREAKS):
+        return text
+    parts = _BREAK.split(text)
+    for i in range(len(parts) - 1):
+        x = parts[i]
+        tail = _TAIL.search(x, max(0, len(x) - 80))
+        parts[i] = x[: tail.start()]
+    return " ".join(parts)
+
+
 def _counts(batches):
-    """Words and pairs of a task with the documents they are in. A word has a number in the task, 0 for what isn't one
-    word; pairs are counted as numbers, each document's once."""
-    df: Counter = Counter()
-    words: dict[str, tuple[str, ...]] = {}
+    """Words and pairs of a task with the documents they are in. A word has a number in the task; what isn't one word
+    has 0 as a neighbour. Words and pairs are counted as numbers, each document's once."""
+    words: dict[str, tuple[int, ...]] = {}
     number: dict[str, int] = {}
     names: dict[str, int] = {"": 0}
+    single: list[np.ndarray] = []
     pairs: list[np.ndarray] = []
-    held = 0
+    held = docs = 0
 
     def handed():
-        code, n = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         name = list(names)
+        code, n = np.unique(np.concatenate(pairs), return_counts=True)
         both = [f"{name[x]} {name[y]}" for x, y in zip((code >> 32).tolist(), (code & 0xFFFFFFFF).tolist())]
-        return pa.RecordBatch.from_pydict({"w": [*df, *both], "n": [*df.values(), *n.tolist()]})
+        count = np.bincount(np.concatenate(single), minlength=len(name))
+        count[0] = docs
+        return pa.RecordBatch.from_pydict({"w": [*name, *both], "n": [*count.tolist(), *n.tolist()]})
 
     for b in batches:
         for t in b.column("text").to_pylist():
-            if any(x in t for x in _BREAKS):
-                t = _BROKEN.sub(" ", t)
-            row = t.split()
+            row = _unbroken(t).split()
             tokens = set(row)
-            for new in tokens.difference(words):
-                words[new] = w = _words_of(new)
-                number[new] = names.setdefault(w[0], len(names)) if len(w) == 1 else 0
-            df.update({w for x in tokens for w in words[x]})
+            for new in tokens.difference(number):
+                w = tuple(names.setdefault(x, len(names)) for x in _words_of(new))
+                number[new] = w[0] if len(w) == 1 else 0
+                if len(w) > 1:
+                    words[new] = w
             at = np.fromiter(map(number.__getitem__, row), np.int64, len(row))
-            at = np.unique((at[:-1] << 32 | at[1:])[(at[:-1] > 0) & (at[1:] > 0)])
-            pairs.append(at)
-            held += len(at)
-            df[""] += 1
-        if len(df) > COUNTED_WORDS or len(words) > COUNTED_WORDS or held > 8 * COUNTED_WORDS:
+            more = [x for m in words.keys() & tokens for x in words[m]] if not words.keys().isdisjoint(tokens) else []
+            one = np.unique(np.concatenate([at, np.array(more, np.int64)]) if more else at)
+            two = np.unique((at[:-1] << 32 | at[1:])[(at[:-1] > 0) & (at[1:] > 0)])
+            single.append(one[one > 0])
+            pairs.append(two)
+            held += len(one) + len(two)
+            docs += 1
+        if docs and (len(number) > COUNTED_WORDS or held > 8 * COUNTED_WORDS):
             yield handed()
-            df, words, number, names, pairs, held = Counter(), {}, {}, {"": 0}, [], 0
-    if df:
+            words, number, names, single, pairs, held, docs = {}, {}, {"": 0}, [], [], 0, 0
+    if docs:
         yield handed()
 
 
