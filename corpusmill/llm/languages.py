@@ -396,21 +396,36 @@ def _read(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet"), label_map(spark.read.parquet(f"{d}/lang_labels.parquet"))
 
 
+_NETS: dict = {}
+
+
+def _net(spark, d: str, docs: DataFrame, labels: dict[str, str]) -> ByteGru:
+    """The network trained on the documents of a folder, kept for the next query of the session that asks for it; it is
+    trained anew if the table has been written since."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, d, status.getModificationTime(), status.getLen(), tuple(sorted(labels.items())))
+    if key not in _NETS:
+        _NETS.clear()
+        _NETS[key] = train(docs, labels)
+    return _NETS[key]
+
+
 def p9_languages(spark, d):
     docs, labels = _read(spark, d)
-    out = document_languages(docs, train(docs, labels))
+    out = document_languages(docs, _net(spark, d, docs, labels))
     return out.select("doc_id", "lang", F.round("confidence", 4).alias("confidence"))
 
 
 def p9_stretches(spark, d):
     docs, labels = _read(spark, d)
-    out = document_languages(docs, train(docs, labels)).select("doc_id", F.posexplode("stretches").alias("stretch_no", "s"))
+    out = document_languages(docs, _net(spark, d, docs, labels)).select("doc_id", F.posexplode("stretches").alias("stretch_no", "s"))
     return out.select("doc_id", "stretch_no", "s.start", "s.end", "s.lang", F.round("s.confidence", 4).alias("confidence"))
 
 
 def p9_found(spark, d):
     docs, labels = _read(spark, d)
-    return mislabelled(docs, labels, train(docs, labels))
+    return mislabelled(docs, labels, _net(spark, d, docs, labels))
 
 
 SQL: dict = {}

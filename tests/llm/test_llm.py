@@ -510,3 +510,15 @@ def test_vocabulary_counts_pairs(spark):
     d = spark.createDataFrame([(i, "the red dog, the red\ndog runs", None, "k") for i in range(5)] + [(9, None, None, "k")], "doc_id long, text string, title string, kind string")
     words, n, pairs = scans.vocabulary(d)
     assert n == 5 and words == {"the": 5, "red": 5, "dog": 5, "runs": 5} and pairs == {"the red": 5, "red dog": 5, "dog the": 5, "dog runs": 5}
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are missing")
+def test_network_is_kept_between_queries(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(languages, "train", lambda docs, labels: calls.append(1) or languages.ByteGru())
+    languages._NETS.clear()
+    assert languages.p9_languages(spark, FOLDER).columns == ["doc_id", "lang", "confidence"]
+    languages.p9_stretches(spark, FOLDER)
+    languages.p9_found(spark, FOLDER)
+    assert calls == [1]
+    languages._NETS.clear()
