@@ -189,6 +189,39 @@ def test_copulas_and_adverbs():
         assert texts(w) == [r[0] for r in rows]
 
 
+def test_runs_of_tags(spark):
+    """Runs of verbs, adjectives, prepositions and nouns against a loop over the tokens."""
+    rng = random.Random(6)
+    kinds = [("VB", "ROOT"), ("VBN", "amod"), ("MD", "aux"), ("JJ", "amod"), ("JJR", None), ("IN", "prep"), ("NN", "nsubj"), ("NNS", "dobj"), ("FW", "x"), ("HYPH", "punct"), ("RB", None)]
+    rows = [(d, s, 100 * s + i, f"w{i}", *rng.choice(kinds)) for d in range(3) for s in range(6) for i in range(25)]
+    t = spark.createDataFrame(rows, "doc_id long, sent_id int, token_i int, text string, tag string, dep string")
+
+    def by_hand(member, ends=lambda r: True):
+        out = set()
+        for d in range(3):
+            for s in range(6):
+                sent = [r for r in rows if r[:2] == (d, s)]
+                run = []
+                for i, r in enumerate([*sent, None]):
+                    if r is not None and member(r, sent[i + 1] if i + 1 < len(sent) else None):
+                        run.append(r)
+                        continue
+                    while run and not ends(run[-1]):
+                        run.pop()
+                    if len(run) > 1:
+                        out.add((d, s, run[0][2], run[-1][2], " ".join(x[3] for x in run)))
+                    run = []
+        return out
+
+    got = lambda df: {(r.doc_id, r.sent_id, r.first_i, r.last_i, r.text) for r in df.collect()}
+    nouns, verbs = ("NN", "NNS", "NNP", "NNPS"), ("MD", "VB", "VBN")
+    assert got(sentence_graph.verb_runs(t)) == by_hand(lambda r, n: r[4] in verbs and r[5] != "amod") != set()
+    assert got(sentence_graph.adjective_runs(t)) == by_hand(lambda r, n: r[4].startswith("JJ") or r[5] == "amod") != set()
+    assert got(sentence_graph.preposition_runs(t)) == by_hand(lambda r, n: r[4] == "IN") != set()
+    whole = by_hand(lambda r, n: r[4] in (*nouns, "JJ", "JJR", "FW", "HYPH") or n is not None and n[4] == "HYPH", lambda r: r[4] in nouns)
+    assert got(sentence_graph.noun_runs(t)) == whole != set()
+
+
 def test_folder_of_a_cluster_must_be_named(spark):
     from types import SimpleNamespace as S
 
