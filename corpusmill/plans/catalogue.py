@@ -15,6 +15,7 @@ from corpusmill.functions.labels import NOUN_TAGS, SUBJECTS, VERB_TAGS
 from corpusmill.operators import graph, grouping, segments, sentence_graph, terms, vectors, wiki, windows
 from corpusmill.plans.lineage import written
 from corpusmill.providers.tokens import rule_tokens as rule_tokens_of
+from corpusmill.sources.tables import table as read_table
 
 DIM = 64
 QUERIES: dict = {}
@@ -26,7 +27,7 @@ def query(sql: str | None = None):
 
     def register(f):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{folder}/{name}.parquet"))
+            return f(lambda name: read_table(spark, folder, name))
 
         QUERIES[f.__name__.rstrip("_")] = run
         if sql is not None:
