@@ -260,6 +260,30 @@ def test_large_cells_are_divided(spark, monkeypatch):
     assert tree.leaves > 4
 
 
+@pytest.mark.parametrize("rows", [65_536, 100])
+def test_links_no_cell_meets_are_found(spark, monkeypatch, rows):
+    monkeypatch.setattr(clusters, "CELL_ROWS", 4)
+    monkeypatch.setattr(clusters, "ROUND_ROWS", rows, raising=False)
+    rng, vec = np.random.default_rng(12), []
+    for size, near in [(2, 0.83)] * 120 + [(12, 0.97)] * 15:  # pairs, and tight groups
+        c = rng.standard_normal(64)
+        c /= np.sqrt(c @ c)
+        for k in range(size):
+            o = rng.standard_normal(64)
+            o -= (o @ c) * c
+            vec.append(c if size == 2 and k == 0 else near * c + math.sqrt(1 - near * near) * o / np.sqrt(o @ o))
+    for k in range(15):  # single records at the side of a tight group
+        g = np.mean(vec[240 + 12 * k : 252 + 12 * k], axis=0)
+        o = rng.standard_normal(64)
+        o -= (o @ g) / (g @ g) * g
+        vec.append(0.82 * g / np.sqrt(g @ g) + math.sqrt(1 - 0.82**2) * o / np.sqrt(o @ o))
+    ids, s = _similar({k + 1: v.tolist() for k, v in enumerate(vec)})
+    i, j = np.nonzero(np.triu(s >= 0.8, 1))
+    rec = cluster_rows(spark, [(k + 1, 1, v.tolist(), 1) for k, v in enumerate(vec)])
+    # with one cell a record many pairs meet in none
+    assert {tuple(r) for r in clusters.group_pairs(clusters.groups(rec, tries=1)).collect()} == set(zip(ids[i].tolist(), ids[j].tolist()))
+
+
 def test_skeletons(spark):
     same = ["file", "ﬁle", "ｆｉｌｅ", "fi​le", "fі­lе"]
     assert len({lookalikes.skeleton(t) for t in same}) == 1
