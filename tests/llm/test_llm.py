@@ -368,6 +368,47 @@ def test_automata_find_all_within_two_edits():
         assert sorted(got) == sorted((w, distance(q, w)) for w in set(words) if distance(q, w) <= 2)
 
 
+def test_scan_limits_drop_nothing(spark):
+    # more than eight candidates, the one that the words next to it ask for being the last by misreadings
+    forms = {"cecece"[:i] + x + "cecece"[i + 1 : j] + y + "cecece"[j + 1 :] for i in range(6) for j in range(i + 1, 6) for x in "ce" for y in "ce"} - {"cecece"}
+    r = scans.Reader({w: 600 for w in forms}, 10_000, {"the eeccce": 500})
+    r.candidates({"cecece"})
+    assert len(r.known["cecece"]) == 21 and r.meant("cecece", "cecece", 1, [], "the", "") == "eeccce"
+    # misreadings of more than two edits
+    r = scans.Reader({"much": 600, "modem": 600, "mummy": 600}, 10_000)
+    r.candidates({"iiiuch", "rnodenn", "rnurnmy"})
+    assert [r.meant(w, w, 1, []) for w in ("iiiuch", "rnodenn", "rnurnmy")] == ["much", "modem", "mummy"]
+    # words too long for a machine word
+    long = "ab" * 40
+    assert Trie([long, "ab"]).within([long[:-2] + "c", long[1:-1] + "xx"]) == [[(long, 2)], []]
+    r = scans.Reader({"c" + long: 600}, 10_000)
+    r.candidates({"e" + long})
+    assert r.meant("e" + long, "e" + long, 1, []) == "c" + long
+    texts = spark.createDataFrame([("d" * 130,)] * 3 + [("e" * 200 + "-\nnd",)] * 3, "text string")
+    words, *_ = scans.vocabulary(texts)
+    assert words == {"d" * 130: 3}
+    # a run of page numbers with more than 40 other numbers between
+    body = ["A line of the chapter about words, and", "a second line that goes on about them"]
+    lines = ["1", *body, *[str(900 - 10 * k) for k in range(50)], "2", "and on the next page it says more of", "what these words were in former times."]
+    assert [i for i, d in enumerate(scans.furniture(lines)) if d] == [0, 53]
+
+
+def test_runs_equal_looking_at_all_before():
+    rng = random.Random(5)
+    for _ in range(60):
+        line, cand = 0, []
+        for _ in range(rng.randint(0, 90)):
+            line += rng.randint(1, 3)
+            cand.append((line, rng.randint(1, 9), rng.choice(["plain", "sign", "word", "titled"])))
+        best, back = [1] * len(cand), [-1] * len(cand)
+        for b in range(len(cand)):
+            for a in range(b):
+                step = cand[b][1] - cand[a][1]
+                if (step in (1, 2) or step == 0 and cand[b][0] - cand[a][0] > (1 if cand[a][2] != cand[b][2] else 3)) and best[a] + 1 > best[b]:
+                    best[b], back[b] = best[a] + 1, a
+        assert scans._longest_runs(cand) == (best, back)
+
+
 PAGE = """The catalogue
 The second chapter describes the regional dialect, and the
 catalogue entry explains the printed page. A two-
