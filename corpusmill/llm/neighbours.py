@@ -32,6 +32,8 @@ FIT_ROWS = 49152
 LEAF_ROWS = 512
 #: Rows of a leaf, or queries at a leaf, compared at once.
 BLOCK = 8192
+#: Leaves of one row set. They lie side by side in the tree, so a row that visits several of them is sent once.
+SHARED_LEAVES = 16
 
 
 def _fit(reps: DataFrame) -> tuple[Tree, np.ndarray]:
@@ -57,9 +59,13 @@ def _visiting(df: DataFrame, tree: Tree, visits: int) -> DataFrame:
     return df.select("rep", "vec").mapInArrow(run, "rep long, vec array<float>, bins array<int>")
 
 
-def _parts(leaf: DataFrame):
-    """Column: how many parts of at most BLOCK rows the rows of a leaf make."""
-    large = {r["leaf"]: math.ceil(r["count"] / BLOCK) for r in leaf.groupBy("leaf").count().where(F.col("count") > BLOCK).collect()}  # a row a leaf at most
+def _large(leaf: DataFrame) -> dict[int, int]:
+    """How many parts of at most BLOCK rows the rows of a leaf make, for leaves that make several."""
+    return {r["leaf"]: math.ceil(r["count"] / BLOCK) for r in leaf.groupBy("leaf").count().where(F.col("count") > BLOCK).collect()}  # a row a leaf at most
+
+
+def _parts(large: dict[int, int]):
+    """Column: the parts of a leaf."""
     return F.coalesce(F.create_map(*[F.lit(y) for kv in large.items() for y in kv])[F.col("leaf")], F.lit(1)) if large else F.lit(1)
 
 
@@ -100,21 +106,43 @@ def search(reps: DataFrame, queries: DataFrame, k: int, least: float | None, rec
     visits = calibrate(reps, probes, tree, k - 1, least, recall, False) if len(probes) else 1
     rows = written(_visiting(reps, tree, 1), "rows").select("rep", "vec", F.explode("bins").alias("leaf"))
     asks = written(_visiting(queries, tree, visits), "asks").select("rep", "vec", F.explode("bins").alias("leaf"))
-    pr, pq = _parts(rows), _parts(asks)
+    pr, pq = _parts(_large(rows)), _parts(_large(asks))
     a = rows.withColumn("i", _own(pr)).withColumn("j", _all(pq))
     b = asks.withColumn("j", _own(pq)).withColumn("i", _all(pr))
     met = a.groupBy("leaf", "i", "j").cogroup(b.groupBy("leaf", "i", "j")).applyInPandas(lambda v, q: _compare(q, v, k, least), _PAIRS)
     return _best(met, k - 1)
 
 
+def _shared(rows: DataFrame, large: dict[int, int]) -> DataFrame:
+    """(bucket, leaves, rep, vec): each row of `rows` (rep, vec, bins) once for each SHARED_LEAVES neighbouring leaves
+    of which it visits any, with those of them it visits; leaves in `large` are left out."""
+    small = F.filter("bins", lambda x: ~x.isin(*large)) if large else F.col("bins")
+    bucket = lambda x: F.floor(x / SHARED_LEAVES).cast("int")
+    rows = rows.select("rep", "vec", small.alias("bins"))
+    rows = rows.select("rep", "vec", "bins", F.explode(F.array_distinct(F.transform("bins", bucket))).alias("bucket"))
+    return rows.select("bucket", F.filter("bins", lambda x: bucket(x) == F.col("bucket")).alias("leaves"), "rep", "vec")
+
+
 def search_all(reps: DataFrame, k: int, least: float | None, recall: float) -> DataFrame:
-    """The same with every row of `reps` as a query. A row is sent once to each leaf it visits, where it
-    is both searched for and found; parts of a large leaf meet two by two."""
+    """The same with every row of `reps` as a query. A row is both searched for and found in each leaf it visits; it
+    is sent once to all those that share a row set. Parts of a large leaf meet two by two."""
     tree, probes = _fit(reps)
     visits = calibrate(reps, probes, tree, k - 1, least, recall, True) if len(probes) else 1
-    rows = _visiting(reps, tree, visits).select("rep", "vec", F.explode("bins").alias("leaf"))
-    n = _parts(rows)
-    rows = rows.withColumn("own", _own(n)).withColumn("o", _all(n)).select("leaf", "rep", "vec", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+    visiting = _visiting(reps, tree, visits)
+    rows = visiting.select("rep", "vec", F.explode("bins").alias("leaf"))
+    large = _large(rows)
+
+    def meet_leaves(p: pd.DataFrame) -> pd.DataFrame:
+        at = np.repeat(np.arange(len(p)), p["leaves"].map(len))
+        leaf = np.concatenate(list(p["leaves"]))
+        parts = [p.iloc[at[leaf == x]] for x in np.unique(leaf)]
+        return pd.concat([_compare(x, x, k, least) for x in parts])
+
+    met = _shared(visiting, large).groupBy("bucket").applyInPandas(meet_leaves, _PAIRS)
+    if not large:
+        return _best(met, k - 1)
+    n = _parts(large)
+    rows = rows.where(F.col("leaf").isin(*large)).withColumn("own", _own(n)).withColumn("o", _all(n)).select("leaf", "rep", "vec", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
 
     def meet(p: pd.DataFrame) -> pd.DataFrame:
         i, j = p["i"].iat[0], p["j"].iat[0]
@@ -123,7 +151,7 @@ def search_all(reps: DataFrame, k: int, least: float | None, recall: float) -> D
         x, y = p[p["own"] == i], p[p["own"] == j]
         return pd.concat([_compare(x, y, k, least), _compare(y, x, k, least)])
 
-    return _best(rows.groupBy("leaf", "i", "j").applyInPandas(meet, _PAIRS), k - 1)
+    return _best(met.union(rows.groupBy("leaf", "i", "j").applyInPandas(meet, _PAIRS)), k - 1)
 
 
 def neighbours(rec: DataFrame, k: int = 10, least: float | None = None, recall: float = 0.97, every: int | None = None) -> DataFrame:

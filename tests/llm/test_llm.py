@@ -155,6 +155,16 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     assert all(got.get(i, []) == _best(ids, s, a, 5, 0.8) for a, i in enumerate(ids.tolist()))
 
 
+def test_rows_are_sent_once_to_leaves_side_by_side(spark):
+    visits = {1: [3, 40, 5, 17, 4], 2: [20, 2], 3: [16, 31, 18]}
+    rows = spark.createDataFrame([(r, [1.0], b) for r, b in visits.items()], "rep long, vec array<float>, bins array<int>")
+    got = [(r.rep, r.bucket, r.leaves) for r in neighbours._shared(rows, {}).collect()]
+    assert sorted((r, x) for r, _, b in got for x in b) == sorted((r, x) for r, b in visits.items() for x in b)
+    assert sorted((r, b) for r, b, _ in got) == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (3, 1)]
+    got = neighbours._shared(rows, {3: 2, 20: 2}).collect()
+    assert sorted((r.rep, x) for r in got for x in r.leaves) == sorted((r, x) for r, b in visits.items() for x in b if x not in (3, 20))
+
+
 def test_best_bins_is_best_first():
     x = np.random.default_rng(2).standard_normal((3000, 16))
     x /= np.sqrt((x * x).sum(1, keepdims=True))
