@@ -323,6 +323,36 @@ def test_tokens_with_stand_ins(spark):
 TOKENIZER = f"{tokens.TOKENIZERS}/{tokens.VOCABULARY}"
 
 
+def test_records_are_met_once_and_none_is_left_out():
+    rng = np.random.default_rng(9)
+    for shape in ((512, 1024), (7, 9), (3, 8), (5, 0)):
+        mask = rng.random(shape) < 0.01
+        mask[-1:, -1:] = True
+        assert [x.tolist() for x in clusters._places(mask)] == [x.tolist() for x in np.nonzero(mask)]
+    # pairs of near records in groups of their own, all of them single
+    x = rng.standard_normal((1500, 64))
+    x = np.r_[x, x + 0.1 * rng.standard_normal(x.shape)].astype(np.float32)
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    ball = clusters._Balls(np.arange(3000), rng.permutation(3000), x)
+    met = {h: [tuple(sorted(p)) for i, j in clusters._candidates(ball, ball, 0.8, halved=h) for p in zip(i.tolist(), j.tolist()) if p[0] != p[1]] for h in (False, True)}
+    i, j = np.nonzero(np.triu(ball.x @ ball.x.T >= 0.8, 1))
+    assert len(i) >= 1500 and set(zip(i.tolist(), j.tolist())) <= set(met[True]) <= set(met[False])
+    assert len(met[True]) < 0.7 * len(met[False])
+
+
+def test_features_are_stored_once(spark):
+    rng = np.random.default_rng(10)
+    rec = cluster_rows(spark, [(i, 1, rng.standard_normal(64).tolist(), 1) for i in range(300)])
+    vecs = vectors.keyed(vectors.usable(rec))
+    reps = vectors.representatives(vecs, vectors.copies(vecs))
+    stored = clusters.stored_features(reps)
+    assert "Join" not in stored._jdf.queryExecution().executedPlan().toString() and dict(stored.dtypes) == {"rep": "bigint", "vec": "binary"}
+    want = {r.rep: clusters.hashed_features(np.array([r.vec]) / np.linalg.norm(r.vec))[0] for r in reps.collect()}
+    got = {r.rep: clusters.unshort([r.vec])[0] for r in stored.collect()}
+    assert got.keys() == want.keys() and all(np.abs(got[k] - want[k]).max() < 1.001 * 0.5 / 32767 for k in want)
+    assert len(clusters._pool(stored, 300, 100)) <= 100 and len(clusters._pool(stored, 300, 400)) == 300
+
+
 @pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="vocabulary files are missing")
 def test_encoding_equals_library(spark):
     import base64
