@@ -627,3 +627,41 @@ def test_network_is_kept_between_queries(spark, monkeypatch):
     languages.p9_found(spark, FOLDER)
     assert calls == [1]
     languages._NETS.clear()
+
+
+def test_words_of_the_corpus_are_looked_up_once_for_all_workers(monkeypatch):
+    words = {"cat": 600, "eat": 700, "the": 5000, "modern": 900, "modem": 100, "rnodern": 5, "hand": 500, "c" * 70: 400}
+    pairs = {"they eat": 60, "the cat": 80}
+    plain = scans.Reader(words, 10_000, pairs)
+    plain.candidates({w for w in words if not plain.common(w)})
+    box = type("Box", (), {"value": scans._prepared(words, 10_000, pairs)})
+    monkeypatch.setattr(scans, "_READERS", {})
+    r = scans._reader(box, "a")
+    assert (r.known, r.fine, r.rivals.keys()) == (plain.known, plain.fine, plain.rivals.keys()) and r.known["rnodern"][0][1] == "modern"
+    asked = []
+    monkeypatch.setattr(r.trie, "within", lambda new, edits: asked.extend(new) or [[] for _ in new])
+    r.candidates({*plain.known, "rnodem"})
+    assert asked == ["rnodem"]
+    # a vocabulary too large for the driver is left to the workers
+    monkeypatch.setattr(scans, "MOST_AHEAD", 0)
+    assert scans._prepared(words, 10_000, pairs) == (words, 10_000, pairs, {}, {}, set())
+
+
+def test_trie_finds_what_distances_say():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
+        return row[-1]
+
+    rng = np.random.default_rng(3)
+    words = sorted({"".join(rng.choice(list("abc"), n)) for n in rng.integers(1, 9, 300)} | {"a" * 59, "a" * 62, "b" * 63, "b" * 64})
+    asked = ["", "a", "abcab", "ccc", "bacbacbac", "zz", "a" * 60, "b" * 61, "b" * 62]
+    for edits in (0, 1, 2, 3):
+        want = [sorted((w, d) for w in words if (d := distance(w, q)) <= edits) for q in asked]
+        assert [sorted(x) for x in Trie(words).within(asked, edits)] == want
+    # a word far from all in length is left at the root
+    t = Trie(["a" * n for n in range(20, 40)])
+    assert int(t.length[0]) == sum(1 << n for n in range(20, 40)) and t.within(["a" * 10]) == [[]]
