@@ -5,7 +5,8 @@ leaves; it has the more leaves the more vectors there are, so that a leaf holds
 (as long as the sample has two rows a leaf). A vector visits leaves best bin first through a priority
 queue (see tree.py). The number of visits is calibrated: the neighbours of sampled queries are found by
 comparing them with all vectors, and visits are widened until the asked share of those neighbours is
-met in a visited leaf.
+met in a visited leaf. These queries are drawn from all vectors, as those the tree is fitted on lie nearer
+to its centres than others do.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ DIM = 64
 #: Vectors the tree is fitted on, at most (12 MB of centres in single precision, as each may become a leaf);
 #: every vector is put into a leaf.
 FIT_ROWS = 49152
+#: Vectors the visits are calibrated with, at most.
+PROBES = 8192
 #: Vectors a leaf should hold.
 LEAF_ROWS = 512
 #: Rows of a leaf, or queries at a leaf, compared at once.
@@ -43,7 +46,8 @@ def _fit(reps: DataFrame) -> tuple[Tree, np.ndarray]:
     if not len(x):
         return Tree(np.zeros((1, DIM), np.float32), *(np.array([v]) for v in (0, 0, 0, 0.0))), x
     least = max(2, min(LEAF_SAMPLE, LEAF_ROWS * len(x) // n))
-    return fit_tree(x, least=least), x[np.random.default_rng(1).permutation(len(x))]
+    probes = x if n <= FIT_ROWS else sample(reps, n, PROBES, DIM, salt=11)
+    return fit_tree(x, least=least), probes[np.random.default_rng(1).permutation(len(probes))]
 
 
 def _visiting(df: DataFrame, tree: Tree, visits: int) -> DataFrame:

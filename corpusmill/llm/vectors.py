@@ -64,12 +64,13 @@ def stacked(series, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def sample(reps: DataFrame, n: int, most: int, dim: int) -> np.ndarray:
+def sample(reps: DataFrame, n: int, most: int, dim: int, salt: int = 7) -> np.ndarray:
     """Unit vectors of about `most` of the `n` representatives, and no more (a documented bound): those whose
-    key's hash falls below a threshold, so nothing is sorted or shuffled; all of them where they are fewer."""
+    key's hash falls below a threshold, so nothing is sorted or shuffled; all of them where they are fewer. Another
+    `salt` gives other ones."""
     part = reps.select("rep", "vec")
     if n > most:
-        part = reps.where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * 0.97 * most / n)).select("rep", "vec")
+        part = reps.where(F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(1 << 20)) < int((1 << 20) * 0.97 * most / n)).select("rep", "vec")
     got = part.toArrow().sort_by("rep").slice(0, most)
     return matrix(got.column("vec").combine_chunks(), dim) if got.num_rows else np.zeros((0, dim))
 

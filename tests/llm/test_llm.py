@@ -155,6 +155,20 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     assert all(got.get(i, []) == _best(ids, s, a, 5, 0.8) for a, i in enumerate(ids.tolist()))
 
 
+def test_visits_are_calibrated_for_vectors_the_tree_is_not_fitted_on(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "FIT_ROWS", 150)
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 40)
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.standard_normal((1500, 64)), 4, axis=0)
+    x += 0.35 * rng.standard_normal(x.shape)
+    rec = spark.createDataFrame([(i, 1, r.tolist()) for i, r in enumerate(x)], "cluster_id long, num_vectors int, mean_vec array<double>").withColumn("loaded_at", F.lit("2025-01-01").cast("timestamp"))
+    got = {(r.id, y.id) for r in neighbours.neighbours(rec, 3, least=0.8, recall=0.99).collect() for y in r.best}
+    v = x / np.linalg.norm(x, axis=1, keepdims=True)
+    i, j = np.nonzero(np.round(v @ v.T, 6) >= 0.8)
+    want = {(a, b) for a, b in zip(i.tolist(), j.tolist()) if a != b}
+    assert len(want) > 10_000 and len(got & want) >= 0.98 * len(want)
+
+
 def test_rows_are_sent_once_to_leaves_side_by_side(spark):
     visits = {1: [3, 40, 5, 17, 4], 2: [20, 2], 3: [16, 31, 18]}
     rows = spark.createDataFrame([(r, [1.0], b) for r, b in visits.items()], "rep long, vec array<float>, bins array<int>")
