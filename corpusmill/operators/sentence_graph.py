@@ -9,6 +9,7 @@ turn and works on a sentence at a time in Python.
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -257,51 +258,71 @@ def numbered_tree(nodes: DataFrame, prefix: str = "") -> DataFrame:
     """Tree rows (doc_id, sent_id, node, parent, child_pos, label, word_id) with uid (pre-order),
     parent_uid, level, subsentence_uid (nearest clause above or itself; the root is its own) and size, the
     nodes below and itself. Node ids are the caller's; the prefix may hold no colon. A sentence's tree is one
-    unit of work; nodes whose parent is missing are left out."""
+    unit of work, many are worked through in a batch; nodes whose parent is missing are left out. Children of the same child_pos stand in order of node."""
     if ":" in prefix:
         raise ValueError("a prefix may not hold a colon")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    kind = "doc_id long, sent_id int, uid string, parent_uid string, child_pos int, label string, level int, word_id long, subsentence_uid string, size int"
+
+    def numbered(doc, sent, of: list[tuple]) -> list[list]:
         kids: dict = {}
         info = {}
-        for r in pdf.sort_values("child_pos").itertuples():
-            info[r.node] = r
-            kids.setdefault(None if pd.isna(r.parent) else r.parent, []).append(r.node)
+        for r in of:
+            info[r[1]] = r
+            kids.setdefault(r[2], []).append(r[1])
         rows: list[list] = []
-        doc, sent = pdf["doc_id"].iat[0], int(pdf["sent_id"].iat[0])
         todo = [(n, None, None, 0, None) for n in reversed(kids.get(None, []))]
         ups = []
         while todo:
             n, up_no, up, level, sub = todo.pop()
-            r, no = info[n], len(rows)
+            (pos, _, _, label, word), no = info[n], len(rows)
             uid = f"{prefix}{sent}-{no:06d}"
-            sub = uid if up is None or r.label in CLAUSES else sub
-            rows.append([doc, sent, uid, up, int(r.child_pos), r.label, level, None if pd.isna(r.word_id) else int(r.word_id), sub, 1])
+            sub = uid if up is None or label in CLAUSES else sub
+            rows.append([doc, sent, uid, up, pos, label, level, word, sub, 1])
             ups.append(up_no)
             todo += [(k, no, uid, level + 1, sub) for k in reversed(kids.get(n, []))]
         for no in range(len(rows) - 1, -1, -1):
             if ups[no] is not None:
                 rows[ups[no]][-1] += rows[no][-1]
-        return pd.DataFrame(rows, columns=["doc_id", "sent_id", "uid", "parent_uid", "child_pos", "label", "level", "word_id", "subsentence_uid", "size"]).astype({"word_id": "Int64"})
+        return rows
 
-    return nodes.groupBy(*_SENT).applyInPandas(run, "doc_id long, sent_id int, uid string, parent_uid string, child_pos int, label string, level int, word_id long, subsentence_uid string, size int")
+    def run(batches):
+        schema = pa.schema([(c, {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[t]) for c, t in (x.split() for x in kind.split(", "))])
+        for b in batches:
+            for s in range(0, b.num_rows, 1024):
+                p, rows, at = b.slice(s, 1024), [], 0
+                of = list(zip(*(x.to_pylist() for x in p.column("of").flatten().flatten())))
+                for doc, sent, n in zip(p.column("doc_id").to_pylist(), p.column("sent_id").to_pylist(), p.column("of").value_lengths().to_pylist()):
+                    rows += numbered(doc, sent, of[at : at + n])
+                    at += n
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(schema), schema)], schema=schema)
+
+    # rows of a sentence are gathered, not only sorted: a repartition of a union may be left out by the optimizer, and its parts then lie apart
+    of = nodes.groupBy(*_SENT).agg(F.sort_array(F.collect_list(F.struct("child_pos", "node", "parent", "label", "word_id"))).alias("of"))
+    return of.mapInArrow(run, kind)
 
 
 def covered_words(tree: DataFrame) -> DataFrame:
     """(doc_id, sent_id, uid, word_id): the words below each node. Ids end in
     the place in pre-order, so a node's words are those of its own place and the size - 1 after it: one row a
-    node and place, joined to the words by place. Nodes taken out of the tree don't matter."""
+    node and place, joined to the words by place. Nodes taken out of the tree don't matter. The join is a merge,
+    as a table of words is many times as large in memory as on disk, by which a broadcast is chosen."""
     t = tree.withColumn("_at", F.substring_index("uid", "-", -1).cast("int"))
     s = t.select(*_SENT, "uid", F.explode(F.sequence(F.col("_at"), F.col("_at") + F.col("size") - 1)).alias("_at"))
-    return s.join(t.where("word_id IS NOT NULL").select(*_SENT, "_at", "word_id"), [*_SENT, "_at"]).select(*_SENT, "uid", "word_id")
+    return s.join(t.where("word_id IS NOT NULL").select(*_SENT, "_at", "word_id").hint("merge"), [*_SENT, "_at"]).select(*_SENT, "uid", "word_id")
 
 
 def unresolved_heads(tree: DataFrame, words: DataFrame) -> DataFrame:
-    """(doc_id, sent_id, uid, head_id, dep): heads of a node's words that lie outside of it; head 0 always does."""
-    c = covered_words(tree)
-    h = c.join(words.select(*_SENT, "word_id", "head_id", "dep"), [*_SENT, "word_id"])
-    inside = c.select(*_SENT, "uid", F.col("word_id").alias("head_id"))
-    return h.join(inside, [*_SENT, "uid", "head_id"], "left_anti").select(*_SENT, "uid", "head_id", "dep").distinct()
+    """(doc_id, sent_id, uid, head_id, dep): heads of a node's words that lie outside of it; head 0 always does.
+    A head lies outside if none of its places in pre-order is the node's own or one of the size - 1 after it."""
+    t = tree.withColumn("_at", F.substring_index("uid", "-", -1).cast("int"))
+    places = t.where("word_id IS NOT NULL").select(*_SENT, "word_id", "_at")
+    heads = places.groupBy(*_SENT, F.col("word_id").alias("head_id")).agg(F.collect_list("_at").alias("_in"))
+    w = words.select(*_SENT, "word_id", "head_id", "dep").join(places.hint("merge"), [*_SENT, "word_id"]).join(heads, [*_SENT, "head_id"], "left")
+    last = F.col("_from") + F.col("size") - 1
+    s = t.select(*_SENT, "uid", F.col("_at").alias("_from"), "size").withColumn("_at", F.explode(F.sequence("_from", last)))
+    j = s.join(w.select(*_SENT, "_at", "head_id", "dep", "_in"), [*_SENT, "_at"])
+    return j.where(~F.coalesce(F.exists("_in", lambda x: x.between(F.col("_from"), last)), F.lit(False))).select(*_SENT, "uid", "head_id", "dep").distinct()
 
 
 def highest_nodes(unresolved: DataFrame) -> DataFrame:

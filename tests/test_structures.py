@@ -151,6 +151,18 @@ def test_constituency_tree(spark):
     assert "runs (VBZ/ROOT)\nrun" in {r.node_label for r in sentence_graph.word_nodes(tree, w).collect()}
 
 
+def test_words_of_nodes_are_not_broadcast(spark):
+    """A table of words may be small on disk and large in the driver's memory; trees of many sentences lie in one batch."""
+    kind = "doc_id long, sent_id int, node int, parent int, child_pos int, label string, word_id int"
+    nodes = [(d, s, *n) for d in range(30) for s in range(5) for n in ((2, 0, 1, "NN", 2), (0, None, 0, "S", None), (1, 0, 0, "JJ", 1))]
+    tree = written(sentence_graph.numbered_tree(spark.createDataFrame(nodes, kind)), "tree")
+    assert sorted(tuple(r) for r in tree.select("doc_id", "sent_id", "uid", "word_id", "size").collect()) == sorted((d, s, f"{s}-{n:06d}", w, z) for d in range(30) for s in range(5) for n, w, z in ((0, None, 3), (1, 1, 1), (2, 2, 1)))
+    words = sentence_graph.covered_words(tree)
+    assert words.count() == 30 * 5 * 4
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_trees_of_several_documents(spark):
     """Sentences are numbered within their document: words and trees of documents don't mix."""
     kind = "doc_id long, sent_id int, word_id long, head_id long, text string, lemma string, tag string, dep string"
