@@ -318,10 +318,10 @@ def unresolved_heads(tree: DataFrame, words: DataFrame) -> DataFrame:
     t = tree.withColumn("_at", F.substring_index("uid", "-", -1).cast("int"))
     places = t.where("word_id IS NOT NULL").select(*_SENT, "word_id", "_at")
     heads = places.groupBy(*_SENT, F.col("word_id").alias("head_id")).agg(F.collect_list("_at").alias("_in"))
-    w = words.select(*_SENT, "word_id", "head_id", "dep").join(places.hint("merge"), [*_SENT, "word_id"]).join(heads, [*_SENT, "head_id"], "left")
+    w = words.select(*_SENT, "word_id", "head_id", "dep").join(places.hint("merge"), [*_SENT, "word_id"]).join(heads.hint("merge"), [*_SENT, "head_id"], "left")
     last = F.col("_from") + F.col("size") - 1
     s = t.select(*_SENT, "uid", F.col("_at").alias("_from"), "size").withColumn("_at", F.explode(F.sequence("_from", last)))
-    j = s.join(w.select(*_SENT, "_at", "head_id", "dep", "_in"), [*_SENT, "_at"])
+    j = s.join(w.select(*_SENT, "_at", "head_id", "dep", "_in").hint("merge"), [*_SENT, "_at"])
     return j.where(~F.coalesce(F.exists("_in", lambda x: x.between(F.col("_from"), last)), F.lit(False))).select(*_SENT, "uid", "head_id", "dep").distinct()
 
 

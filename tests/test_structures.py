@@ -161,6 +161,9 @@ def test_words_of_nodes_are_not_broadcast(spark):
     assert words.count() == 30 * 5 * 4
     plan = words._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    w = written(tree.where("word_id IS NOT NULL").select("doc_id", "sent_id", "word_id", F.lit(0).cast("long").alias("head_id"), F.lit("x").alias("dep")), "words")
+    heads = sentence_graph.unresolved_heads(tree, w)
+    assert "Broadcast" not in heads._jdf.queryExecution().executedPlan().toString() and heads.count() == 30 * 5 * 3
 
 
 def test_trees_of_several_documents(spark):
