@@ -274,18 +274,23 @@ def synonym_partitions(synonyms: DataFrame, scores: DataFrame, one_pass: bool =
     return s.join(best, "component").select(F.col("node").alias("term"), "rep")
 
 
+def fewer_contexts(pairs: DataFrame, contexts: DataFrame, size: DataFrame) -> DataFrame:
+    """(t1, t2, other, context_term): the context terms of the term of each pair that has fewer, and the other term."""
+    p = pairs.join(size.select(F.col("term").alias("t1"), F.col("n").alias("n1")), "t1").join(size.select(F.col("term").alias("t2"), F.col("n").alias("n2")), "t2")
+    first = F.col("n1") <= F.col("n2")
+    p = p.select("t1", "t2", F.when(first, F.col("t1")).otherwise(F.col("t2")).alias("term"), F.when(first, F.col("t2")).otherwise(F.col("t1")).alias("other"))
+    return p.join(contexts, "term").select("t1", "t2", "other", "context_term")
+
+
 def jaccard_distance(contexts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(t1, t2, distance): 1 less the shared part of two terms' context terms; 1 where either has none.
 
-    The shared ones are counted by an equi-join of the pairs' context terms on pair and context term, and the
-    size of each term's own by an aggregate, so no term's contexts are ever gathered in one row."""
+    The context terms of the term of a pair that has fewer are looked up among those of the other by an equi-join,
+    and the size of each term's own is an aggregate, so no term's contexts are ever gathered in one row."""
     c = contexts.where("term IS NOT NULL AND context_term IS NOT NULL").select("term", "context_term").distinct()
     size = written(c.groupBy("term").agg(F.count("*").alias("n")), "sizes")
     asked = pairs.select("t1", "t2")
-    once = asked.distinct()
-    a = once.join(c.select(F.col("term").alias("t1"), "context_term"), "t1")
-    b = once.join(c.select(F.col("term").alias("t2"), "context_term"), "t2")
-    both = a.join(b, ["t1", "t2", "context_term"]).groupBy("t1", "t2").agg(F.count("*").alias("both"))
+    both = fewer_contexts(asked.distinct(), c, size).join(c.withColumnRenamed("term", "other"), ["other", "context_term"]).groupBy("t1", "t2").agg(F.count("*").alias("both"))
     j = asked.join(size.select(F.col("term").alias("t1"), F.col("n").alias("n1")), "t1", "left").join(size.select(F.col("term").alias("t2"), F.col("n").alias("n2")), "t2", "left").join(both, ["t1", "t2"], "left")
     shared = F.coalesce("both", F.lit(0))
     return j.select("t1", "t2", F.coalesce(1 - shared / (F.col("n1") + F.col("n2") - shared), F.lit(1.0)).alias("distance"))

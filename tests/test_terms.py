@@ -107,3 +107,11 @@ def test_sentence_matches_finds_short_and_long_terms(spark):
 
 def test_log_is_natural():
     assert math.isclose(math.log(math.e), 1)
+
+
+def test_contexts_of_a_common_term_are_not_repeated_for_each_pair(spark):
+    c = spark.createDataFrame([("a", str(i)) for i in range(500)] + [(f"r{k}", str(k)) for k in range(20)], "term string, context_term string")
+    pairs = spark.createDataFrame([("a", f"r{k}") for k in range(20)] + [("r1", "r2")], "t1 string, t2 string")
+    assert terms.fewer_contexts(pairs, c, c.groupBy("term").agg(F.count("*").alias("n"))).count() == 21
+    got = {(r.t1, r.t2): r.distance for r in terms.jaccard_distance(c, pairs).collect()}
+    assert got == {("a", f"r{k}"): 1 - 1 / 500 for k in range(20)} | {("r1", "r2"): 1.0}
